@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from spanweave.llm import chat, mixing, topk
+from spanweave.llm import chat, mixing, quality, topk, urlfilter
 
 QUERIES = {
     "op3_exact_top_k": topk.op3_exact_top_k,
     "op6_mixing": mixing.op6_mixing,
+    "op7_quality_rules": quality.op7_quality_rules,
+    "op8_url_filter": urlfilter.op8_url_filter,
     "op10_chat_format": chat.op10_chat_format,
 }
 
 ORACLES = {
     "op3_exact_top_k": topk.OP3_SQL,
     "op6_mixing": mixing.OP6_SQL,
+    "op7_quality_rules": quality.OP7_SQL,
     "op10_chat_format": chat.OP10_SQL,
 }
