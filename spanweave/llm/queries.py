@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from spanweave.llm import chat, mixing, quality, topk, urlfilter
+from spanweave.llm import chat, mixing, quality, simhash, topk, urlfilter
 
 QUERIES = {
     "op3_exact_top_k": topk.op3_exact_top_k,
     "op6_mixing": mixing.op6_mixing,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_url_filter": urlfilter.op8_url_filter,
+    "op9_simhash_golay": simhash.op9_simhash_golay,
     "op10_chat_format": chat.op10_chat_format,
 }
 
