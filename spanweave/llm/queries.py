@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from spanweave.llm import chat, mixing, quality, simhash, topk, urlfilter
+from spanweave.llm import chat, linededup, mixing, quality, simhash, topk, urlfilter
 
 QUERIES = {
     "op3_exact_top_k": topk.op3_exact_top_k,
+    "op5_line_dedup": linededup.op5_line_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_url_filter": urlfilter.op8_url_filter,
@@ -15,6 +16,7 @@ QUERIES = {
 
 ORACLES = {
     "op3_exact_top_k": topk.OP3_SQL,
+    "op5_line_dedup": linededup.OP5_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op7_quality_rules": quality.OP7_SQL,
     "op10_chat_format": chat.OP10_SQL,
