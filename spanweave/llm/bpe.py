@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
+import heapq
 import json
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -15,12 +17,39 @@ from pyspark.sql import functions as F
 from spanweave.llm.common import table
 from spanweave.llm.lexicon import Lexicon
 
-#: How byte-level BPE splits a text into words. A fixed value.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: How byte-level BPE splits a text into words. A fixed value, but for L, N and X: letters, numbers and what is neither.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?L+| ?N+| ?X+|\s+(?!\S)|\s+"
 #: Words of a process's cache, and characters of texts that are encoded together.
 CACHE, CHUNK = 400_000, 2_000_000
 
 
+@cache
+def newer_characters() -> str:
+    """The letters and numbers that the regex library knows and Python's own Unicode tables (15.1) don't.
+
+    The tokenizers library takes them for neither.
+    """
+    unknown = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn")
+    return "".join(regex.findall(r"[\p{L}\p{N}]", unknown))
+
+
+def _class_of(characters: str) -> str:
+    """A character set, in ranges."""
+    points = np.array(sorted(map(ord, characters)))
+    cuts = np.flatnonzero(np.diff(points) > 1) + 1
+    return "".join(f"\\U{run[0]:08x}-\\U{run[-1]:08x}" for run in np.split(points, cuts))
+
+
+def word_patterns() -> tuple[str, str, str]:
+    """How to split texts without newer characters, how to split those with them, and those characters."""
+    plain = WORDS.replace("X+", r"[^\s\p{L}\p{N}]+").replace("L+", r"\p{L}+").replace("N+", r"\p{N}+")
+    if not (newer := newer_characters()):
+        return plain, plain, ""
+    new = _class_of(newer)
+    exact = WORDS.replace("X+", rf"(?:[^\s\p{{L}}\p{{N}}]|[{new}])+").replace("L+", rf"[\p{{L}}--[{new}]]+").replace("N+", rf"[\p{{N}}--[{new}]]+")
+    return plain, f"(?V1){exact}", newer
+
+
 def byte_letters() -> dict[str, int]:
     """The letters that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, the rest from U+0100 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -31,18 +60,21 @@ def byte_letters() -> dict[str, int]:
 class Bpe:
     """A byte-level BPE vocabulary: bytes of each id, merges by rank, and special tokens."""
 
-    def __init__(self, tokens: dict[int, bytes], merges: list[tuple[bytes, bytes]], special: dict[str, int], lexicon: bytes = b"") -> None:
+    def __init__(self, tokens: dict[int, bytes], merges: list[tuple[bytes, bytes]], special: dict[str, int], patterns: tuple[str, str, str], lexicon: bytes = b"") -> None:
         self.tokens, self.special = tokens, special
         ids = {t: i for i, t in tokens.items()}
         self.of_byte = [ids[bytes([b])] for b in range(256)]
         self.merges = {(ids[a] << 32) | ids[b]: (rank, ids[a + b]) for rank, (a, b) in enumerate(merges)}
         self.lexicon = Lexicon.mapped(lexicon) if lexicon else None
         self.cache: dict[str, bytes] = {}
-        self.words = regex.compile(WORDS)
+        self.plain, self.exact, self.newer = regex.compile(patterns[0]), regex.compile(patterns[1]), frozenset(patterns[2])
         names = sorted(special, key=lambda s: (-len(s), s))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.texts = {**tokens, **{i: s.encode() for s, i in special.items()}}
 
+    def words(self, text: str) -> list[str]:
+        return (self.plain if text.isascii() or self.newer.isdisjoint(text) else self.exact).findall(text)
+
     def merged(self, word: bytes) -> list[int]:
         """The ids of a word by its merges: always the lowest-ranked pair, from the left."""
         ids, merges = [self.of_byte[b] for b in word], self.merges
@@ -58,8 +90,6 @@ class Bpe:
 
     def merged_long(self, word: bytes) -> list[int]:
         """The same for words of any length: the pairs wait in a heap, and neighbours are linked."""
-        import heapq
-
         ids = [self.of_byte[b] for b in word]
         n = len(ids)
         before, after, gone = list(range(-1, n - 1)), [*range(1, n), -1], [False] * n
@@ -102,7 +132,7 @@ class Bpe:
                 if piece in self.special:
                     parts.append((True, np.array([self.special[piece]], dtype="<u4").tobytes()))
                 elif piece:
-                    words = self.words.findall(piece)
+                    words = self.words(piece)
                     wanted.update(words)
                     parts.append((False, words))
             split.append(parts)
@@ -142,7 +172,7 @@ def frequent_words(bpe: Bpe) -> list[tuple[bytes, list[int]]]:
             text = token.decode("utf-8")
         except UnicodeDecodeError:
             continue
-        if bpe.words.fullmatch(text) and bpe.words.findall(text) == [text]:
+        if bpe.words(text) == [text]:
             out.append((token, bpe.merged(token)))
     return out
 
@@ -158,8 +188,8 @@ def with_tokens(docs: DataFrame, path: str, text: str = "text") -> Column:
     of the ids, special tokens included. Only the driver reads ``path``.
     """
     tokens, merges, special = load(path)
-    lexicon = Lexicon.compile(frequent_words(Bpe(tokens, merges, special))).dump()
-    shared = docs.sparkSession.sparkContext.broadcast((tokens, merges, special, lexicon))  # the size of the vocabulary
+    lexicon = Lexicon.compile(frequent_words(Bpe(tokens, merges, special, word_patterns()))).dump()
+    shared = docs.sparkSession.sparkContext.broadcast((tokens, merges, special, word_patterns(), lexicon))  # the size of the vocabulary
 
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = _LOADED.get(shared.id)
