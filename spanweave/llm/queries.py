@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from spanweave.llm import chat, langid, linededup, mixing, quality, simhash, topk, toxicity, urlfilter
+from spanweave.llm import bpe, chat, langid, linededup, mixing, quality, simhash, topk, toxicity, urlfilter
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_exact_top_k": topk.op3_exact_top_k,
+    "op4_bpe": bpe.op4_bpe,
     "op5_line_dedup": linededup.op5_line_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op7_quality_rules": quality.op7_quality_rules,
