@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import unicodedata
@@ -177,7 +178,8 @@ def frequent_words(bpe: Bpe) -> list[tuple[bytes, list[int]]]:
     return out
 
 
-_LOADED: dict[int, Bpe] = {}
+#: What a worker process has loaded, by a hash of the lexicon.
+_LOADED: dict[str, Bpe] = {}
 
 
 def with_tokens(docs: DataFrame, path: str, text: str = "text") -> Column:
@@ -191,11 +193,12 @@ def with_tokens(docs: DataFrame, path: str, text: str = "text") -> Column:
     lexicon = Lexicon.compile(frequent_words(Bpe(tokens, merges, special, word_patterns()))).dump()
     shared = docs.sparkSession.sparkContext.broadcast((tokens, merges, special, word_patterns(), lexicon))  # the size of the vocabulary
 
+    key = hashlib.sha256(lexicon).hexdigest()
+
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        bpe = _LOADED.get(shared.id)
-        if bpe is None:
+        if (bpe := _LOADED.get(key)) is None:
             _LOADED.clear()
-            bpe = _LOADED[shared.id] = Bpe(*shared.value)
+            bpe = _LOADED[key] = Bpe(*shared.value)
         for batch in batches:
             ids: list[bytes] = []
             waiting: list[str] = []

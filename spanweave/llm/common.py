@@ -15,18 +15,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; one of our own is set only where that
-    and the context's folder are both unset, as in tests on one machine.
+    One of our own is set only where that and the context's folder are both unset, as in tests on one machine.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    context = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the cluster's shared folder and go on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shuffle_partitions(df: DataFrame) -> int:
+    """The session's number of shuffle partitions, for few rows of much work each, which Spark would put into few tasks."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 #: A lookup table of at most so many rows is broadcast; a larger one is joined by salted keys.
 BROADCAST_ROWS = 50_000
 SALTS = 64

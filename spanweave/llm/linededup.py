@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import BROADCAST_ROWS, cut_lineage, table
+from spanweave.llm.common import BROADCAST_ROWS, cut_lineage, shuffle_partitions, table
 from spanweave.llm.graph import components
 
 MAX_EDITS = 2
@@ -22,7 +22,7 @@ MIN_EXACT, MIN_NEAR = 10, 40
 #: Lengths are rounded down to this for the places of segments.
 LENGTH_CLASS = 16
 #: Letters that are counted (modulo 32) to compare lines cheaply; any would do.
-LETTERS = "etaoinhrsdlu"
+LETTERS = ("etaoinhrsdlu", "mcfgpwbyvk q")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -39,65 +39,88 @@ def segments(line: Column, n: Column, base: Column, shifts: tuple[int, ...]) ->
 
 
 def letter_counts(line: Column, n: Column) -> Column:
-    """Counts of letters, five bits each, and the length in the four bits above."""
-    sign = F.shiftleft(F.pmod(n, F.lit(16)).cast("long"), 60)
-    for i, letter in enumerate(LETTERS):
-        count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
-        sign = sign.bitwiseOR(F.shiftleft(F.pmod(count, F.lit(32)).cast("long"), 5 * i))
-    return sign
+    """Counts of letters, five bits each, and the length in the four bits above: an array with a number for each group of letters."""
+    signs = []
+    for group in LETTERS:
+        sign = F.shiftleft(F.pmod(n, F.lit(16)).cast("long"), 60)
+        for i, letter in enumerate(group):
+            count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
+            sign = sign.bitwiseOR(F.shiftleft(F.pmod(count, F.lit(32)).cast("long"), 5 * i))
+        signs.append(sign)
+    return F.array(*signs)
 
 
-def counts_near(a: Column, b: Column, edits: int = MAX_EDITS) -> Column:
-    """Whether lines with these counts can be within ``edits``: no two such lines are told apart."""
+def counts_near(a: list[Column], b: list[Column], edits: int = MAX_EDITS) -> Column:
+    """Whether lines with these counts can be within ``edits``: no two such lines are told apart.
+
+    A replacement changes two counts by one, an insertion or deletion one count and the length.
+    """
+    longer = F.abs(F.shiftrightunsigned(a[0], 60) - F.shiftrightunsigned(b[0], 60))
+    longer = F.least(longer, 16 - longer)
     total = F.lit(0).cast("long")
-    for i in range(len(LETTERS)):
-        d = F.abs(F.shiftright(a, 5 * i).bitwiseAND(F.lit(31)) - F.shiftright(b, 5 * i).bitwiseAND(F.lit(31)))
-        total = total + F.least(d, 32 - d)
-    d = F.abs(F.shiftrightunsigned(a, 60) - F.shiftrightunsigned(b, 60))
-    return (total <= 2 * edits) & (F.least(d, 16 - d) <= edits)
+    for x, y, group in zip(a, b, LETTERS, strict=True):
+        for i in range(len(group)):
+            d = F.abs(F.shiftright(x, 5 * i).bitwiseAND(F.lit(31)) - F.shiftright(y, 5 * i).bitwiseAND(F.lit(31)))
+            total = total + F.least(d, 32 - d)
+    return (longer <= edits) & (total <= 2 * edits - longer)
+
+
+def without_common_ends(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Takes what two texts have in common at the end, then at the start, off both; that leaves their edit distance as it is."""
+    for _ in range(2):
+        pairs = pairs.withColumns({a: F.reverse(a), b: F.reverse(b)}).withColumn("__n", F.least(F.length(a), F.length(b))).withColumn("__p", F.lit(0))
+        for size in (1 << k for k in range(14, -1, -1)):
+            alike = F.substr(a, F.col("__p") + 1, F.lit(size)) == F.substr(b, F.col("__p") + 1, F.lit(size))
+            pairs = pairs.withColumn("__p", F.when((F.col("__p") + size <= F.col("__n")) & alike, F.col("__p") + size).otherwise(F.col("__p")))
+        pairs = pairs.withColumns({a: F.substr(a, F.col("__p") + 1), b: F.substr(b, F.col("__p") + 1)})
+    return pairs.drop("__n", "__p")
 
 
 def within_edits(a: Column, b: Column, edits: int = MAX_EDITS) -> Column:
-    """Whether two lines are within ``edits`` insertions, deletions and replacements of code points.
+    """Whether two texts are within ``edits`` insertions, deletions and replacements of code points.
 
     A bit-parallel edit distance over the band of diagonals: bit d of a column's vectors stands for the row
     ``column - edits + d``. The last diagonal's value is followed down to the last row, then along that row.
-    Both lines must be longer than ``edits``.
     """
     width = 2 * edits + 1
     mask = (1 << width) - 1
-    rows, n_rows = F.split(a, ""), F.length(a)
-
-    def equal_bits(char: Column, j: Column) -> Column:
-        """``j``: the column, from 0. Bits of the rows (from 0) j - edits .. j + edits that have this character."""
-        bits = F.lit(0)
-        for d in range(width):
-            i = j - edits + d
-            bits = bits + F.when((i >= 0) & (F.get(rows, F.greatest(i, F.lit(0))) == char), 1 << d).otherwise(0)
-        return F.struct(bits.alias("eq"), (j + 1).alias("j"))
-
-    def step(acc: Column, x: Column) -> Column:
-        eq, vp, vn = x["eq"], acc["vp"], acc["vn"]
-        diagonal = ((eq.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(eq).bitwiseOR(vn).bitwiseAND(F.lit(mask))
-
-        def after(d0: Column) -> Column:
-            up = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp))).bitwiseAND(F.lit(mask))
-            down = d0.bitwiseAND(vp)
-            row = n_rows - x["j"] + edits  # the last row's bit in this column
-            along = _bit(up, row) - _bit(down, row)
-            gone = F.when(row >= 2 * edits, 1 - _bit(d0, F.lit(2 * edits))).otherwise(along)
-            lower = F.shiftright(d0, 1)
-            return F.struct(
-                down.bitwiseOR(F.bitwise_not(lower.bitwiseOR(up))).bitwiseAND(F.lit(mask)).alias("vp"),
-                lower.bitwiseAND(up).alias("vn"),
-                (acc["dist"] + gone).alias("dist"),
-            )
-
-        return _let(diagonal, after)
-
-    start = F.struct(F.lit(mask ^ ((1 << edits) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("dist"))
-    ends = F.aggregate(F.transform(F.split(b, ""), equal_bits), start, step)["dist"]
-    return (F.abs(n_rows - F.length(b)) <= edits) & (ends <= edits)
+
+    def last_value(rows: Column) -> Column:
+        def equal_bits(char: Column, j: Column) -> Column:
+            """``j``: the column, from 0. Bits of the rows (from 0) j - edits .. j + edits that have this character."""
+            bits = F.lit(0)
+            for d in range(width):
+                i = j - edits + d
+                bits = bits + F.when((i >= 0) & (F.get(rows, i) == char), 1 << d).otherwise(0)
+            return F.struct(bits.alias("eq"), (F.size(rows) - j - 1 + edits).alias("row"))
+
+        def step(acc: Column, x: Column) -> Column:
+            eq, vp, vn = x["eq"], acc["vp"], acc["vn"]
+            diagonal = ((eq.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(eq).bitwiseOR(vn).bitwiseAND(F.lit(mask))
+
+            def after(d0: Column) -> Column:
+                def both(up: Column) -> Column:
+                    down, lower = d0.bitwiseAND(vp), F.shiftright(d0, 1)
+                    row = x["row"]  # the last row's bit in this column
+                    gone = F.when(row >= 2 * edits, 1 - F.shiftright(d0, 2 * edits)).otherwise(_bit(up, row) - _bit(down, row))
+                    return F.struct(
+                        down.bitwiseOR(F.bitwise_not(lower.bitwiseOR(up))).bitwiseAND(F.lit(mask)).alias("vp"),
+                        lower.bitwiseAND(up).alias("vn"),
+                        (acc["dist"] + gone).alias("dist"),
+                    )
+
+                return _let(vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp))).bitwiseAND(F.lit(mask)), both)
+
+            return _let(diagonal, after)
+
+        start = F.struct(F.lit(mask ^ ((1 << edits) - 1)).alias("vp"), F.lit(0).alias("vn"), F.least(F.lit(edits), F.size(rows)).alias("dist"))
+        return F.aggregate(F.transform(F.split(b, ""), equal_bits), start, step)["dist"]
+
+    def chars(text: Column) -> Column:
+        return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
+
+    value = F.when(b == "", F.length(a)).otherwise(_let(chars(a), last_value))
+    return F.when(F.abs(F.length(a) - F.length(b)) <= edits, value <= edits).otherwise(False)
 
 
 def _bit(bits: Column, at: Column) -> Column:
@@ -116,11 +139,12 @@ def near_lines(lines: DataFrame) -> DataFrame:
     base, lower = F.col("n") - F.col("n") % LENGTH_CLASS, F.col("n") - MAX_EDITS - (F.col("n") - MAX_EDITS) % LENGTH_CLASS
     here = segments(F.col("line"), F.col("n"), base, (0, -1, 1))
     below = F.when(lower != base, F.array(*segments(F.col("line"), F.col("n"), lower, (0, -1, 1)))).otherwise(F.array().cast("array<bigint>"))
-    keyed = long.select("h", F.struct(letter_counts(F.col("line"), F.col("n")).alias("counts"), F.array(*here).alias("here"), below.alias("below")).alias("k"))
+    keyed = long.select("h", F.struct(letter_counts(F.col("line"), F.col("n")).alias("c"), F.array(*here).alias("here"), below.alias("below")).alias("k"))
     keyed = keyed.groupBy("h").agg(F.first("k").alias("k")).select("h", "k.*")  # one row for all copies, made before the shuffle
-    index = keyed.select(F.col("h").alias("a"), F.col("counts").alias("ca"), F.explode(F.slice("here", 1, 3)).alias("key"))
-    probe = keyed.select(F.col("h").alias("b"), F.col("counts").alias("cb"), F.explode(F.concat("here", "below")).alias("key"))
-    on = (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & counts_near(F.col("ca"), F.col("cb"))
+    signs = range(len(LETTERS))
+    index = keyed.select(F.col("h").alias("a"), *[F.col("c")[i].alias(f"ca{i}") for i in signs], F.explode(F.slice("here", 1, 3)).alias("key"))
+    probe = keyed.select(F.col("h").alias("b"), *[F.col("c")[i].alias(f"cb{i}") for i in signs], F.explode(F.concat("here", "below")).alias("key"))
+    on = (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & counts_near([F.col(f"ca{i}") for i in signs], [F.col(f"cb{i}") for i in signs])
     pairs = index.join(probe, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = cut_lineage(pairs.distinct())
 
@@ -128,7 +152,9 @@ def near_lines(lines: DataFrame) -> DataFrame:
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     texts = cut_lineage(long.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")))
     both = pairs.join(texts.withColumnsRenamed({"h": "a", "line": "la"}), "a").join(texts.withColumnsRenamed({"h": "b", "line": "lb"}), "b")
-    return cut_lineage(both.filter(within_edits(F.col("la"), F.col("lb"))).select("a", "b"))
+    both = without_common_ends(both.repartition(shuffle_partitions(both)), "la", "lb")
+    # Written before it is filtered: a filter would be pushed through all those projections, and grow with each.
+    return cut_lineage(both.select("a", "b", within_edits(F.col("la"), F.col("lb")).alias("near"))).filter("near").select("a", "b")
 
 
 def line_classes(docs: DataFrame) -> DataFrame:

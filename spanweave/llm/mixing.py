@@ -40,7 +40,8 @@ def targets(sources: DataFrame, weights: list[float], share: float, most: float)
         .withColumn("cap", most * F.col("source_size"))
         .withColumn("full_at", F.col("cap") / F.col("weight"))
         .withColumn("level", (share * F.sum("source_size").over(one) - before) / open_weight)
-        .withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(one))
+        # The first source in the order that doesn't fill sets the level; to those after it a level can only come out lower.
+        .withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(one))
         .withColumn("target", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), F.col("cap")))
         .select("source", "source_size", "target")
     )
@@ -55,7 +56,7 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.0, most: float =
     sizes are summed by source and hash bucket, and only the bucket on the boundary is looked at more
     finely, level by level.
 
-    Returns ``doc_id, size, source_size, target, taken``, one row for each row of ``docs``. A null or empty
+    Returns ``doc_id, source, size, source_size, target, taken``, one row for each row of ``docs``. A null or empty
     text has size 0 and is taken 0 times; a null source is a source. Documents of one id (a null id, too)
     have one hash and are taken or left together. Reruns agree. An empty table gives no rows.
     """
@@ -80,11 +81,11 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.0, most: float =
     limit = edge.select(F.col("source").alias("s"), (F.col("prefix") + F.when(nearer, 1).otherwise(0)).alias("threshold"))
     final = plan.join(limit, plan["source"].eqNullSafe(limit["s"]), "left").select("source", "source_size", "target", "whole", "threshold")
     extra = F.when(F.col("h") < F.coalesce(F.col("threshold"), F.lit(1 << BITS)), 1).otherwise(0)
-    return lookup(sized, final, "source", F.col("doc_id")).select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + extra)).alias("taken"))
+    return lookup(sized, final, "source", F.col("doc_id")).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("whole") + extra)).alias("taken"))
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), weights=[3, 1, 2], share=1.5, most=2.0)
+    return mix(table(spark, sf_dir, "documents"), weights=[3, 1, 2], share=1.5, most=2.0).drop("source")
 
 
 OP6_SQL = r"""
@@ -102,7 +103,7 @@ WITH d AS (
       / sum(weight) OVER (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM s
 ), t AS (
-  SELECT source, source_size, coalesce(least(cap, weight * min(CASE WHEN level * weight <= cap THEN level END) OVER ()), cap) AS target FROM l
+  SELECT source, source_size, coalesce(least(cap, weight * max(CASE WHEN level * weight <= cap THEN level END) OVER ()), cap) AS target FROM l
 ), p AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t
 ), g AS (

@@ -35,6 +35,11 @@ def _fingerprints(text: pd.Series) -> pd.Series:
     return pd.Series(np.array([fingerprint_of(t) for t in text], dtype=np.uint64).view(np.int64))
 
 
+def prints(text: Column) -> Column:
+    """Fingerprints of whole texts, as long."""
+    return F.pandas_udf(_fingerprints, "long")(text)
+
+
 GENERATOR, CODE_BITS, DATA_BITS = 0b101011100011, 23, 12
 
 
@@ -89,11 +94,11 @@ def _keys(prints: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"l": left, "r": right})
 
 
-def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Pairs ``a, b`` (a < b) of distinct fingerprints (column ``print``, long) that differ in up to ``radius`` (at most 3) bits."""
     if radius > 3:
         raise ValueError("the segments hold for up to 3 bits")
-    keyed = cut_lineage(prints.select("print").distinct().withColumn("k", F.pandas_udf(_keys, "struct<l:array<long>,r:array<long>>")("print")))
+    keyed = cut_lineage(nodes.select("print").distinct().withColumn("k", F.pandas_udf(_keys, "struct<l:array<long>,r:array<long>>")("print")))
     left = keyed.select(F.col("print").alias("a"), F.explode("k.l").alias("key"))
     right = keyed.select(F.col("print").alias("b"), F.explode("k.r").alias("key"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
@@ -111,7 +116,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     any other. Null ids are never a component's id; if it has no other, that is null. Repeated rows stay. An
     empty table gives no rows.
     """
-    printed = cut_lineage(docs.select("doc_id", F.pandas_udf(_fingerprints, "long")("text").alias("print")))
+    printed = cut_lineage(docs.select("doc_id", prints(F.col("text")).alias("print")))
     nodes = cut_lineage(printed.groupBy("print").agg(F.min("doc_id").alias("first")))
     roots = components(links(nodes, radius))
     rooted = nodes.join(roots, nodes["print"] == roots["node"], "left").select("print", "first", F.coalesce("root", "print").alias("root"))
