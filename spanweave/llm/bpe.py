@@ -21,7 +21,7 @@ from spanweave.llm.lexicon import Lexicon
 #: How byte-level BPE splits a text into words. A fixed value, but for L, N and X: letters, numbers and what is neither.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?L+| ?N+| ?X+|\s+(?!\S)|\s+"
 #: Words of a process's cache, and characters of texts that are encoded together.
-CACHE, CHUNK = 400_000, 2_000_000
+CACHE, CHUNK = 200_000, 1_000_000
 
 
 @cache
