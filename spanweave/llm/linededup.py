@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import BROADCAST_ROWS, cut_lineage, shuffle_partitions, table
+from spanweave.llm.common import cut_lineage, shuffle_partitions, table
 from spanweave.llm.graph import components
 
 MAX_EDITS = 2
@@ -21,6 +21,8 @@ MAX_EDITS = 2
 MIN_EXACT, MIN_NEAR = 10, 40
 #: Lengths are rounded down to this for the places of segments.
 LENGTH_CLASS = 16
+#: A set of at most so many line hashes (8 bytes each) is broadcast; with a larger one the lines are shuffled.
+BROADCAST_HASHES = 1_000_000
 #: Letters that are counted (modulo 32) to compare lines cheaply; any would do.
 LETTERS = ("etaoinhrsdlu", "mcfgpwbyvk q")
 
@@ -134,23 +136,32 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def near_lines(lines: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` (a < b) of hashes of different lines within ``MAX_EDITS`` edits, both of ``MIN_NEAR`` characters or more."""
+    """Pairs ``a, b`` (a < b) of hashes of different lines within ``MAX_EDITS`` edits, both of ``MIN_NEAR`` characters or more.
+
+    Few lines share a piece with another line; letters are counted, and texts are fetched, for those only.
+    """
     long = lines.select("h", "line", "n").filter(F.col("n") >= MIN_NEAR)
     base, lower = F.col("n") - F.col("n") % LENGTH_CLASS, F.col("n") - MAX_EDITS - (F.col("n") - MAX_EDITS) % LENGTH_CLASS
     here = segments(F.col("line"), F.col("n"), base, (0, -1, 1))
     below = F.when(lower != base, F.array(*segments(F.col("line"), F.col("n"), lower, (0, -1, 1)))).otherwise(F.array().cast("array<bigint>"))
-    keyed = long.select("h", F.struct(letter_counts(F.col("line"), F.col("n")).alias("c"), F.array(*here).alias("here"), below.alias("below")).alias("k"))
-    keyed = keyed.groupBy("h").agg(F.first("k").alias("k")).select("h", "k.*")  # one row for all copies, made before the shuffle
+    keyed = long.select("h", F.concat(F.array(*here), below).alias("keys"))
+    keyed = keyed.groupBy("h").agg(F.first("keys").alias("keys"))  # one row for all copies, made before the shuffle
+    pieces = keyed.select("h", F.posexplode("keys").alias("place", "key"))  # the first three are the index, all are looked up
+    shared = pieces.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.min("place").alias("first")).filter("lo <> hi and first < 3").select("key")
+    pieces = cut_lineage(pieces.join(shared, "key", "left_semi").select("h", "key", (F.col("place") < 3).alias("indexed")))
+
+    wanted = pieces.select("h").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_HASHES else wanted
+    texts = long.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
+    texts = cut_lineage(texts.select("h", "line", letter_counts(F.col("line"), F.length("line")).alias("c")))
     signs = range(len(LETTERS))
-    index = keyed.select(F.col("h").alias("a"), *[F.col("c")[i].alias(f"ca{i}") for i in signs], F.explode(F.slice("here", 1, 3)).alias("key"))
-    probe = keyed.select(F.col("h").alias("b"), *[F.col("c")[i].alias(f"cb{i}") for i in signs], F.explode(F.concat("here", "below")).alias("key"))
+    counted = pieces.join(texts.select("h", *[F.col("c")[i].alias(f"c{i}") for i in signs]), "h")
+    index = counted.filter("indexed").select(F.col("h").alias("a"), *[F.col(f"c{i}").alias(f"ca{i}") for i in signs], "key")
+    probe = counted.select(F.col("h").alias("b"), *[F.col(f"c{i}").alias(f"cb{i}") for i in signs], "key")
     on = (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & counts_near([F.col(f"ca{i}") for i in signs], [F.col(f"cb{i}") for i in signs])
     pairs = index.join(probe, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = cut_lineage(pairs.distinct())
-
-    wanted = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = cut_lineage(long.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")))
+    texts = texts.drop("c")
     both = pairs.join(texts.withColumnsRenamed({"h": "a", "line": "la"}), "a").join(texts.withColumnsRenamed({"h": "b", "line": "lb"}), "b")
     both = without_common_ends(both.repartition(shuffle_partitions(both)), "la", "lb")
     # Written before it is filtered: a filter would be pushed through all those projections, and grow with each.
