@@ -14,7 +14,7 @@ TIME_UNIT, LOG_UNIT = "(s|ms|us|ns)", r"\b(ms|s|qps)\b"
 SUMMARY_SECTIONS = {"GPU activities": "gpu_activities", "API calls": "api_calls"}
 LOG_SECTIONS = r"(?i)(Host Latency|GPU Compute|Enqueue Time)$"
 #: Kinds of copies in a profiler's database.
-COPY_KINDS = {1: "[CUDA memcpy HtoD]", 2: "[CUDA memcpy DtoH]", 8: "[CUDA memcpy DtoD]", 10: "[CUDA memcpy PtoP]"}
+COPY_KINDS = {1: "[CUDA memcpy HtoD]", 2: "[CUDA memcpy DtoH]", 8: "[CUDA memcpy DtoD]"}
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
