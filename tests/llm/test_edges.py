@@ -131,7 +131,9 @@ def test_banded_edit_distance(spark):
     assert all(r.near == (edit_distance(r.a, r.b) <= 2) for r in df.collect())
 
 
-def test_near_lines_as_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [0, 1_000_000])
+def test_near_lines_as_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(linededup, "BROADCAST_HASHES", broadcast)
     rng = random.Random(6)
     base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(40, 70))) for _ in range(12)]
     lines = set(base)
