@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanweave.llm import jaccard
 from spanweave.llm.common import cut_lineage, table
 from spanweave.llm.graph import components
 
@@ -105,9 +106,13 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int | None = None) -> DataFrame:
     """Fingerprint and component of each document.
 
+    Without a ``radius``, texts link where their five-word shingles have a similarity of 0.8 or more, which is about
+    10 differing bits: too many for the segments. Those pairs are found and counted by ``jaccard.near_duplicates``,
+    and ``print`` is then its number of the text's shingles. What follows is for a ``radius``.
+
     Uses columns ``doc_id, text``; others are ignored. Texts of one fingerprint are one node, so that copies
     are never paired with each other; nodes link at ``radius`` or fewer differing bits.
 
@@ -116,6 +121,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     any other. Null ids are never a component's id; if it has no other, that is null. Repeated rows stay. An
     empty table gives no rows.
     """
+    if radius is None:
+        return jaccard.near_duplicates(docs)
     printed = cut_lineage(docs.select("doc_id", prints(F.col("text")).alias("print")))
     nodes = cut_lineage(printed.groupBy("print").agg(F.min("doc_id").alias("first")))
     roots = components(links(nodes, radius))
@@ -130,5 +137,5 @@ def hex_print(value: Column) -> Column:
 
 
 def op9_simhash_golay(spark, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_duplicates(table(spark, sf_dir, "documents"), RADIUS)
     return found.select("doc_id", hex_print(F.col("print")).alias("fingerprint"), "component_id")
