@@ -12,6 +12,8 @@ from spanweave.llm.common import cut_lineage, lookup, table
 
 #: At most about so many labelled URLs are used for training, by a hash of the URL.
 MAX_TRAIN = 20_000
+#: Statistics of suffixes, for the training rows, leave out the row's own one of so many folds.
+FOLDS = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ["f_length", "f_host_length", "f_depth", "f_labels", "f_hyphens", "f_digits", "f_entropy", "f_params", "f_suffix"]
 
@@ -65,7 +67,9 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]], labels: Data
     Uses ``page_id, url``; others are ignored. The trees are trained on labelled URLs: ``labels`` (``url,
     verdict``: block or allow) if given, else the URLs that a rule decides. About ``max_train`` of them are
     used, chosen by a hash of the URL; statistics of host suffixes (smoothed share of blocked ones) come from
-    all of them. With no labelled URL all are allowed; with labels of one kind only, that is the verdict.
+    all of them, for training without the row's own fold. Where rules give the labels, a suffix is neutral (0.5)
+    if it is itself a rule's host, or if its labels are of one kind: that says what the rules list, not what its
+    other URLs are. With no labelled URL all are allowed; with labels of one kind only, that is the verdict.
 
     Returns ``page_id, host, path, rule, verdict, score``, one row for each row of ``pages``; ``score`` is the
     trees' probability to block, null where they weren't asked. Null URLs have an empty host and path.
@@ -79,21 +83,27 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]], labels: Data
         host, path = host_and_path(F.col("url"))
         known = lexical(labels.select("url", "verdict").filter("verdict is not null").withColumn("host", host).withColumn("path", path))
         known = known.withColumn("label", (F.col("verdict") == "block").cast("double"))
-    suffixes = known.groupBy("suffix").agg(((F.sum("label") + 1) / (F.count("*") + 2)).alias("f_suffix"))
+    fold, blocks = F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(FOLDS)).cast("int"), F.sum("label")
+    others = [(F.sum(F.when(fold != i, F.col("label")).otherwise(0.0)) + 1) / (F.count(F.when(fold != i, 1)) + 2) for i in range(FOLDS)]
+    suffixes = known.groupBy("suffix").agg(((blocks + 1) / (F.count("*") + 2)).alias("f_suffix"), F.array(*others).alias("f_others"), ((blocks > 0) & (blocks < F.count("*"))).alias("both"))
+    if labels is None:
+        suffixes = suffixes.filter(F.col("both") & ~F.col("suffix").isin([host for host, _, _ in rules]))
+    suffixes = suffixes.drop("both")
     n, blocked = known.agg(F.count("*"), F.sum("label")).first()
     hit = [F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("verdict")]
     if not n or blocked in (0, n):
         only = "block" if n and blocked else "allow"
         return df.select("page_id", "host", "path", hit[0], F.coalesce("hit.verdict", F.lit(only)).alias("verdict"), F.lit(None).cast("double").alias("score"))
 
-    def vectors(part: DataFrame) -> DataFrame:
-        joined = lookup(part, suffixes, "suffix", F.col("url")).fillna(0.5, ["f_suffix"])
-        return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(joined)
+    def vectors(part: DataFrame, training: bool = False) -> DataFrame:
+        joined = lookup(part, suffixes, "suffix", F.col("url"))
+        joined = joined.withColumn("f_suffix", F.coalesce(F.get("f_others", fold) if training else F.col("f_suffix"), F.lit(0.5)))
+        return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(joined.drop("f_others"))
 
     chosen = known.filter(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < F.lit(min(1_000_000, 1_000_000 * max_train // n)))
-    train = cut_lineage(vectors(chosen).select("label", "features").coalesce(8))
+    train = cut_lineage(vectors(chosen, True).select("label", "features").coalesce(8))
     if train.filter("label = 1").isEmpty() or train.filter("label = 0").isEmpty():
-        train = cut_lineage(vectors(known).select("label", "features"))
+        train = cut_lineage(vectors(known, True).select("label", "features"))
     model = GBTClassifier(maxIter=15, maxDepth=3, stepSize=0.3, seed=7, maxMemoryInMB=128).fit(train)
     scored = model.transform(vectors(df))
     p = vector_to_array("probability")[1]
