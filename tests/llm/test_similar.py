@@ -52,3 +52,11 @@ def test_stage_drops_copies_with_changed_words(spark):
     copy = [f"x{i}" if i % 45 == 20 else w for i, w in enumerate(words)]  # similarity 0.81, 7 bits
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(copy)), (3, " ".join(reversed(words)))], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.copies_stage(spark, docs, "").collect()) == [1, 3]
+
+
+def test_stage_with_one_id_for_two_texts(spark):
+    """Each component keeps its first document, though another text has the same id."""
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, one), (1, two), (1, two), (2, two), (None, one), (None, "c d e"), (None, "c d e")], "doc_id long, text string")
+    kept = [tuple(r) for r in corpus_pipeline.copies_stage(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted([(1, one), (1, two), (None, "c d e")], key=str)
