@@ -18,6 +18,8 @@ from spanweave.llm.urlfilter import LOWER, UPPER
 SHINGLE = 5
 #: A shingle that is a key of more texts than this is put last in the order. Any value gives the same pairs.
 COMMON = 64
+#: At most so many hashes of texts (8 bytes each, and their sets' numbers) are broadcast; with more the texts are shuffled.
+BROADCAST_HASHES = 500_000
 
 
 def shingles(text: Column) -> Column:
@@ -46,18 +48,26 @@ def alike(shared: Column, a: Column, b: Column) -> Column:
     return 9 * shared >= 4 * (a + b)
 
 
-def _keys(nodes: DataFrame) -> DataFrame:
-    """``node, n, key, at``: the first shingles of each set in the common order, and their places."""
-    first = nodes.select("node", "n", F.posexplode(F.slice("s", 1, prefix(F.col("n")))).alias("at", "key"))
+def sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, n, s`` of the ``wanted`` (``node, n, version``). All sets take more room than the texts: few are made, from those."""
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_HASHES else wanted
+    texts = docs.select("text", F.xxhash64("text").alias("v")).join(wanted, F.col("v") == F.col("version"))
+    return cut_lineage(texts.select("node", "n", shingles(F.col("text")).alias("s"))).dropDuplicates(["node"])
+
+
+def _keys(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, n, version, key, at``: the first shingles of each set in the common order, and their places."""
+    first = nodes.select("node", "n", "version", F.posexplode("first").alias("at", "key"))
     common = cut_lineage(first.groupBy("key").count().filter(F.col("count") > COMMON).select("key"))
     if common.isEmpty():
         return first
-    moved = cut_lineage(first.join(common, "key", "left_semi").select("node").distinct())
-    every = nodes.join(moved, "node", "left_semi").select("node", "n", F.explode("s").alias("key"))
+    moved = cut_lineage(first.join(common, "key", "left_semi").select("node", "n", "version").distinct())
+    every = sets(docs, moved).select("node", "n", F.explode("s").alias("key"))
     every = every.join(common.withColumn("last", F.lit(True)), "key", "left").withColumn("last", F.coalesce("last", F.lit(False)))
     order = every.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("last", "key"))).alias("s"))
-    after = order.select("node", "n", F.posexplode(F.slice("s", 1, prefix(F.col("n")))).alias("at", "x")).select("node", "n", "at", F.col("x.key").alias("key"))
-    return first.join(moved, "node", "left_anti").select("node", "n", "at", "key").union(after)
+    after = order.join(moved.select("node", "version"), "node").select("node", "n", "version", F.posexplode(F.slice("s", 1, prefix(F.col("n")))).alias("at", "x"))
+    after = after.select("node", "n", "version", "at", F.col("x.key").alias("key"))
+    return first.join(moved, "node", "left_anti").select("node", "n", "version", "at", "key").union(after)
 
 
 def _can_be_alike(a: str, b: str) -> Column:
@@ -66,47 +76,48 @@ def _can_be_alike(a: str, b: str) -> Column:
     return alike(rest, F.col(f"{a}.n"), F.col(f"{b}.n"))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     pairs = cut_lineage(pairs.distinct())
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = cut_lineage(nodes.join(wanted, "node", "left_semi"))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    found = cut_lineage(sets(docs, nodes.join(wanted, "node", "left_semi").select("node", "n", "version")))
+    both = pairs.join(found.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(found.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     return both.filter(alike(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"))).select("a", "b")
 
 
-def linked(nodes: DataFrame) -> DataFrame:
-    """``node, root`` of every set (``node, s, n``) that is joined with another by pairs of similarity 4/5 or more.
+def linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, root`` of every set (``node, n, version, first``) that is joined with another by pairs of similarity 4/5 or more.
 
     First each is compared with one set of each key, which joins large groups of copies without all their pairs;
     then all that share a key and aren't joined yet.
     """
-    keys = _keys(nodes).select("key", F.struct("node", "n", "at").alias("x"))
+    keys = _keys(docs, nodes).select("key", F.struct("node", "n", "at").alias("x"))
     shared = keys.groupBy("key").agg(F.min("x").alias("c"), F.max("x.node").alias("most")).filter(F.col("c.node") < F.col("most")).select(F.col("key").alias("k"), "c")
     keys = cut_lineage(keys.join(shared, F.col("key") == F.col("k")).select("key", "x", "c"))
     star = keys.filter((F.col("x.node") != F.col("c.node")) & _can_be_alike("x", "c"))
-    edges = cut_lineage(_verified(star.select(F.col("c.node").alias("a"), F.col("x.node").alias("b")), nodes))
+    edges = cut_lineage(_verified(star.select(F.col("c.node").alias("a"), F.col("x.node").alias("b")), docs, nodes))
     roots = components(edges)
     rooted = keys.join(roots, F.col("x.node") == F.col("node"), "left").select("key", "x", F.coalesce("root", F.col("x.node")).alias("r"))
     several = rooted.groupBy("key").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).filter("lo < hi").select("key")
     rooted = cut_lineage(rooted.join(several, "key", "left_semi"))
     left, right = rooted.select("key", F.col("x").alias("y"), F.col("r").alias("ry")), rooted.select(F.col("key").alias("k"), "x", "r")
     rest = left.join(right, (F.col("key") == F.col("k")) & (F.col("y.node") < F.col("x.node")) & (F.col("ry") != F.col("r")) & _can_be_alike("y", "x"))
-    return components(edges.union(_verified(rest.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")), nodes)))
+    return components(edges.union(_verified(rest.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")), docs, nodes)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Component of each document: texts with a similarity of 4/5 or more are linked.
 
     Uses ``doc_id, text``; others are ignored. Texts with the same shingles are one node, as are all null and empty
-    texts and those without words. Returns ``doc_id, print (long: the set's number), root (long), component_id``, one row for each row
+    texts and those without words. Returns ``doc_id, print (long: the set's number), version (a hash of
+    the text), root (long), component_id``, one row for each row
     of ``docs``: ``root`` names the component, ``component_id`` is its smallest doc_id, null if it has none. An empty
     table gives no rows.
     """
-    listed = cut_lineage(docs.select("doc_id", shingles(F.col("text")).alias("s")).withColumn("node", node(F.col("s"))))
-    nodes = listed.filter(F.size("s") > 0).select("node", "s", F.size("s").alias("n")).dropDuplicates(["node"])
-    nodes = cut_lineage(nodes)
-    roots = linked(nodes)
-    rooted = listed.select("doc_id", F.col("node").alias("own")).join(roots, F.col("own") == F.col("node"), "left")
-    rooted = cut_lineage(rooted.select("doc_id", F.col("own").alias("node"), F.coalesce("root", "own").alias("root")))
+    found = docs.select("doc_id", F.xxhash64("text").alias("version"), shingles(F.col("text")).alias("s")).withColumn("n", F.size("s"))
+    listed = cut_lineage(found.select("doc_id", "version", "n", node(F.col("s")).alias("node"), F.slice("s", 1, prefix(F.col("n"))).alias("first")))
+    nodes = cut_lineage(listed.filter("n > 0").select("node", "n", "version", "first").dropDuplicates(["node"]))
+    roots = linked(docs, nodes)
+    rooted = listed.select("doc_id", "version", F.col("node").alias("own")).join(roots, F.col("own") == F.col("node"), "left")
+    rooted = cut_lineage(rooted.select("doc_id", "version", F.col("own").alias("node"), F.coalesce("root", "own").alias("root")))
     firsts = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("root", "r")
-    return rooted.join(firsts, F.col("root") == F.col("r")).select("doc_id", F.col("node").alias("print"), "root", "component_id")
+    return rooted.join(firsts, F.col("root") == F.col("r")).select("doc_id", F.col("node").alias("print"), "version", "root", "component_id")
