@@ -111,7 +111,7 @@ def near_duplicates(docs: DataFrame, radius: int | None = None) -> DataFrame:
 
     Without a ``radius``, texts link where their five-word shingles have a similarity of 0.8 or more, which is about
     10 differing bits: too many for the segments. Those pairs are found and counted by ``jaccard.near_duplicates``,
-    and ``print`` is then its number of the text's shingles. What follows is for a ``radius``.
+    and ``print`` is then its number of the text's shingles, with more columns than listed here. What follows is for a ``radius``.
 
     Uses columns ``doc_id, text``; others are ignored. Texts of one fingerprint are one node, so that copies
     are never paired with each other; nodes link at ``radius`` or fewer differing bits.
