@@ -18,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster shares: the session's ``spark.checkpoint.dir``.
 
-    One of our own is set only where that and the context's folder are both unset, as in tests on one machine.
+    One of our own is set only where that and the context's folder are both unset and Spark runs on one machine, as in tests;
+    on a cluster without a folder this is an error.
     """
     context = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
@@ -32,27 +35,40 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drawn(share: float | Column, seed: str, *columns: str) -> Column:
+    """Whether a row is in a sample of about this share of all rows, by a hash of its columns; no share above 0 is too small for it."""
+    share = F.lit(float(share)) if isinstance(share, (int, float)) else share
+    most = F.lit((1 << 63) - 1)
+    limit = F.when(share >= 1, most).otherwise(F.greatest(F.lit(1), F.floor(F.least(share, F.lit(0.999)) * float(1 << 63))).cast("long"))
+    return F.xxhash64(*columns, F.lit(seed)).bitwiseAND(most) <= limit
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     """The session's number of shuffle partitions, for few rows of much work each, which Spark would put into few tasks."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: A lookup table of at most so many rows is broadcast; a larger one is joined by salted keys.
+#: A lookup table of at most so many rows is broadcast.
 BROADCAST_ROWS = 50_000
-SALTS = 64
+#: A key with more than one in so many rows is a hot one; there are fewer of these than that, so they can be broadcast.
+HOT_SHARE = 1000
 
 
-def lookup(big: DataFrame, small: DataFrame, key: str, spread: Column, how: str = "left") -> DataFrame:
-    """Join a table with one row a key to a large one whose keys may be very uneven.
+def lookup(big: DataFrame, small: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Join a table with one row a key (``small``) to a large one whose keys may be very uneven (``how``: left or inner).
 
-    Keys compare null-safe. ``spread`` is a column expression of ``big`` that deals the rows of one key
-    out evenly, used when ``small`` is too large to broadcast. The columns of ``small`` other than
-    ``key`` must not be columns of ``big``.
+    Keys compare null-safe. A small table is broadcast. Beyond ``BROADCAST_ROWS`` the rows of hot keys meet the few rows
+    of ``small`` that have those keys by broadcast, wherever they lie, and only the others are shuffled: no key has more
+    than a thousandth of the rows that are dealt by it. The columns of ``small`` other than ``key`` must not be columns
+    of ``big``.
     """
     renamed = small.withColumnRenamed(key, "__key")
+    on = big[key].eqNullSafe(F.col("__key"))
     if small.count() <= BROADCAST_ROWS:
-        return big.join(F.broadcast(renamed), big[key].eqNullSafe(F.col("__key")), how).drop("__key")
-    salted = renamed.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = big.withColumn("__t", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    on = dealt[key].eqNullSafe(salted["__key"]) & (dealt["__t"] == salted["__s"])
-    return dealt.join(salted, on, how).drop("__key", "__s", "__t")
+        return big.join(F.broadcast(renamed), on, how).drop("__key")
+    counts = big.groupBy(F.col(key).alias("__hot")).agg(F.count("*").alias("__n"))
+    hot = cut_lineage(counts.join(counts.agg(F.sum("__n").alias("__all"))).filter(F.col("__n") * HOT_SHARE > F.col("__all")).select("__hot"))
+    few = F.broadcast(renamed.join(F.broadcast(hot), F.col("__key").eqNullSafe(F.col("__hot")), "left_semi"))
+    is_hot = big[key].eqNullSafe(F.col("__hot"))
+    there = big.join(F.broadcast(hot), is_hot, "left_semi").join(few, on, how)
+    return there.union(big.join(F.broadcast(hot), is_hot, "left_anti").join(renamed, on, how)).drop("__key")

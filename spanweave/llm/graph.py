@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import cut_lineage
+from spanweave.llm.common import cut_lineage, lookup
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,11 +18,12 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut_lineage(both.filter("a <> b").distinct())
     labels = cut_lineage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        taken = labels.join(near, labels["node"] == near["a"]).select("node", "root", F.least("root", "near").alias("next"))
-        taken = cut_lineage(taken)
-        jump = taken.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        after = cut_lineage(taken.join(jump, "next").select("node", "root", F.least("next", "far").alias("new")))
+        # A hub is the neighbour of many, and a large component has one label: neither may be one task.
+        near = lookup(both, labels.withColumnsRenamed({"node": "b", "root": "beside"}), "b", "inner").groupBy("a").agg(F.min("beside").alias("near"))
+        taken = cut_lineage(labels.join(near, labels["node"] == near["a"]).select("node", "root", F.least("root", "near").alias("next")))
+        asked = taken.select(F.col("next").alias("want")).distinct()
+        jump = cut_lineage(asked.join(taken.select("node", F.col("next").alias("far")), F.col("want") == F.col("node")).select(F.col("want").alias("next"), "far"))
+        after = cut_lineage(lookup(taken, jump, "next", "inner").select("node", "root", F.least("next", "far").alias("new")))
         moved = after.filter("new <> root").limit(1).count()
         labels = after.select("node", F.col("new").alias("root"))
         if not moved:

@@ -1,42 +1,119 @@
 """Near-duplicates by Jaccard similarity of word shingles, missing none: a prefix-filtered join and exact counts.
 
-Shingles have one order for all texts. Of two sets with a similarity of at least 0.8, one shingle is among the first
-``size // 5 + 1`` of either, so those are the keys under which texts meet. The order is that of the hashes, with
-shingles that many texts have put last.
+Shingles have one order for all texts: that of their hashes, with shingles that many texts have put last. Of two sets
+with a similarity of at least 0.8, one shingle is among the first ``size // 5 + 1`` of either, so those are the keys
+under which texts meet. How many keys two texts share bounds what they can have in common; few pairs are left after that,
+and the whole texts of those are compared. Sets are made from the texts each time they are needed: written out, they
+would take more room than the texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from itertools import chain
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import cut_lineage
+from spanweave.llm.common import cut_lineage, lookup, shuffle_partitions
 from spanweave.llm.graph import components
-from spanweave.llm.urlfilter import LOWER, UPPER
 
-#: Words of a shingle. The similarity asked for is 4/5, which ``alike``, ``prefix`` and ``_can_be_alike`` have in whole numbers.
+#: Words of a shingle. The similarity asked for is 4/5, which ``alike`` and ``prefix`` have in whole numbers.
 SHINGLE = 5
 #: A shingle that is a key of more texts than this is put last in the order. Any value gives the same pairs.
 COMMON = 64
+#: At most so many common shingles (8 bytes each) are broadcast; with more, the sets of the texts that have any are shuffled.
+BROADCAST_COMMON = 1_000_000
 #: At most so many hashes of texts (8 bytes each, and their sets' numbers) are broadcast; with more the texts are shuffled.
 BROADCAST_HASHES = 500_000
+#: Characters of texts that a worker handles at once, unless one text is longer.
+CHUNK = 250_000
+#: Texts that are compared with one text within a task.
+FAN = 256
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finalizer of splitmix64, whose constants are fixed values."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted distinct hashes of the runs of ``size`` words of each text (A-Z as a-z); a shorter text is one run, one without words has none."""
+    words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]  # bytes: A-Z and ASCII white space only
+    flat = np.array(list(chain.from_iterable(words)), dtype=object)
+    h = pd.util.hash_array(flat, categorize=False) if len(flat) else np.zeros(0, np.uint64)
+    n, runs = len(h) - size + 1, np.zeros(max(0, len(h) - size + 1), np.uint64)
+    for k in range(size):
+        runs = runs * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n] if n > 0 else runs
+    runs = _mixed(runs).view(np.int64)
+    out, at = [], 0
+    for w in words:
+        if len(w) >= size:
+            out.append(np.unique(runs[at : at + len(w) - size + 1]))
+        else:
+            short = np.full(min(1, len(w)), len(w), np.uint64)
+            for x in h[at : at + len(w)]:
+                short = short * np.uint64(0x9E3779B97F4A7C15) + x
+            out.append(_mixed(short).view(np.int64))
+        at += len(w)
+    return out
+
+
+def _in_chunks(texts: pd.Series, size: int = CHUNK):
+    """Lists of neighbouring texts of about ``size`` characters."""
+    part, length = [], 0
+    for t in texts:
+        part.append(t)
+        length += len(t or "")
+        if length >= size:
+            yield part
+            part, length = [], 0
+    if part:
+        yield part
+
+
+def _node(s: np.ndarray) -> int:
+    """A set's number: a hash of its sorted members, 0 for the empty set."""
+    return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64)) if len(s) else 0
 
 
 def shingles(text: Column) -> Column:
-    """Sorted distinct hashes of the runs of ``SHINGLE`` words (A-Z as a-z); a shorter text is one run, one without words has none."""
-    words = F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), r"[\x20\x09-\x0D]+"), "")
+    """``shingle_sets`` of a column of whole texts, as array<long>."""
+
+    def made(texts: pd.Series) -> pd.Series:
+        return pd.Series([s for part in _in_chunks(texts) for s in shingle_sets(part)])
+
+    return F.pandas_udf(made, "array<long>")(text)
+
+
+def _summaries(texts: pd.Series) -> pd.Series:
+    return pd.Series([_node(s) for part in _in_chunks(texts) for s in shingle_sets(part)], dtype="int64")
+
+
+def _first(s: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int, bool]:
+    """The prefix of a set, those of ``common`` last; how many of it these are; and whether it is another one than without them."""
+    p = len(s) // 5 + 1
+    if not len(common) or not len(s):
+        return s[:p], 0, False
+    last = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
+    rest = s[~last]
+    return np.concatenate([rest, s[last]])[:p], max(0, min(p, len(s)) - len(rest)), bool(last[:p].any())
+
 
-    def runs(w: Column) -> Column:
-        last = F.greatest(F.size(w) - SHINGLE, F.lit(0))
-        return F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)])))
+PREFIXED = "struct<node:long,n:int,first:array<long>,n_common:int,moved:boolean>"
 
-    found = F.get(F.transform(F.array(words), runs), F.lit(0))
-    return F.coalesce(F.array_sort(F.array_distinct(found)), F.array().cast("array<bigint>"))
 
+def _prefixes(common: np.ndarray) -> Callable[[pd.Series], pd.DataFrame]:
+    def made(texts: pd.Series) -> pd.DataFrame:
+        rows = [(_node(s), len(s), *_first(s, common)) for part in _in_chunks(texts) for s in shingle_sets(part)]
+        return pd.DataFrame(rows, columns=["node", "n", "first", "n_common", "moved"])
 
-def node(found: Column) -> Column:
-    """A set's number: a hash, 0 for the empty set."""
-    return F.when(F.size(found) == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(found))
+    return made
 
 
 def prefix(size: Column) -> Column:
@@ -48,76 +125,123 @@ def alike(shared: Column, a: Column, b: Column) -> Column:
     return 9 * shared >= 4 * (a + b)
 
 
-def sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, n, s`` of the ``wanted`` (``node, n, version``). All sets take more room than the texts: few are made, from those."""
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, text``, one row for each of ``wanted`` (``node, version``)."""
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_HASHES else wanted
-    texts = docs.select("text", F.xxhash64("text").alias("v")).join(wanted, F.col("v") == F.col("version"))
-    return cut_lineage(texts.select("node", "n", shingles(F.col("text")).alias("s"))).dropDuplicates(["node"])
+    found = docs.select("text", F.xxhash64("text").alias("v")).join(wanted, F.col("v") == F.col("version"))
+    return found.groupBy("node").agg(F.first("text").alias("text"))
 
 
-def _keys(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, n, version, key, at``: the first shingles of each set in the common order, and their places."""
-    first = nodes.select("node", "n", "version", F.posexplode("first").alias("at", "key"))
+def _nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``node, version, n, first, n_common`` of each set that has members, once; and keys (``key, many``) of many sets."""
+    first = docs.select(F.explode(F.pandas_udf(_prefixes(np.zeros(0, np.int64)), PREFIXED)("text")["first"]).alias("key"))
     common = cut_lineage(first.groupBy("key").count().filter(F.col("count") > COMMON).select("key"))
-    if common.isEmpty():
-        return first
-    moved = cut_lineage(first.join(common, "key", "left_semi").select("node", "n", "version").distinct())
-    every = sets(docs, moved).select("node", "n", F.explode("s").alias("key"))
+    few = common.count() <= BROADCAST_COMMON
+    known = np.sort(common.toArrow()["key"].to_numpy()) if few else np.zeros(0, np.int64)
+    made = docs.select(F.xxhash64("text").alias("version"), F.pandas_udf(_prefixes(known), PREFIXED)("text").alias("s"))
+    once = made.groupBy("s.node").agg(F.first(F.struct("version", "s.n", "s.first", "s.n_common", "s.moved")).alias("x"))
+    nodes = cut_lineage(once.filter("x.n > 0").select("node", "x.*"))  # filtered here, as a filter before would make all sets twice
+    nodes = nodes if few else _reordered(docs, nodes, common)
+    # Keys that took the place of common ones were not counted.
+    again = nodes.filter("moved").select(F.explode("first").alias("key")).groupBy("key").count().filter(F.col("count") > COMMON).select("key")
+    return nodes, cut_lineage(common.union(again).distinct().withColumn("many", F.lit(True)))
+
+
+def _reordered(docs: DataFrame, nodes: DataFrame, common: DataFrame) -> DataFrame:
+    """The nodes with the common shingles put last where these are too many for a worker: by joins."""
+    moved = cut_lineage(nodes.select("node", "n", "version", F.explode("first").alias("key")).join(common, "key", "left_semi").select("node", "n", "version").distinct())
+    every = _texts(docs, moved.select("node", "version")).select("node", F.explode(shingles(F.col("text"))).alias("key"))
     every = every.join(common.withColumn("last", F.lit(True)), "key", "left").withColumn("last", F.coalesce("last", F.lit(False)))
-    order = every.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("last", "key"))).alias("s"))
-    after = order.join(moved.select("node", "version"), "node").select("node", "n", "version", F.posexplode(F.slice("s", 1, prefix(F.col("n")))).alias("at", "x"))
-    after = after.select("node", "n", "version", "at", F.col("x.key").alias("key"))
-    return first.join(moved, "node", "left_anti").select("node", "n", "version", "at", "key").union(after)
+    order = every.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("last", "key"))).alias("s")).join(moved, "node")
+    first = F.slice("s", 1, prefix(F.col("n")))
+    after = order.select("node", "version", "n", F.transform(first, lambda x: x["key"]).alias("first"), F.size(F.filter(first, lambda x: x["last"])).alias("n_common"), F.lit(True).alias("moved"))
+    return cut_lineage(nodes.join(moved.select("node"), "node", "left_anti").unionByName(after))
+
+
+def _shared(nodes: DataFrame, many: DataFrame) -> DataFrame:
+    """``key, node, centre`` for every key of two sets or more; the centre is the smallest of them.
+
+    The others' keys are dealt out once; those of many sets are put together before they are shuffled.
+    """
+    keys = nodes.select("node", F.explode("first").alias("key"))
+    known = many.count() <= BROADCAST_COMMON
+    marked = keys.join(F.broadcast(many), "key", "left") if known else lookup(keys, many, "key")
+    by_key = Window.partitionBy("key")
+    rare = marked.filter("many is null").select("key", "node", F.min("node").over(by_key).alias("centre"), F.max("node").over(by_key).alias("most"))
+    hot = marked.filter("many").select("key", "node")
+    ends = cut_lineage(hot.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("most")))
+    return cut_lineage(rare.union(lookup(hot, ends, "key", "inner").select("key", "node", "centre", "most")).filter("centre < most").select("key", "node", "centre"))
+
+
+def _can_be_alike(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``a, b`` of the pairs (``a, b, s``: keys in common) that can have a similarity of 4/5.
+
+    The prefix that ends first holds all members up to its end, so of that set no more than the keys in common and what
+    comes after its prefix can be in the other.
+    """
+    for side in "ab":
+        pairs = pairs.join(sizes.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "keys", "end")]), side)
+    most = F.when(F.col("a_end") <= F.col("b_end"), F.col("a_n") - F.col("a_keys")).otherwise(F.col("b_n") - F.col("b_keys")) + F.col("s")
+    return pairs.filter(alike(F.least(most, "a_n", "b_n"), F.col("a_n"), F.col("b_n"))).select("a", "b")
 
 
-def _can_be_alike(a: str, b: str) -> Column:
-    """Sizes and places of a key: true for at least the first key that two alike sets share."""
-    rest = F.least(F.col(f"{a}.n") - F.col(f"{a}.at"), F.col(f"{b}.n") - F.col(f"{b}.at"))
-    return alike(rest, F.col(f"{a}.n"), F.col(f"{b}.n"))
+def _alike_texts(a: pd.Series, b: pd.Series) -> pd.Series:
+    out, last, known = [], None, np.zeros(0, np.int64)
+    for x, y in zip(a, b, strict=True):
+        if x is not last:
+            last, known = x, shingle_sets([x])[0]
+        other = shingle_sets([y])[0]
+        out.append(9 * len(np.intersect1d(known, other, assume_unique=True)) >= 4 * (len(known) + len(other)))
+    return pd.Series(out, dtype=bool)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    pairs = cut_lineage(pairs.distinct())
+    """The pairs (``a, b``) whose whole texts are alike. A text with many partners is compared with parts of them in several tasks."""
+    pairs = cut_lineage(pairs)
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    found = cut_lineage(sets(docs, nodes.join(wanted, "node", "left_semi").select("node", "n", "version")))
-    both = pairs.join(found.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(found.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    return both.filter(alike(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"))).select("a", "b")
+    texts = _texts(docs, cut_lineage(nodes.join(wanted, "node", "left_semi").select("node", "version")))
+    fans = cut_lineage(pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("fan")))
+    dealt = lookup(pairs, fans, "a", "inner").withColumn("part", F.pmod(F.xxhash64("b"), F.col("fan")))
+    right = dealt.select("a", "b", "part").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    left = fans.select("a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("part")).join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    both = right.repartition(shuffle_partitions(pairs), "a", "part").join(left, ["a", "part"])
+    return cut_lineage(both.select("a", "b", F.pandas_udf(_alike_texts, "boolean")("ta", "tb").alias("same"))).filter("same").select("a", "b")
 
 
-def linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, root`` of every set (``node, n, version, first``) that is joined with another by pairs of similarity 4/5 or more.
+def linked(docs: DataFrame) -> DataFrame:
+    """``node, root`` of every set that is joined with another by pairs of similarity 4/5 or more.
 
-    First each is compared with one set of each key, which joins large groups of copies without all their pairs;
-    then all that share a key and aren't joined yet.
+    First each set is compared with that centre with which it shares most keys, which joins large groups of copies without
+    all their pairs; then all that share a key and aren't joined yet.
     """
-    keys = _keys(docs, nodes).select("key", F.struct("node", "n", "at").alias("x"))
-    shared = keys.groupBy("key").agg(F.min("x").alias("c"), F.max("x.node").alias("most")).filter(F.col("c.node") < F.col("most")).select(F.col("key").alias("k"), "c")
-    keys = cut_lineage(keys.join(shared, F.col("key") == F.col("k")).select("key", "x", "c"))
-    star = keys.filter((F.col("x.node") != F.col("c.node")) & _can_be_alike("x", "c"))
-    edges = cut_lineage(_verified(star.select(F.col("c.node").alias("a"), F.col("x.node").alias("b")), docs, nodes))
+    nodes, many = _nodes(docs)
+    end = F.struct((F.col("n_common") > 0).alias("common"), F.element_at("first", -1).alias("key"))
+    sizes = cut_lineage(nodes.select("node", "n", F.size("first").alias("keys"), end.alias("end")))
+    shared = _shared(nodes, many)
+    nearest = shared.filter("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("s")).groupBy("node").agg(F.max(F.struct("s", "centre")).alias("x"))
+    edges = _verified(_can_be_alike(nearest.select(F.col("x.centre").alias("a"), F.col("node").alias("b"), "x.s"), sizes), docs, nodes)
     roots = components(edges)
-    rooted = keys.join(roots, F.col("x.node") == F.col("node"), "left").select("key", "x", F.coalesce("root", F.col("x.node")).alias("r"))
+    known = sizes.select("node", "n").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("r"))
+    rooted = shared.select("key", "node").join(known, "node")
     several = rooted.groupBy("key").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).filter("lo < hi").select("key")
     rooted = cut_lineage(rooted.join(several, "key", "left_semi"))
-    left, right = rooted.select("key", F.col("x").alias("y"), F.col("r").alias("ry")), rooted.select(F.col("key").alias("k"), "x", "r")
-    rest = left.join(right, (F.col("key") == F.col("k")) & (F.col("y.node") < F.col("x.node")) & (F.col("ry") != F.col("r")) & _can_be_alike("y", "x"))
-    return components(edges.union(_verified(rest.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")), docs, nodes)))
+    left, right = rooted.select("key", F.col("node").alias("a"), F.col("r").alias("ra"), F.col("n").alias("na")), rooted.select(F.col("key").alias("k"), F.col("node").alias("b"), F.col("r").alias("rb"), F.col("n").alias("nb"))
+    rest = left.join(right, (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & alike(F.least("na", "nb"), F.col("na"), F.col("nb")))
+    rest = cut_lineage(rest.groupBy("a", "b").agg(F.count("*").alias("s")))
+    return components(edges.union(_verified(_can_be_alike(rest, sizes), docs, nodes)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Component of each document: texts with a similarity of 4/5 or more are linked.
 
     Uses ``doc_id, text``; others are ignored. Texts with the same shingles are one node, as are all null and empty
-    texts and those without words. Returns ``doc_id, print (long: the set's number), version (a hash of
-    the text), root (long), component_id``, one row for each row
-    of ``docs``: ``root`` names the component, ``component_id`` is its smallest doc_id, null if it has none. An empty
-    table gives no rows.
+    texts and those without words; ties in size and repeated rows are linked like any other; a very long text is worked on
+    whole. Returns ``doc_id, print (long: the set's number), version (a hash of the text), root (long), component_id``, one
+    row for each row of ``docs``: ``root`` names the component, ``component_id`` is its smallest doc_id, null if it has
+    none. An empty table gives no rows. Shingles, sets and texts count as equal if their 64-bit hashes are.
     """
-    found = docs.select("doc_id", F.xxhash64("text").alias("version"), shingles(F.col("text")).alias("s")).withColumn("n", F.size("s"))
-    listed = cut_lineage(found.select("doc_id", "version", "n", node(F.col("s")).alias("node"), F.slice("s", 1, prefix(F.col("n"))).alias("first")))
-    nodes = cut_lineage(listed.filter("n > 0").select("node", "n", "version", "first").dropDuplicates(["node"]))
-    roots = linked(docs, nodes)
-    rooted = listed.select("doc_id", "version", F.col("node").alias("own")).join(roots, F.col("own") == F.col("node"), "left")
-    rooted = cut_lineage(rooted.select("doc_id", "version", F.col("own").alias("node"), F.coalesce("root", "own").alias("root")))
-    firsts = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("root", "r")
-    return rooted.join(firsts, F.col("root") == F.col("r")).select("doc_id", F.col("node").alias("print"), "version", "root", "component_id")
+    docs = docs.select("doc_id", "text")
+    listed = cut_lineage(docs.select("doc_id", F.xxhash64("text").alias("version"), F.pandas_udf(_summaries, "long")("text").alias("own")))
+    rooted = cut_lineage(lookup(listed, linked(docs).withColumnRenamed("node", "own"), "own").select("doc_id", "version", F.col("own").alias("print"), F.coalesce("root", "own").alias("root")))
+    firsts = cut_lineage(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    return lookup(rooted, firsts, "root").select("doc_id", "print", "version", "root", "component_id")

@@ -28,7 +28,8 @@ def targets(sources: DataFrame, weights: list[float], share: float, most: float)
 
     ``sources`` has one row a source (``source, source_size``). Sources in order of code points, null last,
     take the weights in turn. What a full source can't take goes to the others by weight; that is filling
-    to a common level, found from running sums over the sources in the order in which they fill.
+    to a common level, found from running sums over the sources in the order in which they fill. The sources are one task:
+    they are few beside the documents.
     """
     one = Window.partitionBy(F.lit(0))
     turn = F.row_number().over(one.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -47,28 +48,27 @@ def targets(sources: DataFrame, weights: list[float], share: float, most: float)
     )
 
 
-def mix(docs: DataFrame, weights: list[float], share: float = 1.0, most: float = 2.0, seed: str = "mix") -> DataFrame:
-    """How much of each document a weighted mix of sources takes.
+def sized(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """``doc_id, source, size, h`` of each document: its words, and its place in the sampling order."""
+    return docs.select("doc_id", "source", words(F.col("text")).alias("size"), place(F.col("doc_id"), seed).alias("h"))
+
 
-    Uses columns ``doc_id, text, source``; others are ignored. Every document is taken ``floor(target /
-    source_size)`` times whole; of the rest of its source's target, whole documents are taken in the order
-    of a hash of their id, up to the threshold that comes nearest. The threshold is found without sorting:
-    sizes are summed by source and hash bucket, and only the bucket on the boundary is looked at more
-    finely, level by level.
+def plan(sizes: DataFrame, weights: list[float], share: float = 1.0, most: float = 2.0) -> DataFrame:
+    """``source, source_size, target, whole, threshold``: how a mix takes each source. ``sizes`` is what ``sized`` gives, written out.
 
-    Returns ``doc_id, source, size, source_size, target, taken``, one row for each row of ``docs``. A null or empty
-    text has size 0 and is taken 0 times; a null source is a source. Documents of one id (a null id, too)
-    have one hash and are taken or left together. Reruns agree. An empty table gives no rows.
+    Every document is taken ``whole`` times, ``floor(target / source_size)``; of the rest of its source's target, whole
+    documents are taken whose place is below the threshold that comes nearest. That is found without sorting: sizes are
+    summed by source and hash bucket, and only the bucket on the boundary is looked at more finely, level by level. Where a
+    place is that of several documents, these are taken or left together.
     """
-    sized = cut_lineage(docs.select("doc_id", "source", words(F.col("text")).alias("size"), place(F.col("doc_id"), seed).alias("h")))
-    by_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+    by_source = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = cut_lineage(by_source.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")))
+    wanted = cut_lineage(by_source.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")))
 
-    edge = plan.select("source", "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"))
+    edge = wanted.select("source", "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"))
     for level in range(1, LEVELS + 1):
         shift = BITS - level * LEVEL_BITS
-        inside = lookup(sized, edge, "source", F.col("doc_id"), "inner").filter(F.shiftright("h", shift + LEVEL_BITS) == F.col("prefix"))
+        inside = lookup(sizes, edge, "source", "inner").filter(F.shiftright("h", shift + LEVEL_BITS) == F.col("prefix"))
         sums = inside.groupBy("source", "budget", "below", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("n"))
         upto = F.col("below") + F.sum("n").over(Window.partitionBy("source").orderBy("bucket"))
         passed = sums.withColumn("upto", upto).filter(F.col("upto") > F.col("budget"))
@@ -79,9 +79,26 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.0, most: float =
     # The last bucket is one hash value: take it if that comes nearer than leaving it. Where nothing passes the budget, all is taken.
     nearer = F.col("below") + F.col("n") - F.col("budget") < F.col("budget") - F.col("below")
     limit = edge.select(F.col("source").alias("s"), (F.col("prefix") + F.when(nearer, 1).otherwise(0)).alias("threshold"))
-    final = plan.join(limit, plan["source"].eqNullSafe(limit["s"]), "left").select("source", "source_size", "target", "whole", "threshold")
-    extra = F.when(F.col("h") < F.coalesce(F.col("threshold"), F.lit(1 << BITS)), 1).otherwise(0)
-    return lookup(sized, final, "source", F.col("doc_id")).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("whole") + extra)).alias("taken"))
+    both = wanted.join(limit, wanted["source"].eqNullSafe(limit["s"]), "left")
+    return both.select("source", "source_size", "target", "whole", F.coalesce("threshold", F.lit(1 << BITS)).alias("threshold"))
+
+
+def times() -> Column:
+    """How often a document (with its ``size`` and ``h``) is taken by its source's ``plan``; without a word, never."""
+    return F.when(F.col("size") > 0, F.col("whole") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)).otherwise(F.lit(0).cast("long"))
+
+
+def mix(docs: DataFrame, weights: list[float], share: float = 1.0, most: float = 2.0, seed: str = "mix") -> DataFrame:
+    """How much of each document a weighted mix of sources takes, by ``plan``.
+
+    Uses columns ``doc_id, text, source``; others are ignored. Returns ``doc_id, source, size, source_size, target, taken``,
+    one row for each row of ``docs``. A null or empty text has size 0 and is taken 0 times; a null source is a source; a very
+    long text counts whole. Documents of one id (a null id, too) and repeated rows have one place and are taken or left
+    together. Reruns agree. An empty table gives no rows.
+    """
+    sizes = cut_lineage(sized(docs, seed))
+    found = lookup(sizes, plan(sizes, weights, share, most), "source")
+    return found.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times()).alias("taken"))
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.llm import jaccard
-from spanweave.llm.common import cut_lineage, table
+from spanweave.llm.common import cut_lineage, lookup, shuffle_partitions, table
 from spanweave.llm.graph import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -66,6 +66,18 @@ def codeword(words: np.ndarray) -> np.ndarray:
     return (words ^ _errors()[_syndrome(words)]) >> (CODE_BITS - DATA_BITS)
 
 
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """Distinct values of each row, at most six, filled up with -1."""
+    rows = np.sort(rows, axis=1)
+    rows[:, 1:][rows[:, 1:] == rows[:, :-1]] = -1
+    return np.sort(rows, axis=1)[:, -6:]
+
+
+def _ragged(rows: np.ndarray, there: np.ndarray) -> list[np.ndarray]:
+    """The values of each row that are there."""
+    return np.split(rows[there], np.cumsum(there.sum(axis=1))[:-1]) if len(rows) else []
+
+
 def fuzzy_keys(prints: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Keys of the two sides of the join for each fingerprint (uint64).
 
@@ -78,16 +90,16 @@ def fuzzy_keys(prints: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     parts = [((prints >> np.uint64(at)) & np.uint64((1 << bits) - 1)).astype(np.int64) for at, bits in SEGMENTS]
     near = [codeword(p) for p in parts]
     flips = [np.stack([codeword(p), *(codeword(p ^ (1 << b)) for b in range(bits))], axis=1) for p, (_, bits) in zip(parts, SEGMENTS, strict=True)]
+    wide = [_distinct(f) for f in flips]
+    there = [w >= 0 for w in wide]
     pairs = [(i, j) for i in range(3) for j in range(3) if i != j]
-    left, right = [], []
-    for n in range(len(prints)):
-        wide = [np.unique(f[n]) for f in flips]
-        tagged = [(tag << 40) | (int(parts[i][n]) << DATA_BITS) for tag, (i, j) in enumerate(pairs)]
-        both = (wide[0][:, None] << (2 * DATA_BITS)) | (wide[1][None, :] << DATA_BITS)
-        left.append(np.concatenate([*(t | wide[j] for t, (_, j) in zip(tagged, pairs, strict=True)), (6 << 40) | both.ravel() | near[2][n]]))
-        last = (6 << 40) | (int(near[0][n]) << (2 * DATA_BITS)) | (int(near[1][n]) << DATA_BITS) | wide[2]
-        right.append(np.concatenate([np.array([t | int(near[j][n]) for t, (_, j) in zip(tagged, pairs, strict=True)]), last]))
-    return left, right
+    tags = [((tag << 40) | (parts[i] << DATA_BITS))[:, None] for tag, (i, _) in enumerate(pairs)]
+    both = (wide[0][:, :, None] << (2 * DATA_BITS)) | (wide[1][:, None, :] << DATA_BITS)
+    all_left = [*(t | wide[j] for t, (_, j) in zip(tags, pairs, strict=True)), (6 << 40) | both.reshape(len(prints), -1) | near[2][:, None]]
+    left_there = [*(there[j] for _, j in pairs), (there[0][:, :, None] & there[1][:, None, :]).reshape(len(prints), -1)]
+    all_right = [*(t | near[j][:, None] for t, (_, j) in zip(tags, pairs, strict=True)), (6 << 40) | ((near[0] << (2 * DATA_BITS)) | (near[1] << DATA_BITS))[:, None] | wide[2]]
+    right_there = [*(np.ones((len(prints), 1), bool) for _ in pairs), there[2]]
+    return _ragged(np.hstack(all_left), np.hstack(left_there)), _ragged(np.hstack(all_right), np.hstack(right_there))
 
 
 def _keys(prints: pd.Series) -> pd.DataFrame:
@@ -99,7 +111,8 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Pairs ``a, b`` (a < b) of distinct fingerprints (column ``print``, long) that differ in up to ``radius`` (at most 3) bits."""
     if radius > 3:
         raise ValueError("the segments hold for up to 3 bits")
-    keyed = cut_lineage(nodes.select("print").distinct().withColumn("k", F.pandas_udf(_keys, "struct<l:array<long>,r:array<long>>")("print")))
+    dealt = nodes.select("print").distinct().repartition(shuffle_partitions(nodes), "print")  # few bytes of much work each
+    keyed = cut_lineage(dealt.withColumn("k", F.pandas_udf(_keys, "struct<l:array<long>,r:array<long>>")("print")))
     left = keyed.select(F.col("print").alias("a"), F.explode("k.l").alias("key"))
     right = keyed.select(F.col("print").alias("b"), F.explode("k.r").alias("key"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
@@ -126,10 +139,10 @@ def near_duplicates(docs: DataFrame, radius: int | None = None) -> DataFrame:
     printed = cut_lineage(docs.select("doc_id", prints(F.col("text")).alias("print")))
     nodes = cut_lineage(printed.groupBy("print").agg(F.min("doc_id").alias("first")))
     roots = components(links(nodes, radius))
-    rooted = nodes.join(roots, nodes["print"] == roots["node"], "left").select("print", "first", F.coalesce("root", "print").alias("root"))
-    firsts = rooted.filter("root is not null").groupBy("root").agg(F.min("first").alias("component_id"))
-    joined = cut_lineage(rooted.join(firsts, "root").select(F.col("print").alias("p"), "component_id"))
-    return printed.join(joined, printed["print"] == joined["p"]).select("doc_id", "print", "component_id")
+    rooted = cut_lineage(nodes.join(roots, nodes["print"] == roots["node"], "left").select("print", "first", F.coalesce("root", "print").alias("root")))
+    firsts = cut_lineage(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
+    joined = cut_lineage(lookup(rooted, firsts, "root").select("print", "component_id"))
+    return lookup(printed, joined, "print", "inner").select("doc_id", "print", "component_id")
 
 
 def hex_print(value: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import cut_lineage, lookup, table
+from spanweave.llm.common import cut_lineage, drawn, lookup, table
 
 #: At most about so many labelled URLs are used for training, by a hash of the URL.
 MAX_TRAIN = 20_000
@@ -66,13 +66,15 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]], labels: Data
 
     Uses ``page_id, url``; others are ignored. The trees are trained on labelled URLs: ``labels`` (``url,
     verdict``: block or allow) if given, else the URLs that a rule decides. About ``max_train`` of them are
-    used, chosen by a hash of the URL; statistics of host suffixes (smoothed share of blocked ones) come from
+    used, half of them blocked where there are as many, chosen by a hash of the URL and weighted back; statistics of host suffixes (smoothed share of blocked ones) come from
     all of them, for training without the row's own fold. Where rules give the labels, a suffix is neutral (0.5)
     if it is itself a rule's host, or if its labels are of one kind: that says what the rules list, not what its
     other URLs are. With no labelled URL all are allowed; with labels of one kind only, that is the verdict.
 
     Returns ``page_id, host, path, rule, verdict, score``, one row for each row of ``pages``; ``score`` is the
-    trees' probability to block, null where they weren't asked. Null URLs have an empty host and path.
+    trees' probability to block, null where they weren't asked; at 0.5 a URL is blocked. Null URLs have an empty host and
+    path. Rules of one length are tried in order of host, path and verdict. Repeated rows, rows with a null page_id and very
+    long URLs are judged like any other; an empty table gives no rows.
     """
     host, path = host_and_path(F.col("url"))
     df = pages.select("page_id", "url").withColumn("host", host).withColumn("path", path)
@@ -96,15 +98,15 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]], labels: Data
         return df.select("page_id", "host", "path", hit[0], F.coalesce("hit.verdict", F.lit(only)).alias("verdict"), F.lit(None).cast("double").alias("score"))
 
     def vectors(part: DataFrame, training: bool = False) -> DataFrame:
-        joined = lookup(part, suffixes, "suffix", F.col("url"))
+        joined = lookup(part, suffixes, "suffix")
         joined = joined.withColumn("f_suffix", F.coalesce(F.get("f_others", fold) if training else F.col("f_suffix"), F.lit(0.5)))
         return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(joined.drop("f_others"))
 
-    chosen = known.filter(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < F.lit(min(1_000_000, 1_000_000 * max_train // n)))
-    train = cut_lineage(vectors(chosen, True).select("label", "features").coalesce(8))
-    if train.filter("label = 1").isEmpty() or train.filter("label = 0").isEmpty():
-        train = cut_lineage(vectors(known, True).select("label", "features"))
-    model = GBTClassifier(maxIter=15, maxDepth=3, stepSize=0.3, seed=7, maxMemoryInMB=128).fit(train)
+    share = {1.0: min(1.0, max_train / 2 / blocked), 0.0: min(1.0, max_train / 2 / (n - blocked))}  # of either kind alike, so that a rare one is learned
+    own = F.when(F.col("label") == 1, share[1.0]).otherwise(share[0.0])
+    chosen = known.filter(drawn(own, "url", "url")).withColumn("weight", min(share.values()) / own)
+    train = cut_lineage(vectors(chosen, True).select("label", "features", "weight").coalesce(8))
+    model = GBTClassifier(maxIter=15, maxDepth=3, stepSize=0.3, seed=7, maxMemoryInMB=128, weightCol="weight").fit(train)
     scored = model.transform(vectors(df))
     p = vector_to_array("probability")[1]
     verdict = F.coalesce("hit.verdict", F.when(p >= 0.5, "block").otherwise("allow"))
