@@ -59,8 +59,12 @@ def negative_clamped(events: DataFrame) -> DataFrame:
     return events.withColumn("end_us", F.greatest("start_us", "end_us"))
 
 
+#: Words by which the name of a CPU is known.
+CPU_WORDS = ["Intel", "Xeon", "CPU", "AMD"]
+
+
 def is_cpu(device: Column) -> Column:
-    return device.rlike(r"(?i)\b(Intel|Xeon|CPU|AMD)\b")
+    return device.rlike(rf"(?i)\b({'|'.join(CPU_WORDS)})\b")
 
 
 def to_seconds(df: DataFrame) -> DataFrame:
@@ -81,3 +85,47 @@ def human_micros(text: Column) -> Column:
 
 def joined(values: Column, sep: str = " + ") -> Column:
     return F.array_join(values, sep)
+
+
+def pretty_micros(us: Column) -> Column:
+    """Microseconds as text in the largest unit that gives 1 or more, with two decimals: ``1.50 ms``."""
+    scales = {"s": 1e6, "ms": 1e3, "us": 1.0}
+    return F.coalesce(*[F.when(F.abs(us) >= x, F.concat(F.format_number(us / x, "0.00"), F.lit(f" {unit}"))) for unit, x in scales.items()], F.concat(F.format_number(us * 1000, "0.00"), F.lit(" ns")))
+
+
+def function_name(name: Column) -> Column:
+    """A Python function's name without its file's folders and without line numbers."""
+    return F.regexp_replace(F.regexp_replace(name, r"[^\s:(]*/", ""), r":[0-9]+", "")
+
+
+def numbers_where_possible(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Text columns of which every non-null value is a whole number become long, those of numbers double; others stay.
+
+    One aggregation over all rows decides.
+    """
+    checks = [F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull()).alias(f"{c}:{t}") for c in columns for t in ("bigint", "double")]
+    bad = df.agg(*checks).first() if columns else {}
+    kinds = {c: next((t for t in ("bigint", "double") if bad[f"{c}:{t}"] == 0), None) for c in columns}
+    return df.withColumns({c: F.col(c).cast(t) for c, t in kinds.items() if t})
+
+
+def merged_interval(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
+    """The smallest interval around both, as struct<start_us, end_us>."""
+    return F.struct(F.least(s1, s2).alias("start_us"), F.greatest(e1, e2).alias("end_us"))
+
+
+def common_interval(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
+    """What both have in common; null if they share no instant."""
+    return F.when((s1 <= e2) & (s2 <= e1), F.struct(F.greatest(s1, s2).alias("start_us"), F.least(e1, e2).alias("end_us")))
+
+
+def order(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
+    """``before``, ``after``, ``equal`` or ``overlap``: where the first lies to the second."""
+    return F.when(e1 < s2, "before").when(e2 < s1, "after").when((s1 == s2) & (e1 == e2), "equal").otherwise("overlap")
+
+
+def selected(df: DataFrame, wanted: dict[str, object], order: list[str]) -> DataFrame:
+    """Rows of an index of reports: by field a value that it equals, or a function from its column to a condition; then ordered."""
+    for field, want in wanted.items():
+        df = df.filter(want(F.col(field)) if callable(want) else F.col(field).eqNullSafe(F.lit(want)))
+    return df.orderBy(*order)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanweave.operators.sweep import BUCKET_US
+from spanweave.operators.grid import PAIR_ROWS, ROWS, bucket_of, grid, placed
+from spanweave.plans.lineage import cut_lineage, lookup
 from spanweave.sources.adapters import KEYS, OPERATION
 
 #: Operations named like this belong to the profiler's own bookkeeping.
@@ -16,41 +21,96 @@ def is_process_op(category: Column, name: Column) -> Column:
     return (category == OPERATION) & name.rlike(PROCESS_OP)
 
 
-def in_buckets(intervals: DataFrame, bucket: int = BUCKET_US) -> DataFrame:
-    """Each interval once for every time bucket that it touches, clipped to it: adds ``bucket, lo, hi``."""
-    spanned = F.sequence(F.floor(F.col("start_us") / bucket), F.floor((F.col("end_us") - 1) / bucket))
-    return (
-        intervals.filter("end_us > start_us")
-        .withColumn("bucket", F.explode(spanned))
-        .withColumn("lo", F.greatest("start_us", F.col("bucket") * bucket))
-        .withColumn("hi", F.least("end_us", (F.col("bucket") + 1) * bucket))
-    )
-
+def _covering(ops: DataFrame, by: list[str]) -> DataFrame:
+    """The owner among the operations that cover whole runs of buckets: ``by, level, node, best``.
 
-def flatten_ops(ops: DataFrame, by: list[str] | None = None, bucket: int = BUCKET_US) -> DataFrame:
+    A run is made of blocks of 2**level buckets, two of a level at most, so that a long operation is not copied into each
+    bucket; of each block only its best operation is kept.
+    """
+    lo, hi = F.col("b1") + 1, F.col("b2")
+    power = F.expr("shiftleft(1L, level)")
+    first, last = F.ceil(lo / power).cast("long"), F.floor(hi / power).cast("long")
+    wide = ops.filter(hi > lo).withColumn("level", F.explode(F.sequence(F.lit(0), F.floor(F.log2(hi - lo)).cast("int") + 1))).withColumns({"l": first, "r": last})
+    inside = F.col("l") < F.col("r")
+    nodes = F.array_compact(F.array(F.when(inside & (F.col("l") % 2 != 0), F.col("l")), F.when(inside & (F.col("r") % 2 != 0), F.col("r") - 1)))
+    return wide.withColumn("node", F.explode(nodes)).groupBy(*by, "level", "node").agg(F.min(_rank()).alias("best"))
+
+
+def _rank() -> Column:
+    """The smallest of these owns an instant."""
+    return F.struct("end_us", (-F.col("start_us")).alias("minus_start"), "event_name", "event_id")
+
+
+def _owners(part: pd.DataFrame) -> pd.DataFrame:
+    """The pieces of one bucket: from each boundary to the next, and from the last to the next bucket's first (``ahead``)."""
+    part = part.sort_values("start_us", kind="stable")
+    first = part.iloc[0]
+    starts, ends, lo, hi = part["start_us"].to_numpy(), part["end_us"].to_numpy(), first["lo"], first["hi"]
+    edges = np.unique(np.concatenate([starts[starts >= lo], ends[ends < hi]]))
+    waiting = list(zip(ends.tolist(), (-starts).tolist(), part["event_name"], part["event_id"].tolist(), strict=True))
+    heap = [] if pd.isna(first["c_end"]) else [(int(first["c_end"]), int(first["c_start"]), first["c_name"], int(first["c_id"]))]
+    after = [*edges[1:].tolist(), first["ahead"]]
+    out, at = [], 0
+    for s, e in zip(edges.tolist(), after, strict=True):
+        while at < len(waiting) and -waiting[at][1] <= s:
+            heapq.heappush(heap, waiting[at])
+            at += 1
+        while heap and heap[0][0] <= s:
+            heapq.heappop(heap)
+        if not heap:
+            continue
+        if out and out[-1][0] == heap[0][3] and out[-1][3] == s:
+            out[-1][3] = int(e)
+        else:
+            out.append([heap[0][3], heap[0][2], s, int(e)])
+    found = pd.DataFrame(out, columns=["event_id", "event_name", "start_us", "end_us"])
+    return found.assign(border=(found["start_us"] == edges[0]) | (found["end_us"] == first["ahead"]))
+
+
+def flatten_ops(ops: DataFrame, by: list[str] | None = None, bucket: int | None = None) -> DataFrame:
     """Pieces of operations: at each instant the active one with the smallest end owns it, of equal ends the latest start.
 
     ``ops`` has ``by, event_id, event_name, start_us, end_us``. Those without a length or named ``[...]`` are left
     out; exact duplicates (start and end) count once, as the first by name. Returns ``by, event_id, event_name,
-    start_us, end_us``. Work is dealt by time buckets, then by operation.
+    start_us, end_us``.
+
+    Work is dealt by time buckets (of ``bucket`` µs, or of about as many operations each). A task walks along one bucket's
+    boundaries with a heap of the active operations; operations that cover whole buckets are told to it as the best of them.
     """
     by = KEYS if by is None else by
-    live = ops.filter(~F.col("event_name").rlike(PROCESS_OP))
+    live = ops.filter(~F.col("event_name").rlike(PROCESS_OP) & (F.col("end_us") > F.col("start_us")))
     once = live.groupBy(*by, "start_us", "end_us").agg(F.min(F.struct("event_name", "event_id")).alias("o")).select(*by, "start_us", "end_us", "o.*")
-    parts = in_buckets(once, bucket)
-    edges = parts.select(*by, "bucket", F.explode(F.array("lo", "hi")).alias("s")).distinct()
-    at = Window.partitionBy(*by, "bucket").orderBy("s")
-    spans = edges.withColumn("e", F.lead("s").over(at)).filter("e is not null")
-    active = spans.join(parts, [*by, "bucket"]).filter((F.col("lo") <= F.col("s")) & (F.col("hi") >= F.col("e")))
-    owner = F.min(F.struct("end_us", (-F.col("start_us")).alias("minus_start"), "event_name", "event_id")).alias("o")
-    owned = active.groupBy(*by, "bucket", "s", "e").agg(owner).select(*by, "s", "e", "o.event_name", "o.event_id")
-    own = Window.partitionBy(*by, "event_id").orderBy("s")
-    begins = (F.coalesce(F.lag("e").over(own), F.lit(-1)) != F.col("s")).cast("int")
-    pieces = owned.withColumn("begins", begins).withColumn("piece", F.sum("begins").over(own))
-    return pieces.groupBy(*by, "event_id", "event_name", "piece").agg(F.min("s").alias("start_us"), F.max("e").alias("end_us")).drop("piece")
-
-
-def timeline(events: DataFrame, by: list[str] | None = None, bucket: int = BUCKET_US) -> DataFrame:
+    # Names of its own for the group, so that any column can be one of its keys.
+    keys = [f"k{i}" for i in range(len(by))]
+    once = cut_lineage(once.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], "event_id", "event_name", "start_us", "end_us"))
+    spans = placed(once, keys, "start_us", "end_us", ROWS, bucket).withColumns({"b1": bucket_of("start_us"), "b2": bucket_of("end_us")})
+    parts = spans.withColumn("bucket", F.explode(F.array_distinct(F.array("b1", "b2"))))
+    edge = F.when(F.col("b1") == F.col("bucket"), F.col("start_us")).otherwise(F.col("end_us"))
+    buckets = parts.groupBy(*keys, "bucket").agg(F.min(edge).alias("first")).withColumn("ahead", F.lead("first").over(Window.partitionBy(*keys).orderBy("bucket")))
+    blocks = buckets.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(62)))).withColumn("node", F.expr("shiftright(bucket, level)"))
+    cover = blocks.join(_covering(spans, keys), [*keys, "level", "node"]).groupBy(*keys, "bucket").agg(F.min("best").alias("c"))
+    named = [F.col("c.end_us").alias("c_end"), F.col("c.minus_start").alias("c_start"), F.col("c.event_name").alias("c_name"), F.col("c.event_id").alias("c_id")]
+    told = cut_lineage(buckets.join(cover, [*keys, "bucket"], "left").select(*keys, "bucket", "ahead", *named))
+    lo = F.col("t0") + F.col("bucket") * F.col("width")
+    given = parts.select(*keys, "bucket", "event_id", "event_name", "start_us", "end_us", lo.alias("lo"), (lo + F.col("width")).alias("hi")).join(told, [*keys, "bucket"])
+    kinds = dict(once.dtypes)
+
+    def fold(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        found = _owners(part)
+        return found.assign(**dict(zip(keys, key[: len(keys)], strict=True)))[[*keys, *found.columns]]
+
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"event_id {kinds['event_id']}, event_name string, start_us long, end_us long, border boolean"])
+    pieces = cut_lineage(given.groupBy(*keys, "bucket").applyInPandas(fold, schema))
+    # Only a bucket's first and last piece can go on in another one.
+    own = Window.partitionBy(*keys, "event_id").orderBy("start_us")
+    begins = (F.coalesce(F.lag("end_us").over(own), F.lit(-1)) != F.col("start_us")).cast("int")
+    chained = pieces.filter("border").withColumn("begins", begins).withColumn("piece", F.sum("begins").over(own))
+    joined = chained.groupBy(*keys, "event_id", "event_name", "piece").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us")).drop("piece")
+    out = joined.unionByName(pieces.filter("not border").drop("border"))
+    return out.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], "event_id", "event_name", "start_us", "end_us")
+
+
+def timeline(events: DataFrame, by: list[str] | None = None, bucket: int | None = None) -> DataFrame:
     """What the sweep takes: flattened operations and all other events, with ``op`` (null for others) and ``key``."""
     by = KEYS if by is None else by
     ops = flatten_ops(events.filter(F.col("category") == OPERATION), by, bucket)
@@ -59,28 +119,50 @@ def timeline(events: DataFrame, by: list[str] | None = None, bucket: int = BUCKE
     return ops.unionByName(rest.select(*by, "category", "event_name", "start_us", "end_us", F.col("category").alias("key")))
 
 
-def bad_nesting(ops: DataFrame, by: list[str] | None = None, bucket: int = BUCKET_US) -> DataFrame:
-    """Operations of one process that overlap in part, or are alike: ``by, event_id, other_id`` (a violation each).
+def _meetings(intervals: DataFrame, points: DataFrame, by: list[str], grids: DataFrame | None, bucket: int | None) -> DataFrame:
+    """Pairs of intervals (``lo, hi``) and points (``at``) of one group with ``lo <= at <= hi``, for times in whole µs.
 
-    Pairs are sought in time buckets, and reported in the bucket in which the later one starts.
+    An interval goes to each bucket that it touches, a point to one. In all but an interval's first and last bucket every
+    point is one of its own, so the pairs that are looked at are the result and two buckets an interval.
     """
-    by = KEYS if by is None else by
-    parts = in_buckets(ops.select(*by, "event_id", "start_us", "end_us"), bucket)
-    later = ops.filter("end_us > start_us").select(*by, F.floor(F.col("start_us") / bucket).alias("bucket"), F.col("event_id").alias("other_id"), F.col("start_us").alias("s2"), F.col("end_us").alias("e2"))
-    partly = (F.col("start_us") < F.col("s2")) & (F.col("s2") < F.col("end_us")) & (F.col("end_us") < F.col("e2"))
-    alike = (F.col("start_us") == F.col("s2")) & (F.col("end_us") == F.col("e2")) & (F.col("event_id") < F.col("other_id"))
-    return parts.join(later, [*by, "bucket"]).filter(partly | alike).select(*by, "event_id", "other_id")
+
+    def on_grid(df: DataFrame) -> DataFrame:
+        return df.withColumns({"t0": F.lit(0).cast("long"), "width": F.lit(bucket).cast("long")}) if bucket else lookup(df, grids, by, "inner")
+
+    left = on_grid(intervals.filter("lo <= hi")).withColumn("bucket", F.explode(F.sequence(bucket_of("lo"), bucket_of("hi")))).drop("t0", "width")
+    right = on_grid(points).withColumn("bucket", bucket_of("at")).drop("t0", "width")
+    return left.join(right, [*by, "bucket"]).filter(F.col("at").between(F.col("lo"), F.col("hi")))
 
 
-def instances_with_events(ops: DataFrame, events: DataFrame, by: list[str] | None = None, bucket: int = BUCKET_US) -> DataFrame:
-    """Each operation with every event that overlaps it (closed bounds): ``by, op_id, event_id``, dealt by time buckets."""
+def _grid_of(starts: DataFrame, by: list[str], bucket: int | None) -> DataFrame | None:
+    return None if bucket else grid(starts, by, "at", "at", PAIR_ROWS)
+
+
+def bad_nesting(ops: DataFrame, by: list[str] | None = None, bucket: int | None = None) -> DataFrame:
+    """Operations of one process that overlap in part, or are alike: ``by, event_id, other_id`` (a violation each).
+
+    The later one's start lies in the earlier one; ``_meetings`` finds those pairs. Nested ones are looked at and left out.
+    """
     by = KEYS if by is None else by
+    live = cut_lineage(ops.filter("end_us > start_us").select(*by, "event_id", "start_us", "end_us"))
+    later = live.select(*by, F.col("event_id").alias("other_id"), F.col("start_us").alias("at"), F.col("end_us").alias("e2"))
+    pairs = _meetings(live.select(*by, "event_id", F.col("start_us").alias("lo"), (F.col("end_us") - 1).alias("hi")), later, by, _grid_of(later, by, bucket), bucket)
+    partly = (F.col("lo") < F.col("at")) & (F.col("hi") + 1 < F.col("e2"))
+    alike = (F.col("lo") == F.col("at")) & (F.col("hi") + 1 == F.col("e2")) & (F.col("event_id") < F.col("other_id"))
+    return pairs.filter(partly | alike).select(*by, "event_id", "other_id")
+
 
-    def spread(df: DataFrame, start: str, end: str) -> DataFrame:
-        return df.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket))))
+def instances_with_events(ops: DataFrame, events: DataFrame, by: list[str] | None = None, bucket: int | None = None) -> DataFrame:
+    """Each operation with every event that overlaps it (closed bounds): ``by, op_id, event_id``.
 
-    left = spread(ops.select(*by, F.col("event_id").alias("op_id"), F.col("start_us").alias("s1"), F.col("end_us").alias("e1")), "s1", "e1")
-    right = spread(events.select(*by, "event_id", "start_us", "end_us"), "start_us", "end_us")
-    meets = (F.col("s1") <= F.col("end_us")) & (F.col("start_us") <= F.col("e1"))
-    first = F.floor(F.greatest("s1", "start_us") / bucket) == F.col("bucket")  # each pair in one bucket only
-    return left.join(right, [*by, "bucket"]).filter(meets & first).select(*by, "op_id", "event_id")
+    Either the event starts in the operation, or the operation starts later than the event and in it.
+    """
+    by = KEYS if by is None else by
+    ops = cut_lineage(ops.select(*by, F.col("event_id").alias("op_id"), F.col("start_us").alias("s1"), F.col("end_us").alias("e1")))
+    events = cut_lineage(events.select(*by, "event_id", F.col("start_us").alias("s2"), F.col("end_us").alias("e2")))
+    starts = events.select(*by, "event_id", F.col("s2").alias("at"))
+    op_starts = ops.select(*by, "op_id", F.col("s1").alias("at"))
+    grids = _grid_of(starts.select(*by, "at").union(op_starts.select(*by, "at")), by, bucket)
+    inside = _meetings(ops.select(*by, "op_id", F.col("s1").alias("lo"), F.col("e1").alias("hi")), starts, by, grids, bucket)
+    around = _meetings(events.select(*by, "event_id", (F.col("s2") + 1).alias("lo"), F.col("e2").alias("hi")), op_starts, by, grids, bucket)
+    return inside.select(*by, "op_id", "event_id").union(around.select(*by, "op_id", "event_id"))

@@ -7,23 +7,24 @@ is one row a bucket. No interval is copied into the buckets it spans, and no win
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanweave.operators.grid import ROWS, bucket_of, following, placed
+from spanweave.plans.lineage import cut_lineage
 from spanweave.sources.adapters import KEYS
 
-#: Width of a time bucket. A task's window holds the boundaries of one bucket of one process.
-BUCKET_US = 3_600_000_000
-#: A region is a set of at most so many keys (a fixed value of the data model).
+#: Up to so many keys have a column each; with more, active keys are counted by name.
 MAX_KEYS = 64
 
 
-def vocabulary(events: DataFrame, key: str = "key") -> list[str]:
-    """All keys of the trace, sorted; the data model bounds their number."""
+def vocabulary(events: DataFrame, key: str = "key") -> list[str] | None:
+    """All keys of the trace, sorted; None if there are more than ``MAX_KEYS``."""
     found = [r[0] for r in events.select(key).filter(F.col(key).isNotNull()).distinct().limit(MAX_KEYS + 1).collect()]
-    if len(found) > MAX_KEYS:
-        raise ValueError(f"a region has at most {MAX_KEYS} keys")
-    return sorted(found)
+    return sorted(found) if len(found) <= MAX_KEYS else None
 
 
 def _region(counts: list[Column], names: list[str]) -> Column:
@@ -31,22 +32,31 @@ def _region(counts: list[Column], names: list[str]) -> Column:
     return F.array_compact(F.array(*active)) if active else F.array().cast("array<string>")
 
 
-def segments(events: DataFrame, by: list[str] | None = None, key: str = "key", bucket: int = BUCKET_US) -> DataFrame:
+def _marks(events: DataFrame, by: list[str], key: str, bucket: int | None) -> DataFrame:
+    """``by, bucket, t, __key, d``: 1 at each start, -1 at each end."""
+    live = events.filter((F.col("end_us") > F.col("start_us")) & F.col(key).isNotNull()).select(*by, F.col(key).alias("__key"), "start_us", "end_us")
+    spans = placed(live, by, "start_us", "end_us", ROWS, bucket)
+    edges = F.array(F.struct(F.col("start_us").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_us").alias("t"), F.lit(-1).alias("d")))
+    return spans.select(*by, "__key", "t0", "width", F.explode(edges).alias("e")).select(*by, "__key", "e.t", "e.d", bucket_of("e.t").alias("bucket"))
+
+
+def segments(events: DataFrame, by: list[str] | None = None, key: str = "key", bucket: int | None = None) -> DataFrame:
     """Every stretch of time between two neighbouring boundaries, with the keys active in it and in the stretch before.
 
     ``events`` has ``by``, ``key``, ``start_us``, ``end_us``. Intervals without a length, or with a null key or
     bound, count for nothing. Returns ``by``, ``start_us, end_us, region, previous`` (sorted arrays; empty in gaps;
-    the first stretch follows an empty one).
+    the first stretch follows an empty one). Buckets are of ``bucket`` µs, or of about as many boundaries each.
     """
     by = KEYS if by is None else by
-    live = events.filter((F.col("end_us") > F.col("start_us")) & F.col(key).isNotNull())
-    names = vocabulary(live, key) or [""]  # an empty trace has no row anyway
+    events = cut_lineage(events.select(*by, F.col(key).alias("__name"), "start_us", "end_us"))  # read for the keys, the grid and the sweep
+    names, marks = vocabulary(events, "__name"), _marks(events, by, "__name", bucket)
+    return _segments_by_name(marks, by) if names is None else _segments_by_column(marks, by, names or [""])  # an empty trace has no row anyway
+
+
+def _segments_by_column(marks: DataFrame, by: list[str], names: list[str]) -> DataFrame:
     sums = [f"d{i}" for i in range(len(names))]
-    edges = F.array(F.struct(F.col("start_us").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_us").alias("t"), F.lit(-1).alias("d")))
-    marks = live.select(*by, F.col(key).alias("__key"), F.explode(edges).alias("e")).select(*by, "__key", "e.t", "e.d")
-    marks = marks.withColumn("bucket", F.floor(F.col("t") / bucket)).repartition(*[F.col(c) for c in by], F.col("bucket"))
     steps = [F.sum(F.when(F.col("__key") == n, F.col("d")).otherwise(0)).alias(s) for n, s in zip(names, sums, strict=True)]
-    at = marks.groupBy(*by, "bucket", "t").agg(*steps)
+    at = marks.repartition(*[F.col(c) for c in by], F.col("bucket")).groupBy(*by, "bucket", "t").agg(*steps)
 
     order = Window.partitionBy(*by).orderBy("bucket")
     totals = at.groupBy(*by, "bucket").agg(F.min("t").alias("first_t"), *[F.sum(s).alias(s) for s in sums])
@@ -63,7 +73,43 @@ def segments(events: DataFrame, by: list[str] | None = None, key: str = "key", b
     )
 
 
-def region_times(events: DataFrame, by: list[str] | None = None, key: str = "key", keep_empty: bool = False, bucket: int = BUCKET_US) -> DataFrame:
+def _segments_by_name(marks: DataFrame, by: list[str]) -> DataFrame:
+    """The same for any number of keys: a task counts the active keys of one bucket, told which are active at its begin."""
+    groups = [f"k{i}" for i in range(len(by))]
+    marks = cut_lineage(marks.select(*[F.col(c).alias(k) for c, k in zip(by, groups, strict=True)], "bucket", "t", "__key", F.col("d").cast("long").alias("d")))
+    buckets = marks.groupBy(*groups, "bucket").agg(F.min("t").alias("first")).withColumn("next_t", F.lead("first").over(Window.partitionBy(*groups).orderBy("bucket")))
+    own = Window.partitionBy(*groups, "__key").orderBy("bucket")
+    totals = marks.groupBy(*groups, "__key", "bucket").agg(F.sum("d").alias("d"))
+    runs = totals.select(*groups, "__key", F.sum("d").over(own).alias("d"), F.col("bucket").alias("b1"), F.lead("bucket").over(own).alias("b2")).filter("d > 0")
+    # An active key goes to the buckets after its last change, up to that of its next.
+    active = runs.withColumn("bucket", F.explode(F.sequence(F.col("b1") + 1, "b2"))).select(*groups, "bucket", F.lit(None).cast("long").alias("t"), "__key", "d")
+    given = marks.select(*groups, "bucket", "t", "__key", "d").unionByName(active).join(buckets.select(*groups, "bucket", "next_t"), [*groups, "bucket"])
+
+    def fold(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        counts: Counter = Counter()
+        for name, d in zip(part.loc[part["t"].isna(), "__key"], part.loc[part["t"].isna(), "d"], strict=True):
+            counts[name] += d
+        edges = part[part["t"].notna()].sort_values("t", kind="stable")
+        times, rows = edges["t"].astype("int64").to_numpy(), list(zip(edges["__key"], edges["d"], strict=True))
+        last, out, i = sorted(n for n, c in counts.items() if c > 0), [], 0
+        while i < len(rows):
+            t = times[i]
+            while i < len(rows) and times[i] == t:
+                counts[rows[i][0]] += rows[i][1]
+                i += 1
+            now = sorted(n for n, c in counts.items() if c > 0)
+            out.append((t, times[i] if i < len(rows) else part["next_t"].iloc[0], now, last))
+            last = now
+        found = pd.DataFrame([r for r in out if not pd.isna(r[1])], columns=["start_us", "end_us", "region", "previous"])
+        return found.assign(**dict(zip(groups, key[: len(groups)], strict=True)))[[*groups, *found.columns]]
+
+    kinds = dict(marks.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in groups), "start_us long, end_us long, region array<string>, previous array<string>"])
+    out = given.groupBy(*groups, "bucket").applyInPandas(fold, schema)
+    return out.select(*[F.col(k).alias(c) for c, k in zip(by, groups, strict=True)], "start_us", "end_us", "region", "previous")
+
+
+def region_times(events: DataFrame, by: list[str] | None = None, key: str = "key", keep_empty: bool = False, bucket: int | None = None) -> DataFrame:
     """Total time, first start and last end of every region: ``by, region, time_us, min_start_us, max_end_us``."""
     by = KEYS if by is None else by
     found = segments(events, by, key, bucket)
@@ -71,7 +117,7 @@ def region_times(events: DataFrame, by: list[str] | None = None, key: str = "key
     return found.groupBy(*by, "region").agg(F.sum(F.col("end_us") - F.col("start_us")).alias("time_us"), F.min("start_us").alias("min_start_us"), F.max("end_us").alias("max_end_us"))
 
 
-def transitions(events: DataFrame, by: list[str] | None = None, key: str = "key", bucket: int = BUCKET_US) -> DataFrame:
+def transitions(events: DataFrame, by: list[str] | None = None, key: str = "key", bucket: int | None = None) -> DataFrame:
     """How often each region follows another: ``by, previous, region, n``. Gaps and self-transitions count."""
     by = KEYS if by is None else by
     return segments(events, by, key, bucket).groupBy(*by, "previous", "region").agg(F.count("*").alias("n"))
@@ -89,15 +135,17 @@ def interval_starts(events: DataFrame, found: DataFrame, by: list[str] | None =
     return found.select(*by, "start_us", "end_us").join(starting, [*by, "start_us"])
 
 
-def merge_adjacent(events: DataFrame, by: list[str], bucket: int = BUCKET_US) -> DataFrame:
+def merge_adjacent(events: DataFrame, by: list[str], bucket: int | None = None) -> DataFrame:
     """Union of the intervals of each ``by``: overlapping and touching ones become one. ``by, start_us, end_us``.
 
-    The sweep's stretches with anything active, joined where one begins as the last ends.
+    The number of active intervals is a prefix sum over boundaries, as in the sweep; a run lasts from where it leaves 0
+    to where it is 0 again.
     """
-    busy = segments(events.withColumn("__all", F.lit("x")), by, "__all", bucket)
-    edges = busy.filter(F.size("region") != F.size("previous")).select(*by, "start_us", F.size("region").alias("on"))
-    last = events.filter("end_us > start_us").groupBy(*by).agg(F.max("end_us").alias("start_us")).withColumn("on", F.lit(0))
-    runs = edges.union(last.select(*by, "start_us", "on"))
-    # One row for each begin and end of a run is left here.
-    w = Window.partitionBy(*by).orderBy("start_us", F.desc("on"))
-    return runs.withColumn("end_us", F.lead("start_us").over(w)).filter("on = 1").select(*by, "start_us", "end_us")
+    live = cut_lineage(events.select(*by, F.lit("x").alias("__all"), "start_us", "end_us"))
+    at = _marks(live, by, "__all", bucket).groupBy(*by, "bucket", "t").agg(F.sum("d").alias("d"))
+    totals = at.groupBy(*by, "bucket").agg(F.sum("d").alias("d"))
+    carry = totals.select(*by, "bucket", F.coalesce(F.sum("d").over(Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("carried"))
+    within = Window.partitionBy(*by, "bucket").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    counted = at.join(carry, [*by, "bucket"]).withColumn("n", F.col("carried") + F.sum("d").over(within))
+    edges = counted.filter((F.col("n") == 0) != (F.col("n") == F.col("d"))).select(*by, "bucket", "t", "n")  # from 0 or to 0, but not both at once
+    return following(edges, by, [F.col("t")], "t", "end_us").filter("n > 0").select(*by, F.col("t").alias("start_us"), "end_us")

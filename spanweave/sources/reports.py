@@ -5,14 +5,19 @@ A report's lines belong together, so each file is one row that is split into num
 
 from __future__ import annotations
 
+import sqlite3
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-NUMBER = r"([-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?)"
-TIME_UNIT, LOG_UNIT = "(s|ms|us|ns)", r"\b(ms|s|qps)\b"
-#: The sections of a summary and of an inference log.
+NUMBER, TIME_UNIT = r"([0-9.]+)", "(s|ms|us|ns)"
+#: The sections of a summary.
 SUMMARY_SECTIONS = {"GPU activities": "gpu_activities", "API calls": "api_calls"}
-LOG_SECTIONS = r"(?i)(Host Latency|GPU Compute|Enqueue Time)$"
+#: What ends the time and level of a line of an inference log, its sections, and the units of its values.
+LOG_LEVEL, LOG_SECTIONS, LOG_UNITS = "[I]", ["host latency", "gpu compute", "enqueue time"], ["ms", "s", "qps"]
 #: Kinds of copies in a profiler's database.
 COPY_KINDS = {1: "[CUDA memcpy HtoD]", 2: "[CUDA memcpy DtoH]", 8: "[CUDA memcpy DtoD]"}
 
@@ -56,27 +61,46 @@ def profile_summary(spark: SparkSession, path: str) -> DataFrame:
 def inference_log(spark: SparkSession, path: str) -> DataFrame:
     """Metrics of an inference log: ``path, section, name, value``; of several values of one name the last.
 
-    Of lines that also give an end-to-end value, that is the one. Names end with the unit; those of percentiles
-    have the percentage before it.
+    After a line's time and level comes a section's title, or a label and, behind a colon, a number and its unit. More may
+    follow: the percentage of a percentile, and in brackets the value end to end, which is then the one that counts. Names are
+    the label, the percentage and the unit.
+    """
+    lines = numbered_lines(spark, path).withColumn("body", F.trim(F.substring_index("line", LOG_LEVEL, -1)))
+    section = F.when(F.lower("body").isin(*LOG_SECTIONS), F.translate(F.lower("body"), " ", "_"))
+    metrics = with_section(lines, section).filter(F.instr("body", ": ") > 0)
+    tokens = F.split(F.trim(F.translate(F.substr("body", F.instr("body", ": ") + 2), "()", "  ")), " +")
+    words = metrics.select("path", "section", "line_no", F.lower(F.substring_index("body", ": ", 1)).alias("label"), tokens.alias("w"))
+    at = F.when(F.array_position("w", "end") > 0, F.array_position("w", "end") + 2).otherwise(0).cast("int")  # "end to end", then the value
+    percent = F.replace(F.get(F.filter("w", lambda x: x.endswith("%")), F.lit(0)), F.lit("%"), F.lit(""))
+    parts = words.select("path", "section", "line_no", "label", percent.alias("percent"), F.get("w", at).try_cast("double").alias("value"), F.get("w", at + 1).alias("unit"))
+    named = parts.filter(F.col("value").isNotNull() & F.col("unit").isin(*LOG_UNITS))
+    name = F.concat_ws("_", F.translate("label", " ", "_"), "percent", "unit")
+    return named.groupBy("path", "section", name.alias("name")).agg(F.max_by("value", "line_no").alias("value"))
+
+
+def database_table(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
+    """A table of a profiler's database files (SQLite): the columns of ``schema``, read by the tasks, a file a task.
+
+    A file is held in its task's memory, where the database library opens it, and its rows come out in batches. Files
+    without the table have no rows.
     """
-    lines = numbered_lines(spark, path).withColumn("line", F.rtrim("line"))
-    title = F.nullif(F.regexp_extract("line", LOG_SECTIONS, 1), F.lit(""))
-    lines = with_section(lines, F.translate(F.lower(title), " ", "_")).filter(title.isNull())
-    lines = lines.withColumn("line", F.regexp_replace("line", r"^\[[^\]]+\]\s+\[I\]\s+", ""))
-    # Patterns in the order in which they are tried, with the groups of a name's parts and of the value.
-    patterns = [
-        (rf"(min|max|mean|median): {NUMBER} {LOG_UNIT} \(end to end {NUMBER} {LOG_UNIT}\)", (1, 5), 4),
-        (rf"(percentile): [^(]+\(end to end {NUMBER} {LOG_UNIT} at (\d+)%\)", (1, 4, 3), 2),
-        (rf"(percentile): {NUMBER} {LOG_UNIT} at (\d+)%", (1, 4, 3), 2),
-        (rf"([a-zA-Z][a-zA-Z ]+): {NUMBER} {LOG_UNIT}", (1, 3), 2),
-    ]
-    metrics = []
-    for pattern, name, value in patterns:
-        label = F.concat_ws("_", *[F.regexp_extract("line", pattern, i) for i in name])
-        made = F.struct(F.translate(F.lower(label), " ", "_").alias("name"), F.regexp_extract("line", pattern, value).cast("double").alias("value"))
-        metrics.append(F.when(F.col("line").rlike(pattern), made))
-    found = lines.withColumn("m", F.coalesce(*metrics)).filter("m is not null")
-    return found.groupBy("path", "section", "m.name").agg(F.max_by("m.value", "line_no").alias("value"))
+    wanted = spark.createDataFrame([], schema).schema
+    columns = ", ".join(f'"{f.name}"' for f in wanted)
+    kinds = to_arrow_schema(wanted)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                base = sqlite3.connect(":memory:")
+                base.deserialize(content.as_py())
+                if base.execute("SELECT 1 FROM sqlite_master WHERE name = ?", [table]).fetchone():
+                    found = base.execute(f'SELECT {columns} FROM "{table}"')
+                    while got := found.fetchmany(10_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), kinds, strict=True)], schema=kinds)
+                base.close()
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInArrow(rows, wanted)
 
 
 def _micros(df: DataFrame, name: Column) -> DataFrame:

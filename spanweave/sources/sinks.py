@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanweave.sources.shards import KEY_TYPE
+
 
 def write_events(events: DataFrame, path: str) -> None:
     """Events as Parquet, in folders by machine, process and phase, so that readers skip what they don't ask for."""
@@ -41,3 +43,21 @@ def chrome_events(lanes: DataFrame) -> DataFrame:
 
 def write_csv(report: DataFrame, path: str) -> None:
     report.write.option("header", True).csv(path)
+
+
+def shard_rows(events: DataFrame, width: int) -> DataFrame:
+    """A trace as nested rows of the kind ``category_events``: one for each process and stretch of ``width`` µs, so that none grows with the trace."""
+    group = [F.col("machine").alias("machine_name"), F.col("process").alias("process_name"), "phase", F.floor(F.col("start_us") / width).alias("part")]
+    event = F.struct(F.lit(0).cast("long").alias("thread_id"), F.col("start_us").alias("start_time_us"), F.col("duration_us"), F.col("event_name").alias("name"))
+    lists = events.groupBy(*group, "category").agg(F.collect_list(event).alias("events"))
+    return lists.groupBy("machine_name", "process_name", "phase", "part").agg(F.map_from_entries(F.collect_list(F.struct("category", F.struct("events")))).alias("category_events")).drop("part")
+
+
+def overlap_document(regions: DataFrame, size: str = "time_us") -> DataFrame:
+    """One JSON document of all regions (``procs, ops, non_ops`` and a size), a dictionary whose keys name their type.
+
+    A report's regions are few: they are sets of categories. Read back by ``shards.overlap_rows``.
+    """
+    key = F.to_json(F.struct(F.lit(KEY_TYPE).alias("typename"), "procs", "ops", "non_ops"))
+    pairs = regions.agg(F.array_sort(F.collect_list(F.concat(F.lit("["), key, F.lit(", "), F.col(size).cast("string"), F.lit("]")))).alias("p"))
+    return pairs.select(F.concat(F.lit('{"typename": "dict", "key_value_pairs": ['), F.array_join("p", ", "), F.lit("]}")).alias("value"))

@@ -131,8 +131,13 @@ def test_shards(spark, tmp_path):
 
 
 def test_trace_csv(spark, tmp_path):
-    (tmp_path / "t.csv").write_text('==1== header\n"Start","Duration","Name"\nus,us,\n1.6,2.0,k1\n5.0,-3.0,k2\n')
-    assert [tuple(r) for r in shards.gpu_trace_csv(spark, str(tmp_path / "t.csv")).orderBy("start_us").collect()] == [("k1", 2, 4), ("k2", 5, 5)]
+    """Each file's own header says where its columns are, and its units what they mean."""
+    (tmp_path / "api.csv").write_text('==1== a profile\n"Start","Duration","Name","Correlation_ID"\nus,us,,\n1.6,2.0,k1,7\n5.0,-3.0,k2,8\n')
+    (tmp_path / "gpu.csv").write_text('"Start","Duration","Grid X","Device","Name"\nms,us,,,\n0.002,4,8,"dev, (0)","void f<int, 4>(int)"\n')
+    (tmp_path / "other.csv").write_text("a,b\n1,2\n")
+    rows = shards.trace_csv(spark, str(tmp_path), {"Device": "device"}).orderBy("start_us", "event_name").collect()
+    assert [tuple(r)[1:] for r in rows] == [("k1", 2, 4, None), ("void f<int, 4>(int)", 2, 6, "dev, (0)"), ("k2", 5, 5, None)]
+    assert [tuple(r) for r in shards.csv_summary(shards.gpu_trace_csv(spark, str(tmp_path / "api.csv"))).orderBy("event_name").collect()] == [("k1", 1, 2, 2.0, 2, 2), ("k2", 1, 0, 0.0, 0, 0)]
 
 
 def test_venn_files_round_trip(spark, tmp_path):

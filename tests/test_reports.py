@@ -1,16 +1,18 @@
 """Text reports, tables of a profiler's database, labels and the critical path."""
 
+import sqlite3
+
 import pytest
 from pyspark.sql import functions as F
 
 from spanweave.operators import labels
 from spanweave.sources import reports
 
-SUMMARY = """==1== Profiling result:
+SUMMARY = """==7== Profiling result:
             Type  Time(%)      Time     Calls       Avg       Min       Max  Name
- GPU activities:   68.50%  45.0280s    200000  225.14us  2.0160us  525.09us  void kernel<float, int=128>(float)
-                    2.00%  939.29ms       600  2.3080us     320ns  27.457us  [CUDA memcpy DtoH]
-      API calls:   41.00%  62.1707s   3100000  20.055us  6.4550us  2.47057s  cudaLaunch
+ GPU activities:   75.00%  3.0000s       400  7.5000ms  500.00us  9.0000ms  void add_rows<int>(int*, int)
+                   25.00%  1.0000s      1000  1.0000ms     800ns  2.0000ms  [CUDA memset]
+      API calls:  100.00%  8.0000s        20  400.00ms  1.0000ms  2.50000s  cudaFree
 """
 LOG = """[01/01/2020-00:00:00] [I] Host Latency
 [01/01/2020-00:00:00] [I] min: 1.5 ms (end to end 2.5 ms)
@@ -28,9 +30,9 @@ def test_profile_summary(spark, tmp_path):
     (tmp_path / "b.txt").write_text("==1== No kernels were profiled.\n")
     rows = [tuple(r)[1:] for r in reports.profile_summary(spark, str(tmp_path)).orderBy("section", "calls").collect()]
     assert rows == [
-        ("api_calls", 0.41, 62.1707, 3100000, pytest.approx(20.055e-6), pytest.approx(6.455e-6), 2.47057, "cudaLaunch"),
-        ("gpu_activities", 0.02, pytest.approx(0.93929), 600, pytest.approx(2.308e-6), pytest.approx(320e-9), pytest.approx(27.457e-6), "[CUDA memcpy DtoH]"),
-        ("gpu_activities", 0.685, 45.028, 200000, pytest.approx(225.14e-6), pytest.approx(2.016e-6), pytest.approx(525.09e-6), "void kernel<float, int=128>(float)"),
+        ("api_calls", 1.0, 8.0, 20, pytest.approx(0.4), pytest.approx(1e-3), 2.5, "cudaFree"),
+        ("gpu_activities", 0.75, 3.0, 400, pytest.approx(7.5e-3), pytest.approx(500e-6), pytest.approx(9e-3), "void add_rows<int>(int*, int)"),
+        ("gpu_activities", 0.25, 1.0, 1000, pytest.approx(1e-3), pytest.approx(800e-9), pytest.approx(2e-3), "[CUDA memset]"),
     ]
 
 
@@ -58,6 +60,18 @@ def test_database_tables(spark):
     assert sorted(map(tuple, reports.api_times(calls, calls.withColumn("cbid", F.lit(6)), names).collect())) == [("6", 0.0, 1.0, 1.0), ("cuInit", 0.0, 1.0, 1.0)]
 
 
+def test_database_files(spark, tmp_path):
+    for name, rows in (("a.db", [(1, 2, "x"), (3, None, "y")]), ("b.db", [(5, 6, None)])):
+        base = sqlite3.connect(tmp_path / name)
+        base.execute("CREATE TABLE spans (start INTEGER, stop INTEGER, name TEXT)")
+        base.executemany("INSERT INTO spans VALUES (?, ?, ?)", rows)
+        base.commit()
+        base.close()
+    found = reports.database_table(spark, str(tmp_path), "spans", "start long, stop long, name string").collect()
+    assert sorted(map(tuple, found)) == [(1, 2, "x"), (3, None, "y"), (5, 6, None)]
+    assert reports.database_table(spark, str(tmp_path), "others", "a long").count() == 0
+
+
 def test_reduced_labels(spark):
     df = spark.createDataFrame([(1, ["Framework API C", "GPU"], ["CPU", "GPU"]), (2, ["GPU"], ["GPU"]), (3, ["Python", "CUDA API CPU"], ["CPU"])], "i int, categories array<string>, resources array<string>")
     assert {r.i: r.category for r in labels.reduced_labels(df).collect()} == {1: "Backend", 2: "", 3: "CUDA + Python"}
