@@ -90,7 +90,7 @@ def joined(values: Column, sep: str = " + ") -> Column:
 def pretty_micros(us: Column) -> Column:
     """Microseconds as text in the largest unit that gives 1 or more, with two decimals: ``1.50 ms``."""
     scales = {"s": 1e6, "ms": 1e3, "us": 1.0}
-    return F.coalesce(*[F.when(F.abs(us) >= x, F.concat(F.format_number(us / x, "0.00"), F.lit(f" {unit}"))) for unit, x in scales.items()], F.concat(F.format_number(us * 1000, "0.00"), F.lit(" ns")))
+    return F.coalesce(*[F.when(F.abs(us) >= x, F.format_string(f"%.2f {unit}", us / x)) for unit, x in scales.items()], F.format_string("%.2f ns", us * 1000.0))
 
 
 def function_name(name: Column) -> Column:

@@ -166,3 +166,19 @@ def instances_with_events(ops: DataFrame, events: DataFrame, by: list[str] | Non
     inside = _meetings(ops.select(*by, "op_id", F.col("s1").alias("lo"), F.col("e1").alias("hi")), starts, by, grids, bucket)
     around = _meetings(events.select(*by, "event_id", (F.col("s2") + 1).alias("lo"), F.col("e2").alias("hi")), op_starts, by, grids, bucket)
     return inside.select(*by, "op_id", "event_id").union(around.select(*by, "op_id", "event_id"))
+
+
+def stacks(ops: DataFrame, by: list[str] | None = None, bucket: int | None = None, sep: str = ";") -> DataFrame:
+    """Each operation's stack: the names of all that hold it, from the outermost to itself, and the outermost one's id.
+
+    Returns ``by, event_id, stack, root``. Of operations alike the one with the smaller id holds the other. A stack is as
+    long as operations are nested.
+    """
+    by = KEYS if by is None else by
+    live = cut_lineage(ops.select(*by, "event_id", "event_name", "start_us", "end_us"))
+    inner = live.select(*by, "event_id", F.col("start_us").alias("at"), F.col("end_us").alias("e2"))
+    outer = live.select(*by, F.struct("start_us", (-F.col("end_us")).alias("minus_end"), F.col("event_id").alias("id"), "event_name").alias("frame"), F.col("start_us").alias("lo"), F.col("end_us").alias("hi"))
+    pairs = _meetings(outer, inner, by, _grid_of(inner, by, bucket), bucket).filter("hi >= e2")
+    held = (F.col("lo") < F.col("at")) | (F.col("hi") > F.col("e2")) | (F.col("frame.id") <= F.col("event_id"))
+    frames = pairs.filter(held).groupBy(*by, "event_id").agg(F.sort_array(F.collect_list("frame")).alias("f"))
+    return frames.select(*by, "event_id", F.array_join(F.transform("f", lambda x: x["event_name"]), sep).alias("stack"), F.get("f", F.lit(0))["id"].alias("root"))

@@ -40,3 +40,11 @@ def following(df: DataFrame, by: list[str], order: list[Column], value: str, nam
     within = Window.partitionBy(*by, "bucket").orderBy(*order)
     last = F.lead(F.lit(True)).over(within).isNull()
     return df.join(ahead, [*by, "bucket"]).withColumn(name, F.when(last, F.col("__ahead")).otherwise(F.lead(value).over(within))).drop("__ahead")
+
+
+def numbered(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+    """Adds ``name``: 1, 2, … in the order of each group. ``df`` has a ``bucket``, which goes up with the order; the buckets' counts are added up."""
+    sizes = df.groupBy(*by, "bucket").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = sizes.select(*by, "bucket", before.alias("__before"))
+    return df.join(ahead, [*by, "bucket"]).withColumn(name, F.col("__before") + F.row_number().over(Window.partitionBy(*by, "bucket").orderBy(*order))).drop("__before")

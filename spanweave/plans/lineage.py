@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A lookup table of at most so many rows is broadcast.
@@ -14,16 +14,21 @@ BROADCAST_ROWS = 50_000
 HOT_SHARE = 1000
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to ``spark.checkpoint.dir`` and goes on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, ``spark.checkpoint.dir``.
 
-    A folder of one's own is used only where none is set and Spark runs on one machine; on a cluster that is an error.
+    One of one's own is used only where none is set and Spark runs on one machine; on a cluster that is an error.
     """
-    spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared folder and goes on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

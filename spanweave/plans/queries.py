@@ -717,3 +717,6 @@ def c15(spark, d):
 @query("k7_folded_stacks", f"WITH {TRACE_SQL} SELECT process || ';' || category || ';' || event_name AS stack, CAST(sum(duration_us) AS BIGINT) AS us FROM t GROUP BY stack")
 def k7(spark, d):
     return trace(spark, d).groupBy(F.concat_ws(";", "process", "category", "event_name").alias("stack")).agg(F.sum("duration_us").alias("us"))
+
+
+from spanweave.plans import derived, scans  # noqa: E402, F401 (they register their queries)

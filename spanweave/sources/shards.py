@@ -30,8 +30,10 @@ def file_kind(path: Column) -> Column:
     return F.coalesce(*[F.when(name.startswith(pattern.rstrip("*")), kind) for kind, (pattern, _) in SHARDS.items()])
 
 
-def read_shards(spark: SparkSession, folder: str, kind: str, form: str = "json") -> DataFrame:
+def read_shards(spark: SparkSession, folder: str, kind: str, form: str = "json", names: str | None = None) -> DataFrame:
+    """All shards of a kind below a folder, by the kind's file names or by ``names`` (a pattern)."""
     pattern, schema = SHARDS[kind]
+    pattern = names or pattern
     return spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", f"{pattern}.{form}").format(form).load(folder)
 
 
@@ -89,9 +91,9 @@ def process_metadata(shards: DataFrame) -> DataFrame:
     return shards.select(F.col("machine_name").alias("machine"), F.col("process_name").alias("process"), "phase", F.col("parent_process_name").alias("parent"), "training_progress.percent_complete", "training_progress.num_timesteps", "training_progress.total_timesteps")
 
 
-def run_configs(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+def run_configs(spark: SparkSession, folder: str, names: list[str], files: str = "*config.json") -> DataFrame:
     """A row for each run's configuration file below a folder: ``path`` and the named values of its ``metadata``; null where it has none."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*config.json").text(folder, wholetext=True)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", files).text(folder, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), *[F.get_json_object("value", f"$.metadata.{n}").alias(n) for n in names])
 
 

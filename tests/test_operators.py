@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from spanweave.functions import predicates
 from spanweave.operators import flatten, overhead, rollup, stats, sweep
+from spanweave.plans import lineage
 from spanweave.sources import shards, sinks
 from spanweave.streaming import live
 
@@ -158,3 +160,82 @@ def test_live_bins_equal_batch(spark, tmp_path):
     stream = bins.writeStream.format("memory").queryName("live_bins").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     stream.awaitTermination(120)
     assert sorted(spark.table("live_bins").collect()) == sorted(busy_bins(df, ["key"], 10).collect())
+
+
+def plain_owners(spans):
+    """For each instant the active span with the smallest end, of equal ends the latest start, as runs."""
+    out = []
+    for t in range(min(a for _, a, _ in spans), max(b for _, _, b in spans)):
+        active = [(b, -a, k, i) for i, (k, a, b) in enumerate(spans) if a <= t < b]
+        if active:
+            owner = min(active)[3]
+            if out and out[-1][0] == owner and out[-1][2] == t:
+                out[-1][2] = t + 1
+            else:
+                out.append([owner, t, t + 1])
+    return sorted(map(tuple, out))
+
+
+@pytest.mark.parametrize("bucket", [1, 3, 8, 64, None])
+def test_flatten_as_plain_version(spark, bucket):
+    rng = random.Random(8)
+    spans = list({(s, s + rng.choice([1, 2, 5, 20, 90])): f"o{rng.randrange(4)}" for s in (rng.randrange(120) for _ in range(60))}.items())
+    spans = [(k, a, b) for (a, b), k in spans]
+    got = sorted((r.event_id, r.start_us, r.end_us) for r in flatten.flatten_ops(events(spark, spans), bucket=bucket).collect())
+    assert got == plain_owners(spans)
+
+
+@pytest.mark.parametrize("bucket", [1, 7, None])
+def test_interval_joins_as_plain_version(spark, bucket):
+    rng = random.Random(9)
+    ops, evs = ([("x", s, s + rng.randrange(30)) for s in (rng.randrange(200) for _ in range(40))] for _ in range(2))
+    got = sorted((r.op_id, r.event_id) for r in flatten.instances_with_events(events(spark, ops), events(spark, evs), bucket=bucket).collect())
+    assert got == sorted((i, j) for i, (_, a, b) in enumerate(ops) for j, (_, c, d) in enumerate(evs) if a <= d and c <= b)
+    live = [(i, a, b) for i, (_, a, b) in enumerate(ops) if b > a]
+    bad = sorted((i, j) for i, a, b in live for j, c, d in live if a < c < b < d or ((a, b) == (c, d) and i < j))
+    assert sorted((r.event_id, r.other_id) for r in flatten.bad_nesting(events(spark, ops), bucket=bucket).collect()) == bad
+
+
+@pytest.mark.parametrize("bucket", [3, 40, None])
+def test_sweep_with_many_keys(spark, monkeypatch, bucket):
+    """Counting by name gives what columns give."""
+    rng = random.Random(10)
+    df = events(spark, [(f"k{rng.randrange(9)}", s, s + rng.randrange(25)) for s in (rng.randrange(150) for _ in range(80))])
+    want = sorted(map(tuple, sweep.segments(df, bucket=bucket).collect()))
+    monkeypatch.setattr(sweep, "MAX_KEYS", 3)
+    assert sorted(map(tuple, sweep.segments(df, bucket=bucket).collect())) == want
+
+
+def test_lookup_with_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "BROADCAST_ROWS", 0)
+    big = spark.createDataFrame([(None if i % 3 == 0 else i % 700, i) for i in range(1500)], "k int, i int")
+    small = spark.createDataFrame([(None, "none"), *((k, str(k)) for k in range(0, 700, 2))], "k int, v string")
+    for how in ("left", "inner"):
+        got = sorted(((r.k, r.i, r.v) for r in lineage.lookup(big, small, ["k"], how).collect()), key=lambda r: r[1])
+        want = [(k, i, "none" if k is None else str(k) if k % 2 == 0 else None) for k, i in ((None if i % 3 == 0 else i % 700, i) for i in range(1500))]
+        assert got == [w for w in want if how == "left" or w[2] is not None]
+
+
+def test_interval_algebra_and_texts(spark):
+    df = spark.createDataFrame([(0, 5, 3, 8), (0, 2, 3, 8), (3, 8, 3, 8), (9, 9, 3, 8)], "a long, b long, c long, d long")
+    four = [F.col(c) for c in "abcd"]
+    assert [r[0] for r in df.select(predicates.order(*four)).collect()] == ["overlap", "before", "equal", "after"]
+    assert [r[0] and tuple(r[0]) for r in df.select(predicates.common_interval(*four)).collect()] == [(3, 5), None, (3, 8), None]
+    assert tuple(df.select(predicates.merged_interval(*four)).first()[0]) == (0, 8)
+    for kind, want in (("any", [True, False, True, False]), ("subsumes", [False, False, True, False]), ("partial", [True, False, False, False])):
+        assert [r[0] for r in df.select(predicates.overlap(*four, kind)).collect()] == want
+    texts = spark.createDataFrame([("1.5ms",), ("20us",), ("3 ns",), ("2s",), ("x",)], "t string")
+    assert [r[0] for r in texts.select(predicates.human_micros(F.col("t"))).collect()] == [1500.0, 20.0, pytest.approx(0.003), 2e6, None]
+    assert [r[0] for r in spark.createDataFrame([(0.25,), (7.0,), (1500.0,), (2.5e6,)], "u double").select(predicates.pretty_micros(F.col("u"))).collect()] == ["250.00 ns", "7.00 us", "1.50 ms", "2.50 s"]
+    cast = predicates.numbers_where_possible(spark.createDataFrame([("1", "1.5", "x"), (None, "2", "3")], "a string, b string, c string"), ["a", "b", "c"])
+    assert [t for _, t in cast.dtypes] == ["bigint", "double", "string"]
+    index = spark.createDataFrame([("a", 2), ("b", 1), ("a", 1)], "kind string, level int")
+    assert [tuple(r) for r in predicates.selected(index, {"kind": "a", "level": lambda c: c >= 1}, ["level"]).collect()] == [("a", 1), ("a", 2)]
+
+
+def test_clamped_and_dropped(spark):
+    df = events(spark, [("a", 5, 3), ("b", 1, 2)])
+    assert [r.key for r in predicates.negative_dropped(df).collect()] == ["b"]
+    assert sorted(r.end_us for r in predicates.negative_clamped(df).collect()) == [2, 5]
+    names = spark.createDataFrame([("Intel Xeon",), ("GeForce",)], "d string")
+    assert [r[0] for r in names.select(predicates.is_cpu(F.col("d"))).collect()] == [True, False]
