@@ -41,17 +41,13 @@ def _rank() -> Column:
     return F.struct("end_us", (-F.col("start_us")).alias("minus_start"), "event_name", "event_id")
 
 
-def _owners(part: pd.DataFrame) -> pd.DataFrame:
-    """The pieces of one bucket: from each boundary to the next, and from the last to the next bucket's first (``ahead``)."""
-    part = part.sort_values("start_us", kind="stable")
-    first = part.iloc[0]
-    starts, ends, lo, hi = part["start_us"].to_numpy(), part["end_us"].to_numpy(), first["lo"], first["hi"]
-    edges = np.unique(np.concatenate([starts[starts >= lo], ends[ends < hi]]))
-    waiting = list(zip(ends.tolist(), (-starts).tolist(), part["event_name"], part["event_id"].tolist(), strict=True))
-    heap = [] if pd.isna(first["c_end"]) else [(int(first["c_end"]), int(first["c_start"]), first["c_name"], int(first["c_id"]))]
-    after = [*edges[1:].tolist(), first["ahead"]]
+def walk(waiting: list[tuple], edges: list[int], heap: list[tuple], ahead: int | None) -> list[list]:
+    """Pieces (event_id, event_name, start, end) from each edge to the next, and from the last to ``ahead``.
+
+    ``waiting`` and ``heap`` hold operations as (end, -start, name, id): those to come, by start, and those that are active.
+    """
     out, at = [], 0
-    for s, e in zip(edges.tolist(), after, strict=True):
+    for s, e in zip(edges, [*edges[1:], ahead], strict=True):
         while at < len(waiting) and -waiting[at][1] <= s:
             heapq.heappush(heap, waiting[at])
             at += 1
@@ -63,7 +59,30 @@ def _owners(part: pd.DataFrame) -> pd.DataFrame:
             out[-1][3] = int(e)
         else:
             out.append([heap[0][3], heap[0][2], s, int(e)])
-    found = pd.DataFrame(out, columns=["event_id", "event_name", "start_us", "end_us"])
+    return out
+
+
+def pieces_of(ops: list[list]) -> list[list]:
+    """The pieces of a few operations (event_id, event_name, start, end)."""
+    once: dict[tuple, list] = {}
+    for op in ops:
+        known = once.setdefault((op[2], op[3]), op)
+        if (op[1], op[0]) < (known[1], known[0]):
+            once[op[2], op[3]] = op
+    waiting = sorted(((e, -s, n, i) for i, n, s, e in once.values()), key=lambda w: -w[1])
+    edges = sorted({t for s, e in once for t in (s, e)})
+    return walk(waiting, edges, [], edges[-1]) if edges else []
+
+
+def _owners(part: pd.DataFrame) -> pd.DataFrame:
+    """The pieces of one bucket, the last one up to the next bucket's first boundary (``ahead``)."""
+    part = part.sort_values("start_us", kind="stable")
+    first = part.iloc[0]
+    starts, ends = part["start_us"].to_numpy(), part["end_us"].to_numpy()
+    edges = np.unique(np.concatenate([starts[starts >= first["lo"]], ends[ends < first["hi"]]])).tolist()
+    waiting = list(zip(ends.tolist(), (-starts).tolist(), part["event_name"], part["event_id"].tolist(), strict=True))
+    heap = [] if pd.isna(first["c_end"]) else [(int(first["c_end"]), int(first["c_start"]), first["c_name"], int(first["c_id"]))]
+    found = pd.DataFrame(walk(waiting, edges, heap, first["ahead"]), columns=["event_id", "event_name", "start_us", "end_us"])
     return found.assign(border=(found["start_us"] == edges[0]) | (found["end_us"] == first["ahead"]))
 
 

@@ -1,5 +1,6 @@
 """Operators on small hand-made traces."""
 
+import os
 import random
 
 import pytest
@@ -239,3 +240,44 @@ def test_clamped_and_dropped(spark):
     assert sorted(r.end_us for r in predicates.negative_clamped(df).collect()) == [2, 5]
     names = spark.createDataFrame([("Intel Xeon",), ("GeForce",)], "d string")
     assert [r[0] for r in names.select(predicates.is_cpu(F.col("d"))).collect()] == [True, False]
+
+
+def run_stream(spark, df, name, folder, mode="append"):
+    stream = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(folder)).trigger(availableNow=True).start()
+    stream.awaitTermination(180)
+    return spark.table(name)
+
+
+LIVE = "machine string, process string, phase string, key string, event_name string, event_id long, start_us long, end_us long"
+
+
+def test_live_flatten_equals_batch(spark, tmp_path):
+    """Operations come in several files; each piece comes out once, as in the batch, when the watermark has passed it."""
+    second = 1_000_000
+    spans = [("B", 0, 5), ("A", 1, 2), ("A", 3, 4), ("B", 6, 11), ("A", 7, 8), ("C", 7, 8), ("A", 9, 10), ("Z", 100, 101)]
+    day = 86_400 * second  # times at the epoch itself count as late
+    rows = [("m", "p", "x", k, k, i, day + a * second, day + b * second) for i, (k, a, b) in enumerate(spans)]
+    for i, part in enumerate((rows[:2], rows[2:5], rows[5:7], rows[7:], [("m", "p", "x", "Y", "Y", 99, day + 200 * second, day + 201 * second)])):
+        spark.createDataFrame(part, LIVE).coalesce(1).write.parquet(str(tmp_path / f"in{i}"))
+    spark.read.parquet(str(tmp_path / "in0")).limit(0).write.parquet(str(tmp_path / "all"))
+    import shutil
+
+    for i in range(5):
+        for f in (tmp_path / f"in{i}").glob("*.parquet"):
+            shutil.copy(f, tmp_path / "all" / f"{i}-{f.name}")
+            os.utime(tmp_path / "all" / f"{i}-{f.name}", (1_700_000_000 + i, 1_700_000_000 + i))
+    ops = spark.readStream.schema(LIVE).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "all")).withColumn("ts", F.timestamp_micros("start_us"))
+    found = run_stream(spark, live.live_flatten(ops, ["process"], "8 seconds"), "live_flat", tmp_path / "c").collect()
+    want = flatten.flatten_ops(spark.createDataFrame(rows, LIVE), ["process"]).filter(F.col("end_us") < day + 100 * second).collect()
+    assert sorted(tuple(r) for r in found if r.end_us < day + 100 * second) == sorted(map(tuple, want))
+
+
+def test_live_sums_and_progress(spark, tmp_path):
+    hour = 3_600_000_000
+    df = events(spark, [("a", hour, hour + 5), ("a", hour + 9, hour + 10), ("b", 2 * hour, 2 * hour + 7), ("a", 9 * hour, 9 * hour + 1)]).withColumn("duration_us", F.col("end_us") - F.col("start_us"))
+    df.write.parquet(str(tmp_path / "in"))
+    stream = live.arriving_events(spark, str(tmp_path / "in"), LIVE + ", duration_us long")
+    sums = run_stream(spark, live.live_category_time(stream, ["key"]), "live_sums", tmp_path / "c1", "update").collect()
+    assert sorted((r.key, r.duration_us, r.n) for r in sums) == [("a", 1, 1), ("a", 6, 2), ("b", 7, 1)]
+    last = run_stream(spark, live.live_last_progress(stream, ["key"], "start_us", "end_us"), "live_last", tmp_path / "c2", "complete").collect()
+    assert sorted((r.key, r.end_us) for r in last) == [("a", 9 * hour + 1), ("b", 2 * hour + 7)]
