@@ -21,7 +21,7 @@ from spanweave.llm.lexicon import Lexicon
 #: How byte-level BPE splits a text into words. A fixed value, but for L, N and X: letters, numbers and what is neither.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?L+| ?N+| ?X+|\s+(?!\S)|\s+"
 #: Words of a process's cache, and characters of texts that are encoded together.
-CACHE, CHUNK = 200_000, 1_000_000
+CACHE, CHUNK = 200_000, 500_000
 
 
 @cache
@@ -59,19 +59,21 @@ def byte_letters() -> dict[str, int]:
 
 
 class Bpe:
-    """A byte-level BPE vocabulary: bytes of each id, merges by rank, and special tokens."""
+    """A byte-level BPE vocabulary: bytes of each id, merges by rank (k, 3: the ids of both parts and of what they make), and special tokens."""
 
-    def __init__(self, tokens: dict[int, bytes], merges: list[tuple[bytes, bytes]], special: dict[str, int], patterns: tuple[str, str, str], lexicon: bytes = b"") -> None:
+    def __init__(self, tokens: dict[int, bytes], merges: np.ndarray, special: dict[str, int], patterns: tuple[str, str, str], lexicon: bytes = b"") -> None:
         self.tokens, self.special = tokens, special
         ids = {t: i for i, t in tokens.items()}
         self.of_byte = [ids[bytes([b])] for b in range(256)]
-        self.merges = {(ids[a] << 32) | ids[b]: (rank, ids[a + b]) for rank, (a, b) in enumerate(merges)}
+        self.merges = {(a << 32) | b: (rank, made) for rank, (a, b, made) in enumerate(merges.tolist())}
         self.lexicon = Lexicon.mapped(lexicon) if lexicon else None
         self.cache: dict[str, bytes] = {}
         self.plain, self.exact, self.newer = regex.compile(patterns[0]), regex.compile(patterns[1]), frozenset(patterns[2])
         names = sorted(special, key=lambda s: (-len(s), s))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
-        self.texts = {**tokens, **{i: s.encode() for s, i in special.items()}}
+        self.texts = [b""] * (1 + max([*tokens, *special.values()], default=-1))
+        for i, t in [*tokens.items(), *((i, s.encode()) for s, i in special.items())]:
+            self.texts[i] = t
 
     def words(self, text: str) -> list[str]:
         return (self.plain if text.isascii() or self.newer.isdisjoint(text) else self.exact).findall(text)
@@ -147,7 +149,7 @@ class Bpe:
         return b"".join(map(self.texts.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
 
 
-def load(path: str) -> tuple[dict[int, bytes], list[tuple[bytes, bytes]], dict[str, int]]:
+def load(path: str) -> tuple[dict[int, bytes], np.ndarray, dict[str, int]]:
     """Tokens, merges and special tokens of a byte-level BPE file of the tokenizers library."""
     with open(path, encoding="utf-8") as file:
         data = json.load(file)
@@ -159,7 +161,19 @@ def load(path: str) -> tuple[dict[int, bytes], list[tuple[bytes, bytes]], dict[s
     special = {t["content"]: t["id"] for t in data["added_tokens"]}
     tokens = {i: raw(t) for t, i in data["model"]["vocab"].items() if t not in special}
     pairs = [m if isinstance(m, list) else m.split(" ") for m in data["model"]["merges"]]
-    return tokens, [(raw(a), raw(b)) for a, b in pairs], special
+    ids = {t: i for i, t in tokens.items()}
+    merges = [(ids[raw(a)], ids[raw(b)], ids[raw(a) + raw(b)]) for a, b in pairs]
+    return tokens, np.array(merges, dtype=np.uint32).reshape(-1, 3), special
+
+
+def packed(tokens: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Ids, lengths and bytes of tokens, which take less room than the tokens by themselves."""
+    return np.array(list(tokens), dtype=np.uint32), np.array([len(t) for t in tokens.values()], dtype=np.uint32), b"".join(tokens.values())
+
+
+def unpacked(ids: np.ndarray, lengths: np.ndarray, data: bytes) -> dict[int, bytes]:
+    ends = np.cumsum(lengths, dtype=np.int64)
+    return {i: data[e - n : e] for i, n, e in zip(ids.tolist(), lengths.tolist(), ends.tolist(), strict=True)}
 
 
 def frequent_words(bpe: Bpe) -> list[tuple[bytes, list[int]]]:
@@ -187,30 +201,30 @@ def with_tokens(docs: DataFrame, path: str, text: str = "text") -> Column:
 
     ``ids`` are little-endian unsigned 32-bit integers, as the tokenizers library gives them without added special
     tokens, truncation and padding; special tokens' strings inside a text are those tokens. ``decoded`` is the text
-    of the ids, special tokens included. Only the driver reads ``path``.
+    of the ids, special tokens included. Repeated rows are encoded alike, very long texts whole; an empty table gives no rows.
+    Only the driver reads ``path``.
     """
     tokens, merges, special = load(path)
     lexicon = Lexicon.compile(frequent_words(Bpe(tokens, merges, special, word_patterns()))).dump()
-    shared = docs.sparkSession.sparkContext.broadcast((tokens, merges, special, word_patterns(), lexicon))  # the size of the vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast((packed(tokens), merges, special, word_patterns(), lexicon))  # the size of the vocabulary
 
     key = hashlib.sha256(lexicon).hexdigest()
 
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         if (bpe := _LOADED.get(key)) is None:
             _LOADED.clear()
-            bpe = _LOADED[key] = Bpe(*shared.value)
+            small, *rest = shared.value
+            bpe = _LOADED[key] = Bpe(unpacked(*small), *rest)
         for batch in batches:
-            ids: list[bytes] = []
             waiting: list[str] = []
             size = 0
-            for value in batch:
+            for n, value in enumerate(batch, 1):
                 waiting.append(value or "")
                 size += len(waiting[-1])
-                if size >= CHUNK:
-                    ids += bpe.encode(waiting)
+                if size >= CHUNK or n == len(batch):  # given out by the chunk, so that no batch of long texts is held three times over
+                    ids = bpe.encode(waiting)
+                    yield pd.DataFrame({"ids": ids, "decoded": [bpe.decode(i) for i in ids]})
                     waiting, size = [], 0
-            ids += bpe.encode(waiting)
-            yield pd.DataFrame({"ids": ids, "decoded": [bpe.decode(i) for i in ids]})
 
     return F.pandas_udf(coded, "struct<ids:binary,decoded:string>")(docs[text])
 
