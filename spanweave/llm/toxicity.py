@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import table
+from spanweave.llm.common import drawn, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Besides whole words, the beginnings of longer words, of so many letters, are terms.
@@ -21,16 +21,22 @@ HEADS = (4, 5)
 @dataclass(frozen=True)
 class Settings:
     """``docs_per_label``: training takes about so many labelled documents that are toxic, and twice as many that are not, by a
-    hash of doc_id; this bounds what the driver gets. Terms are used if their chi-squared with the label is ``evidence`` at least."""
+    hash of doc_id; this bounds what the driver gets. Terms of fewer than ``min_docs`` of these count as unseen. The machine is
+    fitted on all other terms (``first_epochs``, ``first_l1``), then again on the ``kept`` terms of the largest weights and
+    the ``kept`` ones of the largest factors."""
 
     docs_per_label: int = 4000
     bits: int = 18
     factors: int = 4
+    min_docs: int = 5
+    first_epochs: int = 12
+    first_l1: float = 1e-3
+    first_batch: int = 128
+    kept: int = 300
     epochs: int = 40
+    l1: float = 1e-4
     batch: int = 64
     rate: float = 0.2
-    l1: float = 1e-5
-    evidence: float = 10.0
     seed: int = 5
 
 
@@ -58,27 +64,29 @@ def _logits(model: Model, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarr
     return model.bias + np.add.reduceat(model.weights[ids], starts) + pairs, sums
 
 
-def informative(docs: list[np.ndarray], toxic: np.ndarray, size: int, evidence: float) -> np.ndarray:
-    """Which terms' chi-squared with the label, over documents, is ``evidence`` at least (with Yates's correction)."""
-    with_term = np.bincount(np.concatenate(docs), minlength=size).astype(float)
-    both = np.bincount(np.concatenate(docs), weights=np.repeat(toxic, [len(d) for d in docs]), minlength=size)
-    n, pos = float(len(docs)), float(toxic.sum())
-    gap = np.maximum(0, np.abs(both * n - with_term * pos) - n / 2)
-    return n * gap**2 >= evidence * np.maximum(1, with_term * (n - with_term) * pos * (n - pos)) if pos else np.zeros(size, bool)
-
-
 def train(docs: list[np.ndarray], toxic: np.ndarray, settings: Settings = Settings()) -> Model:
-    """Logistic loss, by AdaGrad with soft thresholding, over the terms that tell something; others count as unseen."""
+    """Fits on all terms, then on those that the fitted machine gives weight, by themselves or in pairs; others count as unseen."""
+    size = 1 << settings.bits
+    seen = np.bincount(np.concatenate(docs), minlength=size) >= settings.min_docs
+    first = descend(docs, toxic, seen, settings, settings.first_epochs, settings.first_batch, settings.first_l1)
+    chosen = np.zeros(size, bool)
+    for strength in (np.abs(first.weights), np.sqrt((first.factors**2).sum(axis=1))):
+        top = np.argsort(-strength, kind="stable")[: settings.kept]
+        chosen[top[strength[top] > 0]] = True
+    return descend(docs, toxic, chosen & seen, settings, settings.epochs, settings.batch, settings.l1)
+
+
+def descend(docs: list[np.ndarray], toxic: np.ndarray, seen: np.ndarray, settings: Settings, epochs: int, batch: int, l1: float) -> Model:
+    """Logistic loss over the ``seen`` terms, by AdaGrad with soft thresholding."""
     rng, size = np.random.default_rng(settings.seed), 1 << settings.bits
-    seen = informative(docs, toxic, size, settings.evidence)
     docs = [d[seen[d]] for d in docs]
     model = Model(0.0, np.zeros(size, np.float32), (rng.standard_normal((size, settings.factors)) * 0.01 * seen[:, None]).astype(np.float32))
     g_bias, g_w, g_v = 1e-8, np.full(size, 1e-8, np.float32), np.full((size, settings.factors), 1e-8, np.float32)
     usable = np.array([i for i, d in enumerate(docs) if len(d)], dtype=int)
-    for _ in range(settings.epochs):
+    for _ in range(epochs):
         order = rng.permutation(usable)
-        for at in range(0, len(order), settings.batch):
-            rows = order[at : at + settings.batch]
+        for at in range(0, len(order), batch):
+            rows = order[at : at + batch]
             parts = [docs[i] for i in rows]
             lengths = np.array([len(p) for p in parts])
             ids, starts = np.concatenate(parts), np.cumsum([0, *lengths[:-1]])
@@ -95,10 +103,10 @@ def train(docs: list[np.ndarray], toxic: np.ndarray, settings: Settings = Settin
             model.bias -= settings.rate * float(error.sum()) / np.sqrt(g_bias)
             step = settings.rate / np.sqrt(g_w[touched])
             w = model.weights[touched] - step * d_w
-            model.weights[touched] = np.sign(w) * np.maximum(np.abs(w) - step * settings.l1, 0)
+            model.weights[touched] = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
             step = 0.2 * settings.rate / np.sqrt(g_v[touched])
             v = model.factors[touched] - step * d_v
-            model.factors[touched] = np.sign(v) * np.maximum(np.abs(v) - step * settings.l1, 0)
+            model.factors[touched] = np.sign(v) * np.maximum(np.abs(v) - step * l1, 0)
     return model
 
 
@@ -123,16 +131,16 @@ def _terms_udf(bits: int) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """A model of ``toxic`` (1 or not) of ``labels`` (``doc_id, toxic``) from the texts of ``docs`` (``doc_id, text``).
 
-    Null ids and labels teach nothing; of several labels of an id the highest counts.
+    Null ids and labels teach nothing; of several labels of an id the highest counts. Repeated rows of ``docs`` are learned as
+    often as they are there; very long texts are learned whole. Without labels, or with labels of one kind only, the score is
+    that kind's for all.
     """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    million = 1_000_000
-    part = {label: min(million, million * most // max(1, n.get(label, 0))) for label, most in ((True, settings.docs_per_label), (False, 2 * settings.docs_per_label))}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(million))
-    chosen = known.filter(draw < F.when(F.col("toxic"), part[True]).otherwise(part[False]))  # bounded by docs_per_label
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", _terms_udf(settings.bits)("text").alias("t"))
-    got = rows.toArrow().sort_by("doc_id")
+    share = {label: min(1.0, most / max(1, n.get(label, 0))) for label, most in ((True, settings.docs_per_label), (False, 2 * settings.docs_per_label))}
+    chosen = known.filter(drawn(F.when(F.col("toxic"), share[True]).otherwise(share[False]), "toxicity", "doc_id"))  # bounded by docs_per_label
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", F.xxhash64("text").alias("h"), _terms_udf(settings.bits)("text").alias("t"))
+    got = rows.toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")])  # whatever order the rows came in, training is the same
     column = got["t"].combine_chunks()
     flat, offsets = column.flatten().to_numpy(), column.offsets.to_numpy() if len(column) else np.zeros(1, int)
     hashed = [flat[a - offsets[0] : b - offsets[0]] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
@@ -141,12 +149,16 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         sure = 0.0 if not len(toxic) or toxic.min() == 0 else 1.0
         return Model(20.0 * sure - 10.0, np.zeros(1 << settings.bits, np.float32), np.zeros((1 << settings.bits, settings.factors), np.float32))
     model = train(hashed, toxic, settings)
-    model.bias += float(np.log(part[False] / part[True]))  # toxic documents are more frequent in the sample
+    model.bias += float(np.log(share[False] / share[True]))  # toxic documents are more frequent in the sample
     return model
 
 
 def with_toxicity(docs: DataFrame, model: Model, settings: Settings = Settings(), text: str = "text") -> Column:
-    """Column of scores from 0 to 1 for a column of whole texts; null and empty texts have the score of no terms."""
+    """Column of scores from 0 to 1 for a column of whole texts; null and empty texts have the score of no terms.
+
+    Only the text counts: repeated rows have one score, a very long text is scored whole, an empty table gives no rows, and
+    other columns do not matter.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is set by bits and factors
 
     def scored(texts: pd.Series) -> pd.Series:
