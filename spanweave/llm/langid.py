@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import table
+from spanweave.llm.common import drawn, table
 
 #: Bytes of a window; the network's state starts afresh in each. Symbol 256 fills the last window up.
 WINDOW, PAD, SYMBOLS = 64, 256, 257
@@ -21,12 +21,12 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """``docs_per_language``: training takes about so many documents of each language, by a hash of doc_id, and
-    up to ``windows_per_doc`` evenly spaced windows of each; this bounds what the driver gets."""
+    """``docs_per_language``: training takes about so many documents of each language, by a hash of doc_id, with all their
+    windows; of more than ``max_languages`` the most frequent are learned. This bounds what the driver gets."""
 
     hidden: int = 8
-    docs_per_language: int = 400
-    windows_per_doc: int = 6
+    docs_per_language: int = 250
+    max_languages: int = 200
     steps: int = 260
     batch: int = 256
     rate: float = 0.02
@@ -118,31 +118,40 @@ def _label(model: Model, forward: np.ndarray, backward: np.ndarray) -> np.ndarra
     return logits
 
 
-def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], settings: Settings = Settings()) -> Model:
-    """Backpropagation through time over windows (n, WINDOW) of symbols, with Adam; the loss is of all positions."""
+def gradients(model: Model, symbols: np.ndarray, truth: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Mean cross-entropy of all real positions of windows (WINDOW, n), and its gradients by ``model.parts()``, through time."""
+    real = (symbols != PAD).astype(np.float32)[:, None, :]
+    ahead, tape_a = _run(model.ways[0], symbols, keep=True)
+    back, tape_b = _run(model.ways[1], symbols[::-1], keep=True)
+    behind = back[::-1]
+    d, n = _label(model, ahead, behind), max(1.0, float(real.sum()))
+    loss = float(-(np.log(d[:, truth, np.arange(len(truth))] + 1e-30) * real[:, 0]).sum()) / n
+    d[:, truth, np.arange(len(truth))] -= 1
+    d *= real / n
+    d_ahead, d_behind = model.out[0].T @ d, model.out[1].T @ d
+    return loss, [
+        *_back(model.ways[0], symbols, tape_a, d_ahead),
+        *_back(model.ways[1], symbols[::-1], tape_b, d_behind[::-1]),
+        np.einsum("tkn,thn->kh", d, ahead, optimize=True),
+        np.einsum("tkn,thn->kh", d, behind, optimize=True),
+        d.sum(axis=(0, 2))[:, None],
+    ]
+
+
+def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], settings: Settings = Settings(), share: np.ndarray | None = None) -> Model:
+    """Backpropagation through time over windows (n, WINDOW) of symbols, with Adam; the loss is of all positions.
+
+    Batches have as many windows of each language; within it, windows are drawn by ``share`` (all alike if there is none).
+    """
     model, rng = new_model(languages, settings), np.random.default_rng(settings.seed)
     parts = model.parts()
     first, second = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
-    counts = np.bincount(labels, minlength=len(languages))
-    weight = (len(labels) / np.maximum(counts, 1) / len(languages))[labels]
+    share = np.ones(len(labels)) if share is None else share
+    weight = share / np.bincount(labels, weights=share, minlength=len(languages))[labels]
     for step in range(1, settings.steps + 1):
         chosen = rng.choice(len(windows), size=min(settings.batch, len(windows)), replace=False, p=weight / weight.sum())
         symbols, truth = np.ascontiguousarray(windows[chosen].T), labels[chosen]
-        real = (symbols != PAD).astype(np.float32)[:, None, :]
-        ahead, tape_a = _run(model.ways[0], symbols, keep=True)
-        back, tape_b = _run(model.ways[1], symbols[::-1], keep=True)
-        behind = back[::-1]
-        d = _label(model, ahead, behind)
-        d[:, truth, np.arange(len(truth))] -= 1
-        d *= real / max(1.0, float(real.sum()))
-        d_ahead, d_behind = model.out[0].T @ d, model.out[1].T @ d
-        grads = [
-            *_back(model.ways[0], symbols, tape_a, d_ahead),
-            *_back(model.ways[1], symbols[::-1], tape_b, d_behind[::-1]),
-            np.einsum("tkn,thn->kh", d, ahead, optimize=True),
-            np.einsum("tkn,thn->kh", d, behind, optimize=True),
-            d.sum(axis=(0, 2))[:, None],
-        ]
+        _, grads = gradients(model, symbols, truth)
         rate = settings.rate * min(1.0, 2.0 - 2.0 * (step - 1) / settings.steps)
         for p, g, m, v in zip(parts, grads, first, second, strict=True):
             m += 0.1 * (g - m)
@@ -205,43 +214,42 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
     return names, scores
 
 
-def _spread_windows(count: int):
-    def spread(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            windows = to_windows(text.encode("utf-8", "surrogatepass"))
-            if len(windows) > count:
-                windows = windows[np.linspace(0, len(windows) - 1, count).astype(int)]
-            out.append(windows.ravel().astype(np.int32))
-        return pd.Series(out)
-
-    return spread
+def _all_windows(texts: pd.Series) -> pd.Series:
+    return pd.Series([to_windows(t.encode("utf-8", "surrogatepass")).ravel().astype(np.int32) for t in texts])
 
 
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
-    """A model of the languages in ``lang`` of ``docs`` (``doc_id, text, lang``); null texts and languages teach nothing."""
+    """A model of the languages in ``lang`` of ``docs`` (``doc_id, text, lang``).
+
+    Null texts, texts without a letter and null languages teach nothing; other columns are ignored. Each document counts
+    alike, however long; repeated rows are learned as often as they are there. Of languages that are as frequent the first
+    by name is taken. An empty table gives a model without languages.
+    """
     known = docs.select("doc_id", "text", "lang").filter(r"text is not null and lang is not null and text rlike '\\p{L}'")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    most = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(settings.max_languages)
+    counts = {r["lang"]: r["n"] for r in most.collect()}
     if not counts:
         return new_model([], settings)
     languages = sorted(counts)
-    part = F.lit(0)
-    for language, n in counts.items():
-        part = F.when(F.col("lang") == language, min(1_000_000, 1_000_000 * settings.docs_per_language // n)).otherwise(part)
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000)) < part)
-    spread = F.pandas_udf(_spread_windows(settings.windows_per_doc), "array<int>")
-    got = chosen.select("lang", spread("text").alias("w")).toArrow().sort_by("lang")
-    rows = [np.asarray(w, dtype=np.int16).reshape(-1, WINDOW) for w in got["w"].to_pylist()]
-    windows = np.concatenate(rows) if rows else np.zeros((0, WINDOW), np.int16)
-    labels = np.repeat([languages.index(x) for x in got["lang"].to_pylist()], [len(r) for r in rows]) if rows else np.zeros(0, int)
-    order = np.lexsort((*windows.T, labels))  # whatever order the rows came in, training is the same
-    return train(windows[order], labels[order].astype(int), languages, settings) if len(windows) else new_model([], settings)
+    shares = docs.sparkSession.createDataFrame([(x, settings.docs_per_language / n) for x, n in counts.items()], "lang string, share double")
+    chosen = known.join(F.broadcast(shares), "lang").filter(drawn(F.col("share"), "langid", "doc_id"))  # at most max_languages rows
+    got = chosen.select("lang", F.pandas_udf(_all_windows, "array<int>")("text").alias("w")).toArrow().sort_by("lang")
+    column = got["w"].combine_chunks()
+    if not len(column):
+        return new_model([], settings)
+    windows, sizes = column.flatten().to_numpy().astype(np.int16).reshape(-1, WINDOW), np.diff(column.offsets.to_numpy()) // WINDOW
+    labels = np.repeat([languages.index(x) for x in got["lang"].to_pylist()], sizes).astype(int)
+    share = np.repeat(1.0 / sizes, sizes)
+    order = np.lexsort((share, *windows.T, labels))  # whatever order the rows came in, training is the same
+    return train(windows[order], labels[order], languages, settings, share[order])
 
 
 def with_language(docs: DataFrame, model: Model, text: str = "text") -> Column:
     """Column struct<lang_pred, score> for a column of texts; only the text counts.
 
-    ``und`` with score 0 for null texts and texts without a letter, and for all if no language was learned.
+    ``und`` with score 0 for null texts and texts without a letter, and for all if no language was learned. Of languages
+    that are as probable the first by name is taken. Repeated rows are judged alike, a very long text by all its positions;
+    an empty table gives no rows, and other columns do not matter.
     """
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
