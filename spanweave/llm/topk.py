@@ -7,8 +7,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block of candidates, and of a block of queries; a task holds one of each.
-ROW_BLOCK, QUERY_BLOCK = 1024, 1024
+#: Rows of a block of candidates, and of a block of queries; a task holds one of each. Each row is sent once to each block of
+#: the other side, so what is shuffled falls with the size of the blocks.
+ROW_BLOCK, QUERY_BLOCK = 4096, 8192
+#: Scores that are accumulated side by side.
+SCORES = 1 << 17
 
 
 def quantize(vector: Column, scale: int = 256) -> Column:
@@ -22,17 +25,26 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(True))
 
 
-def _postings(rows: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each term (component), the rows that have it and their weights."""
-    terms = max((len(r) for r in rows), default=0)
-    dense = np.zeros((terms, len(rows)), dtype=np.int64)
+def _dense(rows: list[np.ndarray]) -> np.ndarray:
+    """The rows' weights by term (component), 0 where a row has none."""
+    dense = np.zeros((max((len(r) for r in rows), default=0), len(rows)), dtype=np.int64)
     for i, r in enumerate(rows):
         dense[: len(r), i] = r
-    out = []
-    for term in dense:
-        at = np.flatnonzero(term)
-        out.append((at, term[at]))
-    return out
+    return dense
+
+
+def _scores(queries: np.ndarray, postings: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+    """Scores of n rows for each of the queries (term, query), one term at a time: its weighted posting is scattered into the dense scores."""
+    scores = np.zeros((queries.shape[1], n), dtype=np.int64)
+    for given, (at, w) in zip(queries, postings, strict=False):
+        asked = np.flatnonzero(given)
+        if not len(asked) or not len(at):
+            continue
+        if len(asked) == len(given) and len(at) == n:
+            scores += given[:, None] * w
+        else:
+            scores[np.ix_(asked, at)] += given[asked, None] * w
+    return scores
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -49,17 +61,15 @@ def _search(k: int):
     def search(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(rows):
             return pd.DataFrame({c: pd.Series(dtype="int64") for c in schema})
-        ids, postings = rows["id"].to_numpy(dtype=np.int64), _postings(list(rows["weights"]))
-        found = []
-        for query_id, weights in zip(queries["id"], queries["weights"], strict=True):
-            scores = np.zeros(len(ids), dtype=np.int64)
-            for term in np.flatnonzero(weights):
-                if term < len(postings):
-                    at, w = postings[term]
-                    scores[at] += weights[term] * w
-            others = np.flatnonzero(ids != query_id)
-            best = others[_best(scores[others], ids[others], k)]
-            found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[best], "score": scores[best]}))
+        ids, weights = rows["id"].to_numpy(dtype=np.int64), _dense(list(rows["weights"]))
+        postings = [(at, term[at]) for term in weights for at in [np.flatnonzero(term)]]
+        asked, wanted = queries["id"].to_numpy(dtype=np.int64), _dense(list(queries["weights"]))
+        found, step = [], max(1, SCORES // len(ids))
+        for first in range(0, len(asked), step):
+            for query_id, scores in zip(asked[first : first + step], _scores(wanted[:, first : first + step], postings, len(ids)), strict=True):
+                others = np.flatnonzero(ids != query_id)
+                best = others[_best(scores[others], ids[others], k)]
+                found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[best], "score": scores[best]}))
         return pd.concat(found, ignore_index=True).astype("int64")
 
     return search
@@ -75,10 +85,11 @@ def exact_top_k(rows: DataFrame, queries: DataFrame, k: int = 5, row_block: int
     Returns ``query_id, rank (from 1), vec_id, score``. Ties go to the smaller id. A query is not matched
     with rows of its own id. Rows with a null id or null weights take no part, an empty array scores 0
     with everything; vectors of unequal lengths are compared on the components both have. Repeated rows
-    are ranked one by one. Empty tables give no rows.
+    are ranked one by one; a query id is one query, of several vectors the smallest. Empty tables give no rows.
+    Scores are 64-bit integers. The work is that of all pairs, by definition.
     """
     rows = rows.select("id", "weights").filter("id is not null and weights is not null")
-    queries = queries.select("id", "weights").filter("id is not null and weights is not null")
+    queries = queries.select("id", "weights").filter("id is not null and weights is not null").groupBy("id").agg(F.min("weights").alias("weights"))
 
     def blocks(df: DataFrame, n: int) -> int:
         return max(1, -(-df.count() // n))
