@@ -13,13 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import cut_lineage, shuffle_partitions, table
+from spanweave.llm.common import cut_lineage, lookup, shuffle_partitions, table
 from spanweave.llm.graph import components
 
 MAX_EDITS = 2
-#: Lines of fewer characters are never removed; nor, unless they are exact copies, those of fewer than MIN_NEAR.
+#: By default, lines of fewer characters are never removed; nor, unless they are exact copies, those of fewer than MIN_NEAR.
 MIN_EXACT, MIN_NEAR = 10, 40
-#: Lengths are rounded down to this for the places of segments.
+#: Lengths are rounded down to this for the places of segments. Shorter lines have none, so this is the least for near copies.
 LENGTH_CLASS = 16
 #: A set of at most so many line hashes (8 bytes each) is broadcast; with a larger one the lines are shuffled.
 BROADCAST_HASHES = 1_000_000
@@ -135,12 +135,14 @@ def _lines(docs: DataFrame) -> DataFrame:
     return split.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("line")).withColumn("n", F.length("line"))
 
 
-def near_lines(lines: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` (a < b) of hashes of different lines within ``MAX_EDITS`` edits, both of ``MIN_NEAR`` characters or more.
+def near_lines(lines: DataFrame, min_near: int = MIN_NEAR) -> DataFrame:
+    """Pairs ``a, b`` (a < b) of hashes of different lines within ``MAX_EDITS`` edits, both of ``min_near`` characters or more.
 
     Few lines share a piece with another line; letters are counted, and texts are fetched, for those only.
     """
-    long = lines.select("h", "line", "n").filter(F.col("n") >= MIN_NEAR)
+    if min_near < LENGTH_CLASS + MAX_EDITS:
+        raise ValueError(f"lines of fewer than {LENGTH_CLASS + MAX_EDITS} characters have no segments to meet by")
+    long = lines.select("h", "line", "n").filter(F.col("n") >= min_near)
     base, lower = F.col("n") - F.col("n") % LENGTH_CLASS, F.col("n") - MAX_EDITS - (F.col("n") - MAX_EDITS) % LENGTH_CLASS
     here = segments(F.col("line"), F.col("n"), base, (0, -1, 1))
     below = F.when(lower != base, F.array(*segments(F.col("line"), F.col("n"), lower, (0, -1, 1)))).otherwise(F.array().cast("array<bigint>"))
@@ -168,58 +170,66 @@ def near_lines(lines: DataFrame) -> DataFrame:
     return cut_lineage(both.select("a", "b", within_edits(F.col("la"), F.col("lb")).alias("near"))).filter("near").select("a", "b")
 
 
-def line_classes(docs: DataFrame) -> DataFrame:
+def line_classes(docs: DataFrame, min_exact: int = MIN_EXACT, min_near: int = MIN_NEAR) -> DataFrame:
     """One row for each line with a word: its class, whether it stays, and how many other lines its text links to.
 
-    Columns ``doc_id, version, line_no, h, n_links, near, kept``. Equal lines of ``MIN_EXACT`` characters or more
+    Columns ``doc_id, version, line_no, h, n_links, near, kept``. Equal lines of ``min_exact`` characters or more
     and lines that link, over any number of links, are one class; its first line by doc_id (null last) and line
     number stays, the others go (``near``: the one that stays is another text). Rows with the same doc_id
     and text are one document. ``version`` is a hash of the text. Lines count as equal if their 64-bit hashes are.
     """
     lines = _lines(docs)
     found = cut_lineage(lines.select("doc_id", "version", "line_no", "h", "n"))
-    pairs = near_lines(lines)
+    pairs = near_lines(lines, min_near)
     degree = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).groupBy("h").agg(F.count("*").alias("n_links"))
     near = components(pairs).join(degree, F.col("node") == F.col("h")).select(F.col("node").alias("x"), "root", "n_links")
 
     # A place in the order of lines as one number, so that its minimum is combined before the shuffle.
     whole = "decimal(38,0)"
     order = F.coalesce("doc_id", F.lit((1 << 63) - 1)).cast(whole) * F.lit(1 << 31).cast(whole) + F.col("line_no")
-    long = found.filter(F.col("n") >= MIN_EXACT).withColumn("at", order.cast(whole))
-    firsts = long.groupBy("h").agg(F.min("at").alias("at")).join(near, F.col("h") == F.col("x"), "left")
+    long = found.filter(F.col("n") >= min_exact).withColumn("own", order.cast(whole))
+    firsts = long.groupBy("h").agg(F.min("own").alias("at")).join(near, F.col("h") == F.col("x"), "left")
     firsts = cut_lineage(firsts.select("h", "at", "root", F.coalesce("n_links", F.lit(0)).alias("n_links")))
     chained = firsts.filter("root is not null")
-    best = chained.groupBy("root").agg(F.min("at").alias("best")).withColumnRenamed("root", "r")
-    chained = chained.join(best, F.col("root") == F.col("r")).select("h", "at", "best", "n_links")
+    best = cut_lineage(chained.groupBy("root").agg(F.min("at").alias("best")))
+    chained = lookup(chained, best, "root", "inner").select("h", "at", "best", "n_links")
     plain = firsts.filter("root is null").select("h", "at", F.col("at").alias("best"), "n_links")
-    classes = plain.union(chained)
-    joined = long.select("doc_id", "version", "line_no", F.col("h").alias("g"), F.col("at").alias("own")).join(classes, F.col("g") == F.col("h"))
+    joined = lookup(long.select("doc_id", "version", "line_no", "h", "own"), plain.union(chained), "h", "inner")  # a line may be very common
     kept = F.col("own") == F.col("best")
-    rest = found.filter(F.col("n") < MIN_EXACT).select("doc_id", "version", "line_no", "h", F.lit(0).cast("long").alias("n_links"), F.lit(False).alias("near"), F.lit(True).alias("kept"))
+    rest = found.filter(F.col("n") < min_exact).select("doc_id", "version", "line_no", "h", F.lit(0).cast("long").alias("n_links"), F.lit(False).alias("near"), F.lit(True).alias("kept"))
     return joined.select("doc_id", "version", "line_no", "h", "n_links", (~kept & (F.col("at") != F.col("best"))).alias("near"), kept.alias("kept")).union(rest)
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_rows(docs: DataFrame, min_exact: int = MIN_EXACT, min_near: int = MIN_NEAR) -> DataFrame:
+    """``row`` (a struct of all columns of a document), ``text`` (without the lines that go) and ``counts`` (as ``line_dedup`` of ``dedup_lines``)."""
+    marks = F.struct("line_no", "kept", "near", "n_links")
+    flags = line_classes(docs, min_exact, min_near).groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(marks)).alias("m"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own"), "text", F.xxhash64("text").alias("w"))
+    both = rows.join(flags, F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("w") == F.col("version")), "left")
+    both = both.select("row", "text", F.coalesce("m", F.array().cast("array<struct<line_no:int,kept:boolean,near:boolean,n_links:bigint>>")).alias("m"))
+    both = both.withColumn("gone", F.transform(F.filter("m", lambda m: ~m["kept"]), lambda m: m["line_no"]))
+    lines = F.split("text", "\n")
+    cut = F.array_join(F.transform(F.array_except(F.transform(lines, lambda x, i: i), F.col("gone")), lambda i: F.get(lines, i)), "\n")
+    text = F.when(F.size("gone") > 0, cut).otherwise(F.col("text"))
+    near = F.size(F.filter("m", lambda m: m["near"]))
+    links = F.aggregate("m", F.lit(0).cast("long"), lambda a, m: a + m["n_links"])
+    counts = F.struct(F.size("m").cast("long").alias("n_lines"), (F.size("gone") - near).cast("long").alias("n_exact"), near.cast("long").alias("n_near"), links.alias("n_links"))
+    return both.select("row", text.alias("text"), counts.alias("counts"))
+
+
+def dedup_lines(docs: DataFrame, min_exact: int = MIN_EXACT, min_near: int = MIN_NEAR) -> DataFrame:
     """The documents without lines that repeat or nearly repeat an earlier line of any document.
 
+    Lines of ``min_exact`` characters or more go if they are equal to an earlier one, those of ``min_near`` (at least
+    ``LENGTH_CLASS + MAX_EDITS``) or more also if they are within ``MAX_EDITS`` edits of one.
+
     Uses ``doc_id, text``; all columns of ``docs`` come back, with the new ``text``, and a struct column
-    ``line_dedup`` (n_lines, n_exact, n_near, n_links). Lines without a word stay where they are. Null and empty texts
-    come back as they are, with counts of 0. Repeated rows all come back, alike. An empty table gives no rows.
+    ``line_dedup`` (n_lines, n_exact, n_near, n_links), which takes the place of a column of that name. Lines without a word
+    stay where they are. Null and empty texts come back as they are, with counts of 0; very long texts are worked on whole.
+    Repeated rows all come back, alike. An empty table gives no rows.
     """
-    marks = F.struct("line_no", "kept", "near", "n_links")
-    flags = line_classes(docs).groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(marks)).alias("m"))
-    flags = flags.withColumnsRenamed({"doc_id": "__id", "version": "__v", "m": "__m"})
-    both = docs.withColumn("__w", F.xxhash64("text")).join(flags, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__w") == F.col("__v")), "left")
-    marks = F.coalesce("__m", F.array().cast("array<struct<line_no:int,kept:boolean,near:boolean,n_links:bigint>>"))
-    gone = F.transform(F.filter(marks, lambda m: ~m["kept"]), lambda m: m["line_no"])
-    both = both.withColumn("__m", marks).withColumn("__gone", gone)
-    lines = F.split("text", "\n")
-    cut = F.array_join(F.transform(F.array_except(F.transform(lines, lambda x, i: i), F.col("__gone")), lambda i: F.get(lines, i)), "\n")
-    text = F.when(F.size("__gone") > 0, cut).otherwise(F.col("text"))
-    near = F.size(F.filter("__m", lambda m: m["near"]))
-    links = F.aggregate("__m", F.lit(0).cast("long"), lambda a, m: a + m["n_links"])
-    counts = F.struct(F.size("__m").cast("long").alias("n_lines"), (F.size("__gone") - near).cast("long").alias("n_exact"), near.cast("long").alias("n_near"), links.alias("n_links"))
-    return both.select(*[docs[c] for c in docs.columns if c != "text"], text.alias("text"), counts.alias("line_dedup"))
+    others = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("text", "line_dedup")]
+    return dedup_rows(docs, min_exact, min_near).select(*others, "text", F.col("counts").alias("line_dedup"))
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
