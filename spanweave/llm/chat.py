@@ -16,7 +16,7 @@ TURN_ORDER = {START: ["system", "user"], "system": ["user"], "user": ["assistant
 
 @dataclass(frozen=True)
 class Template:
-    """How a turn is written. Control strings all begin with ``<|``; inside roles and texts that is escaped."""
+    """How a turn is written. Control strings begin with ``<|``, which is escaped inside roles and texts; a role ends with a newline. Others are errors."""
 
     before_role: str = "<|im_start|>"
     after_role: str = "\n"
@@ -25,6 +25,12 @@ class Template:
     loss_roles: tuple[str, ...] = ("assistant",)
     order: dict[str, list[str]] = field(default_factory=lambda: TURN_ORDER)
 
+    def __post_init__(self) -> None:
+        if not (self.before_role.startswith("<|") and self.after_text.startswith("<|") and self.newline_in_role.startswith("<|")):
+            raise ValueError("what begins a turn, ends a text or stands for a newline must begin with <|, which is escaped inside texts")
+        if self.after_role != "\n":
+            raise ValueError("a role ends with a newline, which is replaced inside roles")
+
 
 def escape(text: Column) -> Column:
     r"""One more backslash between ``<`` and ``|``, after which no ``<|`` is left; ``unescape`` takes it out."""
@@ -51,7 +57,7 @@ def format_chats(rows: DataFrame, template: Template = Template()) -> DataFrame:
     turns (they follow the order and end with a role under the loss).
 
     Returns ``conv_id, valid, segments array<struct<text, loss>>``; the segments of a conversation joined are
-    its formatted text. An empty table gives no rows.
+    its formatted text. Very long texts are formatted whole. An empty table gives no rows.
     """
     role = F.coalesce("role", F.lit(""))
     turn = F.struct("turn", role.alias("role"), F.coalesce("text", F.lit("")).alias("text"))
