@@ -32,10 +32,17 @@ def test_language_held_out_accuracy(spark, documents):
     assert sum(a == b for a, b in judged) >= 0.9 * len(judged)
 
 
-def test_toxicity_scores(spark, documents):
-    rows = QUERIES["op2_toxicity"](spark, SF).collect()
-    assert len(rows) == len(documents)
-    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
+def test_toxicity_held_out(spark):
+    """On held-out labelled rows of the larger table: ranks, catches and leaves alone."""
+    sf = f"{TESTDATA}/sf0.1"
+    rows = {r.doc_id: r for r in QUERIES["op2_toxicity"](spark, sf).collect()}
+    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows.values())
+    held = [(rows[r.doc_id], r.toxic) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.toxic is not None and r.doc_id in rows and rows[r.doc_id].held_out]
+    toxic, clean = [x for x, y in held if y == 1], [x for x, y in held if y == 0]
+    above = sum((a.score > b.score) + (a.score == b.score) / 2 for a in toxic for b in clean)
+    assert above >= 0.95 * len(toxic) * len(clean)
+    assert sum(x.predicted for x in toxic) >= 0.85 * len(toxic) and sum(x.predicted for x in clean) <= 0.01 * len(clean)
 
 
 def test_bpe_as_the_library(spark, documents):

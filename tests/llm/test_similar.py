@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from spanweave.llm import common as common_module
 from spanweave.llm import jaccard
 
 
@@ -42,8 +43,12 @@ def test_components_as_brute_force(spark, monkeypatch):
     texts = texts_with_copies()
     want = brute_components(texts)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    for common in (64, 0):
+    for common, few, hashes, rows in ((64, 1_000_000, 500_000, 50_000), (1, 1_000_000, 500_000, 50_000), (2, 0, 0, 0)):
         monkeypatch.setattr(jaccard, "COMMON", common)
+        monkeypatch.setattr(jaccard, "BROADCAST_COMMON", few)  # with 0, common shingles are put last by joins
+        monkeypatch.setattr(jaccard, "BROADCAST_HASHES", hashes)
+        monkeypatch.setattr(jaccard, "FAN", 3)
+        monkeypatch.setattr(common_module, "BROADCAST_ROWS", rows)
         assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == want
 
 
