@@ -25,8 +25,8 @@ COMMON_WORDS = tuple(
 
 @dataclass(frozen=True)
 class Rules:
-    """``max_distance``: above it the verdict is to drop. A document with fewer than ``min_words`` words, or a
-    language with fewer than ``min_reference`` words, is not compared."""
+    """``max_distance``: above it the verdict is to drop. A document with fewer than ``min_words`` words is not compared; a
+    language with fewer than ``min_reference`` words gives no reference, and its documents are compared with those there are."""
 
     max_distance: float = 0.25
     min_words: int = 50
@@ -109,7 +109,8 @@ def quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
     Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept``,
     one row for each row of ``docs``. Null and empty texts have counts of 0, fail the base rules and have no
-    distance. Without any reference, the base rules decide. An empty table gives no rows.
+    distance. Without any reference, the base rules decide. Repeated rows are judged alike and count as often as they are
+    there; a very long text is counted whole; at the limit itself a document is kept. An empty table gives no rows.
     """
     counted = cut_lineage(features(docs))
     refs = references(counted, rules.min_reference)
