@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,12 +21,41 @@ def call_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.sum(value).alias("sum"), F.min(value).alias("min"), F.avg(value).alias("avg"), F.stddev_pop(value).alias("std"), F.count(value).alias("n"))
 
 
+#: Ranges of values that are counted to find quantiles.
+RANGES = 4096
+
+
+def quantiles(df: DataFrame, value: str, wanted: list[float]) -> list[float | None]:
+    """Exact quantiles, linear between neighbours; None if there is no value. Nulls don't count.
+
+    Values are counted in ranges of equal width; only the ranges that hold a rank that is asked for are put in order.
+    """
+    x = df.select(F.col(value).cast("double").alias("x")).filter("x is not null")
+    lo, hi, n = x.agg(F.min("x"), F.max("x"), F.count("*")).first()
+    if not n or lo == hi:
+        return [lo for _ in wanted]
+    ranged = x.withColumn("range", F.least(F.lit(RANGES - 1), F.floor((F.col("x") - lo) / (hi - lo) * RANGES).cast("int")))
+    before, starts = 0, {}
+    for r in sorted(ranged.groupBy("range").count().collect()):
+        starts[r["range"]], before = before, before + r["count"]
+    ranks = sorted({f((n - 1) * q) for q in wanted for f in (math.floor, math.ceil)})
+    homes = {k: max(r for r, s in starts.items() if s <= k) for k in ranks}
+    some = ranged.filter(F.col("range").isin(*set(homes.values()))).groupBy("range", "x").agg(F.count("*").alias("c"))
+    upto = some.withColumn("upto", F.sum("c").over(Window.partitionBy("range").orderBy("x")))
+    asked = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(r).alias("home"), F.lit(k - starts[r]).alias("within")) for k, r in homes.items()])
+    found = upto.withColumn("a", F.explode(asked)).filter("a.home = range and a.within < upto and a.within >= upto - c")
+    at = {r["rank"]: r["x"] for r in found.select("a.rank", "x").collect()}
+    places = [(n - 1) * q for q in wanted]
+    return [at[math.floor(p)] + (p - math.floor(p)) * (at[math.ceil(p)] - at[math.floor(p)]) for p in places]
+
+
 def without_outliers(df: DataFrame, value: str) -> DataFrame:
     """Rows within one and a half interquartile ranges around the quartiles (exact, linear interpolation)."""
-    q = df.agg(F.percentile(value, 0.25).alias("__q1"), F.percentile(value, 0.75).alias("__q3"))
-    reach = 1.5 * (F.col("__q3") - F.col("__q1"))
-    inside = F.col(value).between(F.col("__q1") - reach, F.col("__q3") + reach)
-    return df.join(F.broadcast(q)).filter(inside).drop("__q1", "__q3")  # one row
+    low, high = quantiles(df, value, [0.25, 0.75])
+    if low is None:
+        return df.limit(0)
+    reach = 1.5 * (high - low)
+    return df.filter(F.col(value).between(low - reach, high + reach))
 
 
 def histogram(df: DataFrame, value: str, n_bins: int = 10) -> DataFrame:

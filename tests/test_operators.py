@@ -281,3 +281,15 @@ def test_live_sums_and_progress(spark, tmp_path):
     assert sorted((r.key, r.duration_us, r.n) for r in sums) == [("a", 1, 1), ("a", 6, 2), ("b", 7, 1)]
     last = run_stream(spark, live.live_last_progress(stream, ["key"], "start_us", "end_us"), "live_last", tmp_path / "c2", "complete").collect()
     assert sorted((r.key, r.end_us) for r in last) == [("a", 9 * hour + 1), ("b", 2 * hour + 7)]
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 4096])
+def test_quantiles_as_numpy(spark, monkeypatch, ranges):
+    import numpy as np
+
+    monkeypatch.setattr(stats, "RANGES", ranges)
+    rng = random.Random(13)
+    for values in ([5.0], [2.0, 2.0], [rng.choice([rng.random(), 3, 1e6]) for _ in range(101)], [float(rng.randrange(4)) for _ in range(50)]):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        assert stats.quantiles(df, "v", [0, 0.25, 0.5, 0.9, 1]) == pytest.approx(np.quantile(values, [0, 0.25, 0.5, 0.9, 1]).tolist())
+    assert stats.quantiles(df.limit(0), "v", [0.5]) == [None]
