@@ -2,8 +2,9 @@
 
 Shingles have one order for all texts: that of their hashes, with shingles that many texts have put last. Of two sets
 with a similarity of at least 0.8, one shingle is among the first ``size // 5 + 1`` of either, so those are the keys
-under which texts meet. How many keys two texts share bounds what they can have in common; few pairs are left after that,
-and the whole texts of those are compared. Sets are made from the texts each time they are needed: written out, they
+under which texts meet. In a large group of copies with many changes each, those are the changes, and what all have in
+common is a key only of texts with few changes. How many keys two texts share bounds what they can have in common; few
+pairs are left after that, and the whole texts of those are compared. Sets are made from the texts each time they are needed: written out, they
 would take more room than the texts.
 """
 
@@ -95,23 +96,34 @@ def _summaries(texts: pd.Series) -> pd.Series:
     return pd.Series([_node(s) for part in _in_chunks(texts) for s in shingle_sets(part)], dtype="int64")
 
 
-def _first(s: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int, bool]:
-    """The prefix of a set, those of ``common`` last; how many of it these are; and whether it is another one than without them."""
-    p = len(s) // 5 + 1
-    if not len(common) or not len(s):
-        return s[:p], 0, False
-    last = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
-    rest = s[~last]
-    return np.concatenate([rest, s[last]])[:p], max(0, min(p, len(s)) - len(rest)), bool(last[:p].any())
+def _common(s: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which members are in ``common`` (sorted)."""
+    return common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
 
 
-PREFIXED = "struct<node:long,n:int,first:array<long>,n_common:int,moved:boolean>"
+def _first(s: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
+    """The prefix of a set, those of ``common`` last, and how many of it these are."""
+    last = _common(s, common)
+    first = np.concatenate([s[~last], s[last]])[: len(s) // 5 + 1]
+    return first, max(0, len(first) - int((~last).sum()))
+
+
+PREFIXED = "struct<node:long,n:int,first:array<long>,n_common:int>"
 
 
 def _prefixes(common: np.ndarray) -> Callable[[pd.Series], pd.DataFrame]:
     def made(texts: pd.Series) -> pd.DataFrame:
         rows = [(_node(s), len(s), *_first(s, common)) for part in _in_chunks(texts) for s in shingle_sets(part)]
-        return pd.DataFrame(rows, columns=["node", "n", "first", "n_common", "moved"])
+        return pd.DataFrame(rows, columns=["node", "n", "first", "n_common"])
+
+    return made
+
+
+def _all_if_common(common: np.ndarray) -> Callable[[pd.Series], pd.Series]:
+    """All members of the sets that have one of ``common`` in their prefixes by hash."""
+
+    def made(texts: pd.Series) -> pd.Series:
+        return pd.Series([s if _common(s[: len(s) // 5 + 1], common).any() else s[:0] for part in _in_chunks(texts) for s in shingle_sets(part)], dtype=object)
 
     return made
 
@@ -133,55 +145,66 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``node, version, n, first, n_common`` of each set that has members, once; and keys (``key, many``) of many sets."""
-    first = docs.select(F.explode(F.pandas_udf(_prefixes(np.zeros(0, np.int64)), PREFIXED)("text")["first"]).alias("key"))
+    """``node, version, n, first, n_common`` of each set that has members, once; and the common shingles (``key``)."""
+    nothing = np.zeros(0, np.int64)
+    first = docs.select(F.explode(F.pandas_udf(_prefixes(nothing), PREFIXED)("text")["first"]).alias("key"))
     common = cut_lineage(first.groupBy("key").count().filter(F.col("count") > COMMON).select("key"))
-    few = common.count() <= BROADCAST_COMMON
-    known = np.sort(common.toArrow()["key"].to_numpy()) if few else np.zeros(0, np.int64)
-    made = docs.select(F.xxhash64("text").alias("version"), F.pandas_udf(_prefixes(known), PREFIXED)("text").alias("s"))
-    once = made.groupBy("s.node").agg(F.first(F.struct("version", "s.n", "s.first", "s.n_common", "s.moved")).alias("x"))
+    known = _known(common)
+    if known is not None:
+        # What else the texts with such a shingle have in common with many of them, and not in their prefixes only.
+        every = docs.select(F.explode(F.pandas_udf(_all_if_common(known), "array<long>")("text")).alias("key"))
+        common = cut_lineage(every.groupBy("key").count().filter(F.col("count") > COMMON).select("key"))
+        known = _known(common)
+    made = docs.select(F.xxhash64("text").alias("version"), F.pandas_udf(_prefixes(nothing if known is None else known), PREFIXED)("text").alias("s"))
+    once = made.groupBy("s.node").agg(F.first(F.struct("version", "s.n", "s.first", "s.n_common")).alias("x"))
     nodes = cut_lineage(once.filter("x.n > 0").select("node", "x.*"))  # filtered here, as a filter before would make all sets twice
-    nodes = nodes if few else _reordered(docs, nodes, common)
-    # Keys that took the place of common ones were not counted.
-    again = nodes.filter("moved").select(F.explode("first").alias("key")).groupBy("key").count().filter(F.col("count") > COMMON).select("key")
-    return nodes, cut_lineage(common.union(again).distinct().withColumn("many", F.lit(True)))
+    return (nodes, common) if known is not None else _reordered(docs, nodes, common)
+
+
+def _known(common: DataFrame) -> np.ndarray | None:
+    """The common shingles, sorted, if they are few enough for every worker to hold them."""
+    return np.sort(common.toArrow()["key"].to_numpy()) if common.count() <= BROADCAST_COMMON else None
 
 
-def _reordered(docs: DataFrame, nodes: DataFrame, common: DataFrame) -> DataFrame:
-    """The nodes with the common shingles put last where these are too many for a worker: by joins."""
+def _reordered(docs: DataFrame, nodes: DataFrame, common: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same where the common shingles are too many for a worker: by joins."""
     moved = cut_lineage(nodes.select("node", "n", "version", F.explode("first").alias("key")).join(common, "key", "left_semi").select("node", "n", "version").distinct())
-    every = _texts(docs, moved.select("node", "version")).select("node", F.explode(shingles(F.col("text"))).alias("key"))
-    every = every.join(common.withColumn("last", F.lit(True)), "key", "left").withColumn("last", F.coalesce("last", F.lit(False)))
-    order = every.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("last", "key"))).alias("s")).join(moved, "node")
+    every = cut_lineage(_texts(docs, moved.select("node", "version")).select("node", F.explode(shingles(F.col("text"))).alias("key")))
+    common = cut_lineage(every.groupBy("key").count().filter(F.col("count") > COMMON).select("key"))
+    marked = every.join(common.withColumn("last", F.lit(True)), "key", "left").withColumn("last", F.coalesce("last", F.lit(False)))
+    order = marked.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("last", "key"))).alias("s")).join(moved, "node")
     first = F.slice("s", 1, prefix(F.col("n")))
-    after = order.select("node", "version", "n", F.transform(first, lambda x: x["key"]).alias("first"), F.size(F.filter(first, lambda x: x["last"])).alias("n_common"), F.lit(True).alias("moved"))
-    return cut_lineage(nodes.join(moved.select("node"), "node", "left_anti").unionByName(after))
+    after = order.select("node", "version", "n", F.transform(first, lambda x: x["key"]).alias("first"), F.size(F.filter(first, lambda x: x["last"])).alias("n_common"))
+    return cut_lineage(nodes.join(moved.select("node"), "node", "left_anti").unionByName(after)), common
 
 
-def _shared(nodes: DataFrame, many: DataFrame) -> DataFrame:
-    """``key, node, centre`` for every key of two sets or more; the centre is the smallest of them.
+def _shared(nodes: DataFrame, common: DataFrame) -> DataFrame:
+    """``key, node, centre, many`` for every key of two sets or more.
 
-    The others' keys are dealt out once; those of many sets are put together before they are shuffled.
+    Common keys (``many``) are put together before they are shuffled, and their centre is the set with the fewest other
+    shingles; of the others, which few sets have, it is the smallest node, and they are dealt out once.
     """
-    keys = nodes.select("node", F.explode("first").alias("key"))
-    known = many.count() <= BROADCAST_COMMON
-    marked = keys.join(F.broadcast(many), "key", "left") if known else lookup(keys, many, "key")
+    keys = nodes.select("node", (F.size("first") - F.col("n_common")).alias("rare"), F.explode("first").alias("key"))
+    marks = common.withColumn("many", F.lit(True))
+    marked = keys.join(F.broadcast(marks), "key", "left") if common.count() <= BROADCAST_COMMON else lookup(keys, marks, "key")
     by_key = Window.partitionBy("key")
-    rare = marked.filter("many is null").select("key", "node", F.min("node").over(by_key).alias("centre"), F.max("node").over(by_key).alias("most"))
-    hot = marked.filter("many").select("key", "node")
-    ends = cut_lineage(hot.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("most")))
-    return cut_lineage(rare.union(lookup(hot, ends, "key", "inner").select("key", "node", "centre", "most")).filter("centre < most").select("key", "node", "centre"))
+    few = marked.filter("many is null").select("key", "node", F.min("node").over(by_key).alias("centre"), F.max("node").over(by_key).alias("most"), F.lit(False).alias("many"))
+    hot = marked.filter("many").select("key", "node", "rare")
+    ends = hot.groupBy("key").agg(F.min(F.struct("rare", "node")).alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
+    ends = cut_lineage(ends.select("key", F.col("c.node").alias("centre")))
+    return cut_lineage(few.filter("centre < most").drop("most").union(lookup(hot, ends, "key", "inner").select("key", "node", "centre", F.lit(True).alias("many"))))
 
 
 def _can_be_alike(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``a, b`` of the pairs (``a, b, s``: keys in common) that can have a similarity of 4/5.
+    """``a, b`` of the pairs (``a, b, s``: keys in common that are not common ones) that can have a similarity of 4/5.
 
     The prefix that ends first holds all members up to its end, so of that set no more than the keys in common and what
     comes after its prefix can be in the other.
     """
     for side in "ab":
-        pairs = pairs.join(sizes.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "keys", "end")]), side)
-    most = F.when(F.col("a_end") <= F.col("b_end"), F.col("a_n") - F.col("a_keys")).otherwise(F.col("b_n") - F.col("b_keys")) + F.col("s")
+        pairs = pairs.join(sizes.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "keys", "n_common", "end")]), side)
+    shared = F.col("s") + F.least("a_n_common", "b_n_common")
+    most = shared + F.when(F.col("a_end") <= F.col("b_end"), F.col("a_n") - F.col("a_keys")).otherwise(F.col("b_n") - F.col("b_keys"))
     return pairs.filter(alike(F.least(most, "a_n", "b_n"), F.col("a_n"), F.col("b_n"))).select("a", "b")
 
 
@@ -214,21 +237,25 @@ def linked(docs: DataFrame) -> DataFrame:
     First each set is compared with that centre with which it shares most keys, which joins large groups of copies without
     all their pairs; then all that share a key and aren't joined yet.
     """
-    nodes, many = _nodes(docs)
+    nodes, common = _nodes(docs)
     end = F.struct((F.col("n_common") > 0).alias("common"), F.element_at("first", -1).alias("key"))
-    sizes = cut_lineage(nodes.select("node", "n", F.size("first").alias("keys"), end.alias("end")))
-    shared = _shared(nodes, many)
-    nearest = shared.filter("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("s")).groupBy("node").agg(F.max(F.struct("s", "centre")).alias("x"))
+    sizes = cut_lineage(nodes.select("node", "n", F.size("first").alias("keys"), "n_common", end.alias("end")))
+    shared = _shared(nodes, common)
+    rare = F.count_if(~F.col("many")).alias("s")
+    nearest = shared.filter("node <> centre").groupBy("node", "centre").agg(rare, F.count("*").alias("n_keys")).groupBy("node").agg(F.max(F.struct("n_keys", "centre", "s")).alias("x"))
     edges = _verified(_can_be_alike(nearest.select(F.col("x.centre").alias("a"), F.col("node").alias("b"), "x.s"), sizes), docs, nodes)
     roots = components(edges)
-    known = sizes.select("node", "n").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("r"))
-    rooted = shared.select("key", "node").join(known, "node")
+    # Of a set with common shingles among its keys all others are keys, too: with a set with which it shares none of those, it has no more than the rest in common.
+    rest = F.col("n") - F.when(F.col("n_common") > 0, F.col("keys") - F.col("n_common")).otherwise(0)
+    known = sizes.select("node", "n", rest.alias("rest")).join(roots, "node", "left").select("node", "n", "rest", F.coalesce("root", "node").alias("r"))
+    rooted = shared.select("key", "node", "many").join(known, "node")
     several = rooted.groupBy("key").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).filter("lo < hi").select("key")
     rooted = cut_lineage(rooted.join(several, "key", "left_semi"))
-    left, right = rooted.select("key", F.col("node").alias("a"), F.col("r").alias("ra"), F.col("n").alias("na")), rooted.select(F.col("key").alias("k"), F.col("node").alias("b"), F.col("r").alias("rb"), F.col("n").alias("nb"))
-    rest = left.join(right, (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & alike(F.least("na", "nb"), F.col("na"), F.col("nb")))
-    rest = cut_lineage(rest.groupBy("a", "b").agg(F.count("*").alias("s")))
-    return components(edges.union(_verified(_can_be_alike(rest, sizes), docs, nodes)))
+    left, right = (rooted.select(F.col("key").alias(f"k{x}"), F.col("many").alias(f"many{x}"), F.col("node").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("r", "n", "rest")]) for x in "ab")
+    on = (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
+    most = F.when(F.col("manya"), F.least("resta", "restb")).otherwise(F.least("na", "nb"))
+    met = left.join(right, on & alike(most, F.col("na"), F.col("nb"))).groupBy("a", "b").agg(F.count_if(~F.col("manya")).alias("s"))
+    return components(edges.union(_verified(_can_be_alike(cut_lineage(met), sizes), docs, nodes)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
