@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanweave.llm import bpe, chat, langid, linededup, mixing, quality, simhash, topk, toxicity, urlfilter
+from spanweave.llm import annulus, audit, bpe, chat, langid, linededup, mixing, quality, simhash, tokenfiles, topk, toxicity, urlfilter
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_url_filter": urlfilter.op8_url_filter,
     "op9_simhash_golay": simhash.op9_simhash_golay,
     "op10_chat_format": chat.op10_chat_format,
+    "op11_token_files": tokenfiles.op11_token_files,
+    "op12_annulus_clusters": annulus.op12_annulus_clusters,
+    "op13_filter_audit": audit.op13_filter_audit,
 }
 
 ORACLES = {
@@ -23,4 +26,6 @@ ORACLES = {
     "op6_mixing": mixing.OP6_SQL,
     "op7_quality_rules": quality.OP7_SQL,
     "op10_chat_format": chat.OP10_SQL,
+    "op12_annulus_clusters": annulus.OP12_SQL,
+    "op13_filter_audit": audit.OP13_SQL,
 }
