@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
@@ -25,8 +26,8 @@ from spanweave.llm.common import cut_lineage, shared_folder, shuffle_partitions,
 DOCS_PER_FILE = 100_000
 #: Characters that are encoded, and bytes that are read or given out, at a time.
 CHUNK = 1 << 22
-#: Bytes of words and ids that a worker remembers.
-REMEMBERED = 64 << 20
+#: Bytes of words and ids that a worker remembers, about.
+REMEMBERED = 160 << 20
 
 # Fixed values of the public seekable format of zstandard, and of skippable frames.
 TABLE_MAGIC = 0x184D2A5E
@@ -141,25 +142,42 @@ class Encoder:
         self.tokenizer, self.dtype, self.by_words = Tokenizer.from_str(data), np.dtype(dtype), by_words
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        #: Words that were asked for lately, and before; a word that is asked for again is kept.
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.size = 0
 
     def _asked(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        kind = {2: "H", 4: "I"}[self.dtype.itemsize]
+        found = (e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False))
+        return [struct.pack(f"<{len(ids)}{kind}", *ids) for ids in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
             return self._asked(texts)
         split = [t.encode().split() for t in texts]
-        if self.size > REMEMBERED:
-            self.known, self.size = {}, 0
-        new = list({w for words in split for w in words if w not in self.known})
-        found = self._asked([w.decode() for w in new])
-        self.known.update(zip(new, found, strict=True))
-        self.size += sum(map(len, new)) + sum(map(len, found)) + 150 * len(new)  # objects and their place in the table
+        if self.size > REMEMBERED // 2:
+            self.known, self.before, self.size = {}, self.known, 0
+        new = list(set().union(*split).difference(self.known))
+        unknown = [w for w in new if w not in self.before]
+        self.known.update((w, self.before[w]) for w in new if w in self.before)
+        self.known.update(zip(unknown, self._asked([w.decode() for w in unknown]), strict=True))
+        self.size += sum(len(w) + len(self.known[w]) for w in new) + 150 * len(new)  # objects and their place in the table
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
+#: The encoder that a worker process has, by what it was made of.
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def _encoder(data: str, dtype: str, by_words: bool) -> Encoder:
+    key = (hashlib.sha256(data.encode()).digest(), dtype, by_words)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(data, dtype, by_words)
+    return _ENCODERS[key]
+
+
 def _place(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     """The file system of a folder that the cluster shares, local or remote, and the path in it."""
     return pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", uri))
@@ -211,7 +229,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         path = f"{base}/part-{part:06d}-{uuid.uuid4().hex}.ids.zst"
         for ids, texts in _chunks(batches):
             if writer is None:
-                encoder = Encoder(shared.value, dtype, by_words)
+                encoder = _encoder(shared.value, dtype, by_words)
                 writer, first = Writer(system.open_output_stream(path, compression=None), dtype), ids[0]
             for doc_id, tokens in zip(ids, encoder.encode(texts), strict=True):
                 writer.add(doc_id, tokens + end)
