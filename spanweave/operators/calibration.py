@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanweave.operators.grid import ROWS, bucket_of, numbered, placed
+from spanweave.operators.grid import grid, numbered
 from spanweave.plans.lineage import cut_lineage
 
 
@@ -74,9 +74,9 @@ def split_by_call(calls: DataFrame, by: list[str], turns: int, discard_first: bo
     ``turns`` is how often the code that calls it ran. If a function's calls (by start) can be divided by that, the i-th call
     of every turn is one kind; else all are one. ``discard_first`` leaves out the first call of each kind.
     """
-    spans = placed(cut_lineage(calls.select(*by, "event_id", "start_us", "end_us")), by, "start_us", "start_us", ROWS)
+    spans = cut_lineage(calls.select(*by, "event_id", "start_us", "end_us"))
     order = [F.col("start_us"), F.col("end_us"), F.col("event_id")]
-    rows = numbered(spans.withColumn("bucket", bucket_of("start_us")), by, order, "i")
+    rows = numbered(grid(spans, by, "start_us").place(spans, bucket="start_us"), by, order, "i")
     counts = calls.groupBy(*by).agg(F.count("*").alias("total"))
     kinds = F.when(F.col("total") % turns == 0, F.floor(F.col("total") / turns)).otherwise(F.lit(1))
     rows = rows.join(counts, by).withColumn("kinds", kinds.cast("long")).withColumn("call", (F.col("i") - 1) % F.col("kinds"))

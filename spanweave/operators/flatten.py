@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanweave.operators.grid import PAIR_ROWS, ROWS, bucket_of, grid, placed
-from spanweave.plans.lineage import cut_lineage, lookup
+from spanweave.operators.grid import PAIR_ROWS, ROWS, Grid, grid
+from spanweave.plans.lineage import cut_lineage
 from spanweave.sources.adapters import KEYS, OPERATION
 
 #: Operations named like this belong to the profiler's own bookkeeping.
@@ -79,7 +79,7 @@ def _owners(part: pd.DataFrame) -> pd.DataFrame:
     part = part.sort_values("start_us", kind="stable")
     first = part.iloc[0]
     starts, ends = part["start_us"].to_numpy(), part["end_us"].to_numpy()
-    edges = np.unique(np.concatenate([starts[starts >= first["lo"]], ends[ends < first["hi"]]])).tolist()
+    edges = np.unique(np.concatenate([starts[part["starts_here"].to_numpy()], ends[part["ends_here"].to_numpy()]])).tolist()
     waiting = list(zip(ends.tolist(), (-starts).tolist(), part["event_name"], part["event_id"].tolist(), strict=True))
     heap = [] if pd.isna(first["c_end"]) else [(int(first["c_end"]), int(first["c_start"]), first["c_name"], int(first["c_id"]))]
     found = pd.DataFrame(walk(waiting, edges, heap, first["ahead"]), columns=["event_id", "event_name", "start_us", "end_us"])
@@ -102,7 +102,7 @@ def flatten_ops(ops: DataFrame, by: list[str] | None = None, bucket: int | None
     # Names of its own for the group, so that any column can be one of its keys.
     keys = [f"k{i}" for i in range(len(by))]
     once = cut_lineage(once.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], "event_id", "event_name", "start_us", "end_us"))
-    spans = placed(once, keys, "start_us", "end_us", ROWS, bucket).withColumns({"b1": bucket_of("start_us"), "b2": bucket_of("end_us")})
+    spans = grid(once, keys, "start_us", ROWS, bucket).place(once, b1="start_us", b2="end_us")
     parts = spans.withColumn("bucket", F.explode(F.array_distinct(F.array("b1", "b2"))))
     edge = F.when(F.col("b1") == F.col("bucket"), F.col("start_us")).otherwise(F.col("end_us"))
     buckets = parts.groupBy(*keys, "bucket").agg(F.min(edge).alias("first")).withColumn("ahead", F.lead("first").over(Window.partitionBy(*keys).orderBy("bucket")))
@@ -110,8 +110,8 @@ def flatten_ops(ops: DataFrame, by: list[str] | None = None, bucket: int | None
     cover = blocks.join(_covering(spans, keys), [*keys, "level", "node"]).groupBy(*keys, "bucket").agg(F.min("best").alias("c"))
     named = [F.col("c.end_us").alias("c_end"), F.col("c.minus_start").alias("c_start"), F.col("c.event_name").alias("c_name"), F.col("c.event_id").alias("c_id")]
     told = cut_lineage(buckets.join(cover, [*keys, "bucket"], "left").select(*keys, "bucket", "ahead", *named))
-    lo = F.col("t0") + F.col("bucket") * F.col("width")
-    given = parts.select(*keys, "bucket", "event_id", "event_name", "start_us", "end_us", lo.alias("lo"), (lo + F.col("width")).alias("hi")).join(told, [*keys, "bucket"])
+    here = [(F.col(b) == F.col("bucket")).alias(name) for b, name in (("b1", "starts_here"), ("b2", "ends_here"))]
+    given = parts.select(*keys, "bucket", "event_id", "event_name", "start_us", "end_us", *here).join(told, [*keys, "bucket"])
     kinds = dict(once.dtypes)
 
     def fold(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -138,23 +138,16 @@ def timeline(events: DataFrame, by: list[str] | None = None, bucket: int | None
     return ops.unionByName(rest.select(*by, "category", "event_name", "start_us", "end_us", F.col("category").alias("key")))
 
 
-def _meetings(intervals: DataFrame, points: DataFrame, by: list[str], grids: DataFrame | None, bucket: int | None) -> DataFrame:
+def _meetings(intervals: DataFrame, points: DataFrame, grids: Grid) -> DataFrame:
     """Pairs of intervals (``lo, hi``) and points (``at``) of one group with ``lo <= at <= hi``, for times in whole µs.
 
-    An interval goes to each bucket that it touches, a point to one. In all but an interval's first and last bucket every
-    point is one of its own, so the pairs that are looked at are the result and two buckets an interval.
+    ``grids`` is made from the points. An interval goes to each bucket that it touches, a point to one. In all but an interval's first
+    and last bucket every point is one of its own, so what is shuffled is the result, by the bucket, and two rows an interval; what
+    is looked at is the result and two buckets' points an interval. All buckets have as many points, wherever these are dense.
     """
-
-    def on_grid(df: DataFrame) -> DataFrame:
-        return df.withColumns({"t0": F.lit(0).cast("long"), "width": F.lit(bucket).cast("long")}) if bucket else lookup(df, grids, by, "inner")
-
-    left = on_grid(intervals.filter("lo <= hi")).withColumn("bucket", F.explode(F.sequence(bucket_of("lo"), bucket_of("hi")))).drop("t0", "width")
-    right = on_grid(points).withColumn("bucket", bucket_of("at")).drop("t0", "width")
-    return left.join(right, [*by, "bucket"]).filter(F.col("at").between(F.col("lo"), F.col("hi")))
-
-
-def _grid_of(starts: DataFrame, by: list[str], bucket: int | None) -> DataFrame | None:
-    return None if bucket else grid(starts, by, "at", "at", PAIR_ROWS)
+    left = grids.place(intervals.filter("lo <= hi"), __b1="lo", __b2="hi").withColumn("bucket", F.explode(F.sequence("__b1", "__b2"))).drop("__b1", "__b2")
+    right = grids.place(points, bucket="at")
+    return left.join(right, [*grids.by, "bucket"]).filter(F.col("at").between(F.col("lo"), F.col("hi"))).drop("bucket")
 
 
 def bad_nesting(ops: DataFrame, by: list[str] | None = None, bucket: int | None = None) -> DataFrame:
@@ -165,7 +158,7 @@ def bad_nesting(ops: DataFrame, by: list[str] | None = None, bucket: int | None
     by = KEYS if by is None else by
     live = cut_lineage(ops.filter("end_us > start_us").select(*by, "event_id", "start_us", "end_us"))
     later = live.select(*by, F.col("event_id").alias("other_id"), F.col("start_us").alias("at"), F.col("end_us").alias("e2"))
-    pairs = _meetings(live.select(*by, "event_id", F.col("start_us").alias("lo"), (F.col("end_us") - 1).alias("hi")), later, by, _grid_of(later, by, bucket), bucket)
+    pairs = _meetings(live.select(*by, "event_id", F.col("start_us").alias("lo"), (F.col("end_us") - 1).alias("hi")), later, grid(later, by, "at", PAIR_ROWS, bucket))
     partly = (F.col("lo") < F.col("at")) & (F.col("hi") + 1 < F.col("e2"))
     alike = (F.col("lo") == F.col("at")) & (F.col("hi") + 1 == F.col("e2")) & (F.col("event_id") < F.col("other_id"))
     return pairs.filter(partly | alike).select(*by, "event_id", "other_id")
@@ -181,9 +174,9 @@ def instances_with_events(ops: DataFrame, events: DataFrame, by: list[str] | Non
     events = cut_lineage(events.select(*by, "event_id", F.col("start_us").alias("s2"), F.col("end_us").alias("e2")))
     starts = events.select(*by, "event_id", F.col("s2").alias("at"))
     op_starts = ops.select(*by, "op_id", F.col("s1").alias("at"))
-    grids = _grid_of(starts.select(*by, "at").union(op_starts.select(*by, "at")), by, bucket)
-    inside = _meetings(ops.select(*by, "op_id", F.col("s1").alias("lo"), F.col("e1").alias("hi")), starts, by, grids, bucket)
-    around = _meetings(events.select(*by, "event_id", (F.col("s2") + 1).alias("lo"), F.col("e2").alias("hi")), op_starts, by, grids, bucket)
+    at_events, at_ops = (grid(df, by, "at", PAIR_ROWS, bucket) for df in (starts, op_starts))
+    inside = _meetings(ops.select(*by, "op_id", F.col("s1").alias("lo"), F.col("e1").alias("hi")), starts, at_events)
+    around = _meetings(events.select(*by, "event_id", (F.col("s2") + 1).alias("lo"), F.col("e2").alias("hi")), op_starts, at_ops)
     return inside.select(*by, "op_id", "event_id").union(around.select(*by, "op_id", "event_id"))
 
 
@@ -197,7 +190,7 @@ def stacks(ops: DataFrame, by: list[str] | None = None, bucket: int | None = Non
     live = cut_lineage(ops.select(*by, "event_id", "event_name", "start_us", "end_us"))
     inner = live.select(*by, "event_id", F.col("start_us").alias("at"), F.col("end_us").alias("e2"))
     outer = live.select(*by, F.struct("start_us", (-F.col("end_us")).alias("minus_end"), F.col("event_id").alias("id"), "event_name").alias("frame"), F.col("start_us").alias("lo"), F.col("end_us").alias("hi"))
-    pairs = _meetings(outer, inner, by, _grid_of(inner, by, bucket), bucket).filter("hi >= e2")
+    pairs = _meetings(outer, inner, grid(inner, by, "at", PAIR_ROWS, bucket)).filter("hi >= e2")
     held = (F.col("lo") < F.col("at")) | (F.col("hi") > F.col("e2")) | (F.col("frame.id") <= F.col("event_id"))
     frames = pairs.filter(held).groupBy(*by, "event_id").agg(F.sort_array(F.collect_list("frame")).alias("f"))
     return frames.select(*by, "event_id", F.array_join(F.transform("f", lambda x: x["event_name"]), sep).alias("stack"), F.get("f", F.lit(0))["id"].alias("root"))

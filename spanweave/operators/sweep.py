@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanweave.operators.grid import ROWS, bucket_of, following, placed
+from spanweave.operators.grid import ROWS, following, grid
 from spanweave.plans.lineage import cut_lineage
 from spanweave.sources.adapters import KEYS
 
@@ -35,9 +35,9 @@ def _region(counts: list[Column], names: list[str]) -> Column:
 def _marks(events: DataFrame, by: list[str], key: str, bucket: int | None) -> DataFrame:
     """``by, bucket, t, __key, d``: 1 at each start, -1 at each end."""
     live = events.filter((F.col("end_us") > F.col("start_us")) & F.col(key).isNotNull()).select(*by, F.col(key).alias("__key"), "start_us", "end_us")
-    spans = placed(live, by, "start_us", "end_us", ROWS, bucket)
     edges = F.array(F.struct(F.col("start_us").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_us").alias("t"), F.lit(-1).alias("d")))
-    return spans.select(*by, "__key", "t0", "width", F.explode(edges).alias("e")).select(*by, "__key", "e.t", "e.d", bucket_of("e.t").alias("bucket"))
+    marks = live.select(*by, "__key", F.explode(edges).alias("e")).select(*by, "__key", "e.t", "e.d")
+    return grid(live, by, "start_us", ROWS, bucket).place(marks, bucket="t")
 
 
 def segments(events: DataFrame, by: list[str] | None = None, key: str = "key", bucket: int | None = None) -> DataFrame:

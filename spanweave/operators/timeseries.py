@@ -9,14 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanweave.operators.grid import ROWS, bucket_of, following, placed
+from spanweave.operators.grid import following, grid
 from spanweave.plans.lineage import cut_lineage
 
 
 def delays(events: DataFrame, by: list[str]) -> DataFrame:
     """Time from each event's end to the next one's start (by start, end): ``by, event_id, delay_us``; negative where they overlap."""
-    rows = placed(cut_lineage(events.select(*by, "event_id", "start_us", "end_us")), by, "start_us", "start_us", ROWS)
-    ordered = following(rows.withColumn("bucket", bucket_of("start_us")), by, [F.col("start_us"), F.col("end_us"), F.col("event_id")], "start_us", "next_start")
+    rows = cut_lineage(events.select(*by, "event_id", "start_us", "end_us"))
+    ordered = following(grid(rows, by, "start_us").place(rows, bucket="start_us"), by, [F.col("start_us"), F.col("end_us"), F.col("event_id")], "start_us", "next_start")
     return ordered.withColumn("delay_us", F.col("next_start") - F.col("end_us")).filter("delay_us is not null").select(*by, "event_id", "delay_us")
 
 

@@ -275,11 +275,11 @@ def f10(spark, d):
 @query("f14_steps", f"{T} SELECT process, event_name, event_id, i FROM (SELECT process, event_name, event_id, row_number() OVER (PARTITION BY process, event_name ORDER BY start_us, end_us, event_id) AS i FROM t WHERE category = 'Operation') WHERE i BETWEEN 2 AND 4")
 def f14(spark, d):
     """Instances 2 to 4 of each operation: the first is left out, as it warms up."""
-    from spanweave.operators.grid import ROWS, bucket_of, numbered, placed
+    from spanweave.operators.grid import grid, numbered
 
     by = ["process", "event_name"]
-    rows = placed(ops_of(spark, d).select(*by, "event_id", "start_us", "end_us"), by, "start_us", "start_us", ROWS).withColumn("bucket", bucket_of("start_us"))
-    return numbered(rows, by, [F.col("start_us"), F.col("end_us"), F.col("event_id")], "i").filter("i between 2 and 4").select(*by, "event_id", "i")
+    rows = ops_of(spark, d).select(*by, "event_id", "start_us", "end_us")
+    return numbered(grid(rows, by, "start_us").place(rows, bucket="start_us"), by, [F.col("start_us"), F.col("end_us"), F.col("event_id")], "i").filter("i between 2 and 4").select(*by, "event_id", "i")
 
 
 @query("f15_visible_devices", f"{T} SELECT event_id, device LIKE 'cpu%' AS is_cpu FROM t WHERE device IN ('cpu0', 'gpu0')")

@@ -36,16 +36,16 @@ def _same(left: DataFrame, names: list[str], others: list[str]) -> Column:
     return reduce(Column.__and__, [left[a].eqNullSafe(F.col(b)) for a, b in zip(names, others, strict=True)])
 
 
-def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", is_small: bool | None = None) -> DataFrame:
     """Join a table with one row a key (``small``) to a large one (``how``: left or inner). Keys compare null-safe.
 
-    A small table is broadcast. Beyond ``BROADCAST_ROWS`` the rows of hot keys meet the few rows of ``small`` that have those
+    A small table is broadcast; its rows are counted unless ``is_small`` says whether they are at most ``BROADCAST_ROWS``. Beyond ``BROADCAST_ROWS`` the rows of hot keys meet the few rows of ``small`` that have those
     keys by broadcast, wherever they lie, and only the others are shuffled: no key has more than a thousandth of the rows
     that are dealt by it. The other columns of ``small`` must not be columns of ``big``.
     """
     names = [f"__k{i}" for i in range(len(keys))]
     renamed = small.withColumnsRenamed(dict(zip(keys, names, strict=True)))
-    if small.count() <= BROADCAST_ROWS:
+    if small.count() <= BROADCAST_ROWS if is_small is None else is_small:
         return big.join(F.broadcast(renamed), _same(big, keys, names), how).drop(*names)
     others = [f"__h{i}" for i in range(len(keys))]
     counts = big.groupBy(*[F.col(k).alias(h) for k, h in zip(keys, others, strict=True)]).agg(F.count("*").alias("__n"))
