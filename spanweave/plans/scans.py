@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanweave.operators import rollup, timeseries
 from spanweave.plans.lineage import shared_folder
 from spanweave.plans.queries import CLEAN_SQL, PLAIN_SQL, joined, keyed_regions, query
-from spanweave.sources import reports, shards, sinks
+from spanweave.sources import reports, shards, sinks, wire
 from spanweave.sources.adapters import TRACE_SQL, micros, table, trace
 
 T = f"WITH {TRACE_SQL}"
@@ -21,23 +21,37 @@ def folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, kind: str) -> DataFrame:
-    """Nested rows of a kind of shard, written as JSON and read with that kind's schema."""
+def written(df: DataFrame, kind: str, form: str = "json") -> DataFrame:
+    """Nested rows of a kind of shard, written as JSON or as binary shards and read with that kind's schema."""
     path = folder(df.sparkSession)
+    if form == "binary":
+        wire.write_binary_shards(df, path, kind)
+        return wire.read_binary_shards(df.sparkSession, path, kind)
     df.write.json(path)
     return shards.read_shards(df.sparkSession, path, kind, names="part-*")
 
 
+def both_forms(name: str, sql: str):
+    """Registers a query of shards twice: read from JSON, and as ``{name}_binary`` from binary shards."""
+
+    def register(f):
+        query(name, sql)(f)
+        query(f"{name}_binary", sql)(lambda spark, d: f(spark, d, "binary"))
+        return f
+
+    return register
+
+
 def groups() -> list:
     return [F.col("machine").alias("machine_name"), F.col("process").alias("process_name"), "phase"]
 
 
-@query("s3_category_events", f"{T} SELECT process, category, event_name, start_us, end_us, duration_us FROM t WHERE end_us >= start_us")
-def s3(spark, d):
-    return shards.category_events(written(sinks.shard_rows(trace(spark, d), DAY), "category_events")).select("process", "category", "event_name", "start_us", "end_us", "duration_us")
+@both_forms("s3_category_events", f"{T} SELECT process, category, event_name, start_us, end_us, duration_us FROM t WHERE end_us >= start_us")
+def s3(spark, d, form="json"):
+    return shards.category_events(written(sinks.shard_rows(trace(spark, d), DAY), "category_events", form)).select("process", "category", "event_name", "start_us", "end_us", "duration_us")
 
 
-def api_shards(spark, d) -> DataFrame:
+def api_shards(spark, d, form: str) -> DataFrame:
     """API calls and their statistics, a row for each process and day."""
     calls = trace(spark, d).filter("category = 'CUDA API CPU'").withColumn("part", F.floor(F.col("start_us") / DAY))
     event = F.struct(F.lit(0).cast("long").alias("tid"), F.col("event_name").alias("api_name"), F.col("start_us").alias("start_time_us"), F.col("duration_us"), F.lit("").alias("active_operation"))
@@ -45,28 +59,28 @@ def api_shards(spark, d) -> DataFrame:
     sums = calls.groupBy(*groups(), "part", "event_name").agg(F.sum("duration_us").alias("us"), F.count("*").alias("n"))
     stat = F.struct(F.lit(0).cast("long").alias("tid"), F.col("event_name").alias("api_name"), F.col("us").alias("total_time_us"), F.col("n").alias("num_calls"))
     stats = sums.groupBy("machine_name", "process_name", "phase", "part").agg(F.collect_list(stat).alias("stats"))
-    return written(events.join(stats, ["machine_name", "process_name", "phase", "part"]).drop("part"), "cuda_api_stats")
+    return written(events.join(stats, ["machine_name", "process_name", "phase", "part"]).drop("part"), "cuda_api_stats", form)
 
 
-@query("s4_api_events", f"{T} SELECT process, category, event_name, start_us, end_us FROM t WHERE category = 'CUDA API CPU'")
-def s4(spark, d):
-    return shards.api_events(api_shards(spark, d)).select("process", "category", "event_name", "start_us", "end_us")
+@both_forms("s4_api_events", f"{T} SELECT process, category, event_name, start_us, end_us FROM t WHERE category = 'CUDA API CPU'")
+def s4(spark, d, form="json"):
+    return shards.api_events(api_shards(spark, d, form)).select("process", "category", "event_name", "start_us", "end_us")
 
 
-@query("s4_api_stats", f"{T} SELECT process, event_name AS api_name, CAST(sum(duration_us) AS BIGINT) AS total_time_us, CAST(count(*) AS BIGINT) AS num_calls FROM t WHERE category = 'CUDA API CPU' GROUP BY ALL")
-def s4_stats(spark, d):
-    return shards.api_stats(api_shards(spark, d)).groupBy("process", "api_name").agg(F.sum("total_time_us").alias("total_time_us"), F.sum("num_calls").alias("num_calls"))
+@both_forms("s4_api_stats", f"{T} SELECT process, event_name AS api_name, CAST(sum(duration_us) AS BIGINT) AS total_time_us, CAST(count(*) AS BIGINT) AS num_calls FROM t WHERE category = 'CUDA API CPU' GROUP BY ALL")
+def s4_stats(spark, d, form="json"):
+    return shards.api_stats(api_shards(spark, d, form)).groupBy("process", "api_name").agg(F.sum("total_time_us").alias("total_time_us"), F.sum("num_calls").alias("num_calls"))
 
 
-@query("s5_device_events", f"{T} SELECT process, device, 'GPU' AS category, CASE WHEN event_id % 2 = 0 THEN 'Memcpy' ELSE event_name END AS event_name, start_us, end_us FROM t WHERE category = 'GPU'")
-def s5(spark, d):
+@both_forms("s5_device_events", f"{T} SELECT process, device, 'GPU' AS category, CASE WHEN event_id % 2 = 0 THEN 'Memcpy' ELSE event_name END AS event_name, start_us, end_us FROM t WHERE category = 'GPU'")
+def s5(spark, d, form="json"):
     """Events with a blank name take their type's."""
     gpu = trace(spark, d).filter("category = 'GPU'").withColumn("part", F.floor(F.col("start_us") / DAY))
     name = F.when(F.col("event_id") % 2 == 0, " ").otherwise(F.col("event_name"))
     event = F.struct(name.alias("name"), F.lit("MEMCPY").alias("cuda_event_type"), F.col("start_us").alias("start_time_us"), F.col("duration_us"))
     lists = gpu.groupBy(*groups(), "part", "device").agg(F.collect_list(event).alias("events"))
     rows = lists.groupBy("machine_name", "process_name", "phase", "part").agg(F.map_from_entries(F.collect_list(F.struct(F.col("device").alias("k"), F.struct(F.col("device").alias("device_name"), "events")))).alias("dev_events"))
-    return shards.device_events(written(rows.drop("part"), "cuda_device_events")).select("process", "device", "category", "event_name", "start_us", "end_us")
+    return shards.device_events(written(rows.drop("part"), "cuda_device_events", form)).select("process", "device", "category", "event_name", "start_us", "end_us")
 
 
 def gpu_csv(spark, d) -> DataFrame:
@@ -99,13 +113,13 @@ def s8_api(spark, d):
     return reports.api_times(rows.filter("l_linenumber = 1"), rows.filter("l_linenumber = 2"), table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("cbid"), F.col("n_name").alias("name")))
 
 
-@query("s10_utilization", "SELECT 'm' || (user_id % 2) AS machine, 'd' || (user_id % 3) AS device_name, epoch_us(ts) AS start_us, CAST(event_id % 101 AS DOUBLE) AS util, event_id AS rss_bytes FROM events")
-def s10(spark, d):
+@both_forms("s10_utilization", "SELECT 'm' || (user_id % 2) AS machine, 'd' || (user_id % 3) AS device_name, epoch_us(ts) AS start_us, CAST(event_id % 101 AS DOUBLE) AS util, event_id AS rss_bytes FROM events")
+def s10(spark, d, form="json"):
     sample = F.struct(micros(F.col("ts")).alias("start_time_us"), (F.col("event_id") % 101).cast("float").alias("util"), F.col("event_id").alias("total_resident_memory_bytes"))
     keys = [F.concat(F.lit("m"), F.col("user_id") % 2).alias("machine_name"), F.concat(F.lit("d"), F.col("user_id") % 3).alias("device_name"), F.date_trunc("day", "ts").alias("part")]
     lists = table(spark, d, "events").groupBy(*keys).agg(F.collect_list(sample).alias("samples"))
     rows = lists.groupBy("machine_name", "part").agg(F.map_from_entries(F.collect_list(F.struct(F.col("device_name").alias("k"), F.struct("device_name", "samples")))).alias("device_util"))
-    return shards.device_utilization(written(rows.drop("part"), "machine_util")).drop("i")
+    return shards.device_utilization(written(rows.drop("part"), "machine_util", form)).drop("i")
 
 
 @query("s11_training_progress", "SELECT 'p' || (o_custkey % 4) AS process, CAST(o_orderkey AS BIGINT) AS total_timesteps, CAST(o_custkey AS BIGINT) AS training_us FROM orders")
@@ -114,19 +128,19 @@ def s11(spark, d):
     return shards.training_progress(written(rows, "training_progress")).select("process", "total_timesteps", "training_us")
 
 
-@query("s14_process_metadata", "SELECT c_name AS process, 'p' || (c_custkey % 5) AS parent, CAST(c_custkey AS BIGINT) AS num_timesteps, CAST(2 * c_custkey AS BIGINT) AS total_timesteps FROM customer")
-def s14(spark, d):
+@both_forms("s14_process_metadata", "SELECT c_name AS process, 'p' || (c_custkey % 5) AS parent, CAST(c_custkey AS BIGINT) AS num_timesteps, CAST(2 * c_custkey AS BIGINT) AS total_timesteps FROM customer")
+def s14(spark, d, form="json"):
     state = F.struct(F.lit(0.5).alias("percent_complete"), F.col("c_custkey").alias("num_timesteps"), (2 * F.col("c_custkey")).alias("total_timesteps"))
     rows = table(spark, d, "customer").select(F.col("c_name").alias("process_name"), F.lit("x").alias("phase"), F.lit("m").alias("machine_name"), F.concat(F.lit("p"), F.col("c_custkey") % 5).alias("parent_process_name"), state.alias("training_progress"))
-    return shards.process_metadata(written(rows, "process")).select("process", "parent", "num_timesteps", "total_timesteps")
+    return shards.process_metadata(written(rows, "process", form)).select("process", "parent", "num_timesteps", "total_timesteps")
 
 
-@query("s13_op_stack", f"{T} SELECT process, category AS overhead_type, phase AS overhead_phase, event_name AS operation, count(*) AS n FROM t GROUP BY ALL")
-def s13(spark, d):
+@both_forms("s13_op_stack", f"{T} SELECT process, category AS overhead_type, phase AS overhead_phase, event_name AS operation, count(*) AS n FROM t GROUP BY ALL")
+def s13(spark, d, form="json"):
     counts = trace(spark, d).groupBy(*groups(), "category", "event_name").agg(F.count("*").alias("n"))
     one = F.create_map("phase", F.struct(F.col("event_name").alias("operation_name"), F.col("n").alias("num_overhead_events")))
     rows = counts.select("machine_name", "process_name", "phase", F.create_map("category", F.struct(one.alias("phase_overhead_events"))).alias("overhead_events"))
-    return shards.op_stack_counts(written(rows, "op_stack")).drop("machine")
+    return shards.op_stack_counts(written(rows, "op_stack", form)).drop("machine")
 
 
 @query("s15_venn_round_trip", f"{PLAIN_SQL},{CLEAN_SQL} SELECT process, list_aggregate(res, 'string_agg', '+') AS region, CAST(sum(time_us) AS DOUBLE) AS size FROM u WHERE len(res) > 0 GROUP BY process, res")
@@ -194,3 +208,12 @@ def k6(spark, d):
     path = folder(spark)
     sinks.write_csv(trace(spark, d).groupBy("process", "category").agg(F.sum("duration_us").alias("us")), path)
     return spark.read.schema("process string, category string, us long").option("header", True).csv(path)
+
+
+@query("k8_shard_texts", f"{T} SELECT process, category, event_name, start_us, duration_us FROM t")
+def k8(spark, d):
+    """Binary shards as texts, a line each, which hold what the shards do: read back from the lines."""
+    lines = wire.texts(written(sinks.shard_rows(trace(spark, d), DAY), "category_events", "binary"))
+    back = lines.select(F.from_json("value", shards.SHARDS["category_events"][1]).alias("v")).select("v.*")
+    each = back.select("process_name", F.explode("category_events").alias("category", "v")).select("process_name", "category", F.explode("v.events").alias("e"))
+    return each.select(F.col("process_name").alias("process"), "category", F.col("e.name").alias("event_name"), F.col("e.start_time_us").alias("start_us"), "e.duration_us")

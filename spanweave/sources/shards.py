@@ -97,8 +97,8 @@ def run_configs(spark: SparkSession, folder: str, names: list[str], files: str =
     return files.select(F.col("_metadata.file_path").alias("path"), *[F.get_json_object("value", f"$.metadata.{n}").alias(n) for n in names])
 
 
-#: A trace's CSV file has at most so many columns.
-CSV_COLUMNS = 40
+#: A cell of a line of CSV and the comma behind it; a quoted one may hold commas, and quotes as two.
+CELL = r'\s*("(?:[^"]|"")*"|[^,]*)\s*,'
 #: Times of a trace's CSV file are in these units, as its second row says.
 UNITS = {"ns": 1e-3, "us": 1.0, "ms": 1e3, "s": 1e6}
 
@@ -106,15 +106,16 @@ UNITS = {"ns": 1e-3, "us": 1.0, "ms": 1e3, "s": 1e6}
 def trace_csv(spark: SparkSession, path: str, more: dict[str, str] | None = None) -> DataFrame:
     """Traces in a profiler's CSV files, of devices or of API calls; the header of each file says what is where.
 
-    Before the header there may be lines that begin with ``=``; after it comes a row of units. Quoted values may hold commas.
+    Before the header there may be lines that begin with ``=``; after it comes a row of units. Quoted values may hold commas, and
+    there may be any number of columns.
     ``more`` names further columns to keep: the header's name and the new one. Returns ``path, event_name, start_us, end_us``
     and those; times are rounded to µs, and negative lengths are 0. Files without the columns Start, Duration and Name have no
     rows. Spark splits large files; only headers and units, a row of each a file, are looked at first.
     """
-    cells = ", ".join(f"c{i} string" for i in range(CSV_COLUMNS))
-    row = F.from_csv("value", F.lit(cells))
+    cells = F.transform(F.regexp_extract_all(F.concat("value", F.lit(",")), F.lit(CELL), 1), lambda c: F.trim(c))
+    plain = F.transform(cells, lambda c: F.when(c.startswith('"'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
     lines = spark.read.text(path).filter(~F.col("value").startswith("=") & (F.trim("value") != ""))
-    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.array(*[F.trim(row[f"c{i}"]) for i in range(CSV_COLUMNS)]).alias("c"))
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), plain.alias("c"))
     wanted = {"start": "Start", "duration": "Duration", "name": "Name"} | {new: old for old, new in (more or {}).items()}
     heads = lines.filter(F.array_contains("c", "Start") & F.array_contains("c", "Duration") & F.array_contains("c", "Name")).dropDuplicates(["path"])
     heads = heads.select("path", *[(F.array_position("c", old) - 1).cast("int").alias(f"at_{new}") for new, old in wanted.items()])
