@@ -125,7 +125,7 @@ def test_binary_shards(spark, tmp_path):
     assert [(r.machine, r.process, r.category, r.event_name, r.end_us) for r in shards.category_events(rows).collect()] == [("m", "p", "Python", "f", 8)] * 2
     few = wire.read_binary_shards(spark, str(tmp_path), "category_events", columns=["phase"])
     assert few.columns == ["phase"] and sorted(r.phase for r in few.collect()) == ["x"]  # Spark gives no row for an empty file
-    (tmp_path / "category_events.3.proto").write_bytes(shard[:-3])
+    (tmp_path / "category_events.3.proto").write_bytes(shard[:-1])
     with pytest.raises(PythonException, match="category_events.3"):
         wire.read_binary_shards(spark, str(tmp_path), "category_events").collect()
 
