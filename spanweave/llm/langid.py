@@ -22,11 +22,11 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class Settings:
     """``docs_per_language``: training takes about so many documents of each language, by a hash of doc_id, with all their
-    windows; of more than ``max_languages`` the most frequent are learned. This bounds what the driver gets."""
+    windows, and of all languages about ``max_docs`` or one each. This bounds what the driver gets; every language is learned."""
 
     hidden: int = 8
     docs_per_language: int = 250
-    max_languages: int = 200
+    max_docs: int = 50_000
     steps: int = 260
     batch: int = 256
     rate: float = 0.02
@@ -214,30 +214,30 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
     return names, scores
 
 
-def _all_windows(texts: pd.Series) -> pd.Series:
-    return pd.Series([to_windows(t.encode("utf-8", "surrogatepass")).ravel().astype(np.int32) for t in texts])
+def _all_bytes(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t.encode("utf-8", "surrogatepass"))
 
 
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """A model of the languages in ``lang`` of ``docs`` (``doc_id, text, lang``).
 
     Null texts, texts without a letter and null languages teach nothing; other columns are ignored. Each document counts
-    alike, however long; repeated rows are learned as often as they are there. Of languages that are as frequent the first
-    by name is taken. An empty table gives a model without languages.
+    alike, however long; repeated rows are learned as often as they are there. An empty table gives a model without languages. A
+    language of which the sample happens to hold no document is known by name, and hardly ever found.
     """
     known = docs.select("doc_id", "text", "lang").filter(r"text is not null and lang is not null and text rlike '\\p{L}'")
-    most = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(settings.max_languages)
-    counts = {r["lang"]: r["n"] for r in most.collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not counts:
         return new_model([], settings)
     languages = sorted(counts)
-    shares = docs.sparkSession.createDataFrame([(x, settings.docs_per_language / n) for x, n in counts.items()], "lang string, share double")
-    chosen = known.join(F.broadcast(shares), "lang").filter(drawn(F.col("share"), "langid", "doc_id"))  # at most max_languages rows
-    got = chosen.select("lang", F.pandas_udf(_all_windows, "array<int>")("text").alias("w")).toArrow().sort_by("lang")
-    column = got["w"].combine_chunks()
-    if not len(column):
+    each = max(1.0, min(settings.docs_per_language, settings.max_docs / len(counts)))
+    shares = docs.sparkSession.createDataFrame([(x, each / n) for x, n in counts.items()], "lang string, share double")
+    chosen = known.join(F.broadcast(shares), "lang").filter(drawn(F.col("share"), "langid", "doc_id"))  # a row a language
+    got = chosen.select("lang", F.pandas_udf(_all_bytes, "binary")("text").alias("b")).toArrow().sort_by("lang")
+    if not len(got):
         return new_model([], settings)
-    windows, sizes = column.flatten().to_numpy().astype(np.int16).reshape(-1, WINDOW), np.diff(column.offsets.to_numpy()) // WINDOW
+    of_each = [to_windows(b.as_py()) for b in got["b"]]
+    windows, sizes = np.concatenate(of_each).astype(np.int16), np.array([len(w) for w in of_each])
     labels = np.repeat([languages.index(x) for x in got["lang"].to_pylist()], sizes).astype(int)
     share = np.repeat(1.0 / sizes, sizes)
     order = np.lexsort((share, *windows.T, labels))  # whatever order the rows came in, training is the same

@@ -22,8 +22,8 @@ HEADS = (4, 5)
 class Settings:
     """``docs_per_label``: training takes about so many labelled documents that are toxic, and twice as many that are not, by a
     hash of doc_id; this bounds what the driver gets. Terms of fewer than ``min_docs`` of these count as unseen. The machine is
-    fitted on all other terms (``first_epochs``, ``first_l1``), then again on the ``kept`` terms of the largest weights and
-    the ``kept`` ones of the largest factors."""
+    fitted on all other terms (``first_epochs``, ``first_l1``), then again on those whose weight, or whose factors' length, is above
+    ``least`` times the largest one: however many these are, none goes for its rank."""
 
     docs_per_label: int = 4000
     bits: int = 18
@@ -32,7 +32,7 @@ class Settings:
     first_epochs: int = 12
     first_l1: float = 1e-3
     first_batch: int = 128
-    kept: int = 300
+    least: float = 0.15
     epochs: int = 40
     l1: float = 1e-4
     batch: int = 64
@@ -71,8 +71,7 @@ def train(docs: list[np.ndarray], toxic: np.ndarray, settings: Settings = Settin
     first = descend(docs, toxic, seen, settings, settings.first_epochs, settings.first_batch, settings.first_l1)
     chosen = np.zeros(size, bool)
     for strength in (np.abs(first.weights), np.sqrt((first.factors**2).sum(axis=1))):
-        top = np.argsort(-strength, kind="stable")[: settings.kept]
-        chosen[top[strength[top] > 0]] = True
+        chosen |= strength > settings.least * strength.max()
     return descend(docs, toxic, chosen & seen, settings, settings.epochs, settings.batch, settings.l1)
 
 
@@ -132,8 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     """A model of ``toxic`` (1 or not) of ``labels`` (``doc_id, toxic``) from the texts of ``docs`` (``doc_id, text``).
 
     Null ids and labels teach nothing; of several labels of an id the highest counts. Repeated rows of ``docs`` are learned as
-    often as they are there; very long texts are learned whole. Without labels, or with labels of one kind only, the score is
-    that kind's for all.
+    often as they are there; very long texts are learned whole, and a text without words only by how often such are toxic. Without
+    labels or documents, or with labels of one kind only, the score is that kind's for all.
     """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}

@@ -76,9 +76,28 @@ def test_language_gradients_as_differences():
             assert abs((up - down) / (2 * step) - grad[at]) < 2e-4
 
 
-def test_language_takes_the_most_frequent(spark):
+def test_every_language_is_learned(spark):
+    """However many there are: the bound on documents lowers each one's share, and leaves none out."""
+    rows = [(i, f"{chr(97 + i % 26) * 3}{chr(97 + i // 26 % 26) * 3} " * 30, f"l{i % 230:03}") for i in range(460)]
+    many = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(many, langid.Settings(steps=2, max_docs=100)).languages == [f"l{i:03}" for i in range(230)]
     three = words(spark).unionByName(spark.createDataFrame([(99, "la le les des", "fr")], "doc_id long, text string, lang string"))
-    assert langid.fit(three, langid.Settings(steps=2, max_languages=2)).languages == ["de", "en"]
+    assert langid.fit(three, langid.Settings(steps=2)).languages == ["de", "en", "fr"]
+
+
+def test_toxicity_learns_many_markers():
+    """600 words tell a toxic text and 600 others a clean one: none is lost for its rank."""
+    rng, noise = random.Random(0), [f"n{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}z" for i in range(3000)]
+
+    def marker(toxic: int) -> str:
+        return "ct"[toxic] + "".join(chr(97 + int(d)) for d in str(rng.randrange(600))) + "qx"
+
+    texts = [toxicity.terms(" ".join([*rng.sample(noise, 10), marker(i % 2)]), 18) for i in range(15_000)]
+    truth = np.arange(15_000) % 2
+    found = toxicity.score(toxicity.train(texts[:12_000], truth[:12_000].astype(np.float32)), texts[12_000:])
+    toxic, clean = found[truth[12_000:] == 1], found[truth[12_000:] == 0]
+    assert np.mean(np.searchsorted(np.sort(clean), toxic)) >= 0.99 * len(clean)
+    assert (toxic >= 0.5).mean() > 0.9 and (clean >= 0.5).mean() < 0.01
 
 
 def test_samples_of_huge_tables(spark):
