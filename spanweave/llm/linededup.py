@@ -3,7 +3,8 @@
 A line is split into ``MAX_EDITS + 1`` segments whose places follow from its length class: a head, a middle
 and a tail. Of two lines within two edits, one has its head, its tail or (moved by at most one place, one edit
 on either side) its middle in common with the other. Lines that share such a piece are compared, first by
-counts of letters, then by edit distance with bit vectors over the diagonal band.
+counts of letters, then by edit distance with bit vectors over the diagonal band. Where very many lines share a piece,
+what is left of them without it is split into segments in turn, as that is within as many edits.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ MAX_EDITS = 2
 MIN_EXACT, MIN_NEAR = 10, 40
 #: Lengths are rounded down to this for the places of segments. Shorter lines have none, so this is the least for near copies.
 LENGTH_CLASS = 16
+#: What is left of a line without a common piece is split by finer classes of length.
+REST_CLASS = 4
+#: A piece of more lines than this is a common one, whose lines must share a further piece.
+COMMON = 128
 #: A set of at most so many line hashes (8 bytes each) is broadcast; with a larger one the lines are shuffled.
 BROADCAST_HASHES = 1_000_000
 #: Letters that are counted (modulo 32) to compare lines cheaply; any would do.
@@ -32,12 +37,44 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def segments(line: Column, n: Column, base: Column, shifts: tuple[int, ...]) -> list[Column]:
-    """Hashes of the head, the tail and the middle (at each of ``shifts``) of a line, for a length class."""
+def segments(line: Column, n: Column, base: Column, shifts: tuple[int, ...], within: Column | None = None) -> list[Column]:
+    """Hashes of the head, the tail and the middle (at each of ``shifts``) of a line, for a length class; ``within`` is hashed with them."""
     edge = F.floor(base / 3).cast("int")
     pieces = [("h", F.substr(line, F.lit(1), edge)), ("t", F.substr(line, n - edge + 1, edge))]
     pieces += [("m", F.substr(line, edge + 1 + shift, base - 2 * edge)) for shift in shifts]
-    return [F.xxhash64(F.lit(tag), base, piece) for tag, piece in pieces]
+    more = [] if within is None else [within]
+    return [F.xxhash64(*more, F.lit(tag), base, piece) for tag, piece in pieces]
+
+
+#: Where the middle of a line may lie in another one.
+SHIFTS = (0, -1, 1)
+
+
+def _bases(n: Column, size: int) -> tuple[Column, Column]:
+    """A line's length class, and that of lines that are ``MAX_EDITS`` shorter."""
+    return n - n % size, F.greatest(n - MAX_EDITS - (n - MAX_EDITS) % size, F.lit(0))
+
+
+def _keys(line: Column, n: Column, size: int, within: Column | None = None) -> Column:
+    """The keys by which a line meets others; the first three are its own class's, by which it is found."""
+    base, lower = _bases(n, size)
+    below = F.when(lower != base, F.array(*segments(line, n, lower, SHIFTS, within))).otherwise(F.array().cast("array<bigint>"))
+    return F.concat(F.array(*segments(line, n, base, SHIFTS, within)), below)
+
+
+def _rest(line: Column, n: Column, place: Column, size: int) -> Column:
+    """What is left of a line without the piece at a place of ``_keys``."""
+    per = 2 + len(SHIFTS)
+    base, lower = _bases(n, size)
+    base = F.when(place < per, base).otherwise(lower)
+
+    def rest(x: Column) -> Column:
+        edge, kind = x["edge"], x["kind"]
+        at = edge + F.get(F.array(*map(F.lit, SHIFTS)), kind - 2)
+        middle = F.concat(F.substr(line, F.lit(1), at), F.substr(line, at + x["base"] - 2 * edge + 1, n))
+        return F.when(kind == 0, F.substr(line, edge + 1, n)).when(kind == 1, F.substr(line, F.lit(1), n - edge)).otherwise(middle)
+
+    return _let(_let(base, lambda b: F.struct(b.alias("base"), F.floor(b / 3).cast("int").alias("edge"), (place % per).alias("kind"))), rest)
 
 
 def letter_counts(line: Column, n: Column) -> Column:
@@ -135,33 +172,56 @@ def _lines(docs: DataFrame) -> DataFrame:
     return split.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("line")).withColumn("n", F.length("line"))
 
 
+def _shared(keyed: DataFrame) -> DataFrame:
+    """``h, key, place, common`` of the ``keys`` of ``h`` that another line has too, on either side as one that it is found by.
+
+    ``common``: whether more than ``COMMON`` rows have the key.
+    """
+    pieces = keyed.select(*keyed.columns[:-1], F.posexplode("keys").alias("place", "key"))  # the first three are the index, all are looked up
+    met = pieces.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.min("place").alias("first"), F.count("*").alias("m")).filter("lo <> hi and first < 3")
+    return pieces.join(met.select("key", (F.col("m") > COMMON).alias("common")), "key")
+
+
+def _candidates(pieces: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of lines that share a key and whose counts of letters are near."""
+    signs = range(len(LETTERS))
+    counted = pieces.select("h", "key", (F.col("place") < 3).alias("indexed")).join(texts.select("h", *[F.col("c")[i].alias(f"c{i}") for i in signs]), "h")
+    index = counted.filter("indexed").select(F.col("h").alias("a"), *[F.col(f"c{i}").alias(f"ca{i}") for i in signs], "key")
+    probe = counted.select(F.col("h").alias("b"), *[F.col(f"c{i}").alias(f"cb{i}") for i in signs], "key")
+    on = (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & counts_near([F.col(f"ca{i}") for i in signs], [F.col(f"cb{i}") for i in signs])
+    return index.join(probe, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def near_lines(lines: DataFrame, min_near: int = MIN_NEAR) -> DataFrame:
     """Pairs ``a, b`` (a < b) of hashes of different lines within ``MAX_EDITS`` edits, both of ``min_near`` characters or more.
 
-    Few lines share a piece with another line; letters are counted, and texts are fetched, for those only.
+    Few lines share a piece with another line; letters are counted, and texts are fetched, for those only. Lines that share a common
+    piece (a licence's first words, a log's prefix) are not compared with each other: without the piece they are within as many
+    edits, so what is left of them is split again, and again, until pieces are rare or too short to be split. No pair is lost.
     """
     if min_near < LENGTH_CLASS + MAX_EDITS:
         raise ValueError(f"lines of fewer than {LENGTH_CLASS + MAX_EDITS} characters have no segments to meet by")
     long = lines.select("h", "line", "n").filter(F.col("n") >= min_near)
-    base, lower = F.col("n") - F.col("n") % LENGTH_CLASS, F.col("n") - MAX_EDITS - (F.col("n") - MAX_EDITS) % LENGTH_CLASS
-    here = segments(F.col("line"), F.col("n"), base, (0, -1, 1))
-    below = F.when(lower != base, F.array(*segments(F.col("line"), F.col("n"), lower, (0, -1, 1)))).otherwise(F.array().cast("array<bigint>"))
-    keyed = long.select("h", F.concat(F.array(*here), below).alias("keys"))
+    keyed = long.select("h", _keys(F.col("line"), F.col("n"), LENGTH_CLASS).alias("keys"))
     keyed = keyed.groupBy("h").agg(F.first("keys").alias("keys"))  # one row for all copies, made before the shuffle
-    pieces = keyed.select("h", F.posexplode("keys").alias("place", "key"))  # the first three are the index, all are looked up
-    shared = pieces.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.min("place").alias("first")).filter("lo <> hi and first < 3").select("key")
-    pieces = cut_lineage(pieces.join(shared, "key", "left_semi").select("h", "key", (F.col("place") < 3).alias("indexed")))
+    pieces = cut_lineage(_shared(keyed))
 
     wanted = pieces.select("h").distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_HASHES else wanted
     texts = long.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
     texts = cut_lineage(texts.select("h", "line", letter_counts(F.col("line"), F.length("line")).alias("c")))
-    signs = range(len(LETTERS))
-    counted = pieces.join(texts.select("h", *[F.col("c")[i].alias(f"c{i}") for i in signs]), "h")
-    index = counted.filter("indexed").select(F.col("h").alias("a"), *[F.col(f"c{i}").alias(f"ca{i}") for i in signs], "key")
-    probe = counted.select(F.col("h").alias("b"), *[F.col(f"c{i}").alias(f"cb{i}") for i in signs], "key")
-    on = (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & counts_near([F.col(f"ca{i}") for i in signs], [F.col(f"cb{i}") for i in signs])
-    pairs = index.join(probe, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    pairs = _candidates(pieces.filter("not common"), texts)
+    left = pieces.filter("common").join(texts.select("h", "line"), "h").withColumn("n", F.length("line"))
+    size = LENGTH_CLASS
+    while left.limit(1).count():
+        rests = left.select("h", F.col("key").alias("within"), _rest(F.col("line"), F.col("n"), F.col("place"), size).alias("line")).distinct().withColumn("n", F.length("line"))
+        size = REST_CLASS
+        pieces = cut_lineage(_shared(rests.withColumn("keys", _keys(F.col("line"), F.col("n"), size, F.col("within")))))
+        base, lower = _bases(F.col("n"), size)
+        empty = F.when(F.col("place") < 2 + len(SHIFTS), base).otherwise(lower) == 0  # nothing to take off
+        pairs = pairs.union(_candidates(pieces.filter(~F.col("common") | empty), texts))
+        left = pieces.filter(F.col("common") & ~empty)
     pairs = cut_lineage(pairs.distinct())
     texts = texts.drop("c")
     both = pairs.join(texts.withColumnsRenamed({"h": "a", "line": "la"}), "a").join(texts.withColumnsRenamed({"h": "b", "line": "lb"}), "b")

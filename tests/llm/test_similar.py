@@ -1,10 +1,14 @@
 """Near-duplicates of the pipeline against brute force over all pairs."""
 
+import itertools
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from spanweave.llm import common as common_module
-from spanweave.llm import jaccard
+from spanweave.llm import jaccard, linededup
 
 
 def plain_shingles(text):
@@ -65,3 +69,34 @@ def test_stage_with_one_id_for_two_texts(spark):
     docs = spark.createDataFrame([(1, one), (1, two), (1, two), (2, two), (None, one), (None, "c d e"), (None, "c d e")], "doc_id long, text string")
     kept = [tuple(r) for r in corpus_pipeline.copies_stage(spark, docs, "").collect()]
     assert sorted(kept, key=str) == sorted([(1, one), (1, two), (None, "c d e")], key=str)
+
+
+def edits(a, b):
+    """Edit distance, the plain way."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("common", [20, 10_000])
+def test_lines_with_common_pieces(spark, monkeypatch, common):
+    """Lines that begin, end or go on in the same way are split further; no pair is lost, whatever the bound."""
+    monkeypatch.setattr(linededup, "COMMON", common)
+    rng, lines = random.Random(1), set()
+    for head, tail in (("Copyright notice no. ", ""), ("", " and the same end of all lines"), ("#" * 24, ""), ("no ", "#" * 24)):
+        for _ in range(25):
+            line = head + "".join(rng.choice("01ab") for _ in range(rng.choice([3, 6, 12]))) + tail
+            lines.add(line)
+            for _ in range(2):
+                at, new = rng.randrange(len(line) + 1), rng.choice(["", "z", "9"])
+                lines.add(line[:at] + new + line[at + rng.randrange(2) :])
+    lines = sorted(x for x in lines if len(x) >= 20)
+    want = {(a, b) for a, b in itertools.combinations(lines, 2) if abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2}
+    df = spark.createDataFrame([(x,) for x in lines], "line string").withColumns({"h": F.xxhash64("line"), "n": F.length("line")})
+    name = {r.h: r.line for r in df.collect()}
+    got = [tuple(sorted((name[r.a], name[r.b]))) for r in linededup.near_lines(df, 20).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
