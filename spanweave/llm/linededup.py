@@ -25,7 +25,7 @@ LENGTH_CLASS = 16
 #: What is left of a line without a common piece is split by finer classes of length.
 REST_CLASS = 4
 #: A piece of more lines than this is a common one, whose lines must share a further piece.
-COMMON = 128
+COMMON = 1000
 #: A set of at most so many line hashes (8 bytes each) is broadcast; with a larger one the lines are shuffled.
 BROADCAST_HASHES = 1_000_000
 #: Letters that are counted (modulo 32) to compare lines cheaply; any would do.
