@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanweave.operators import timeseries
 from spanweave.operators.grid import grid, numbered
-from spanweave.plans.lineage import cut_lineage
+from spanweave.plans.lineage import cut_lineage, lookup
 
 
 def overhead_or_none(pairs: DataFrame, longer: str, shorter: str, calls: str) -> DataFrame:
@@ -130,11 +131,21 @@ def heights(df: DataFrame, bar: list[str], part: list[str], value: str) -> DataF
     return df.groupBy(*bar, *part).agg(F.avg(value).alias("m")).groupBy(*bar).agg(F.sum("m").alias(value))
 
 
-def extended_bins(bins: DataFrame, by: list[str], windows: DataFrame, period: int) -> DataFrame:
-    """Bins of the whole training time (``windows``: by, start_us, end_us) with whether they were busy: ``by, bin, busy``."""
-    span = F.sequence(F.floor(F.col("start_us") / period), F.floor(F.col("end_us") / period))
-    every = windows.select(*by, F.explode(span).alias("bin"))
-    return every.join(bins.select(*by, "bin", F.lit(True).alias("busy")), [*by, "bin"], "left").withColumn("busy", F.coalesce("busy", F.lit(False)))
+def extended_bins(events: DataFrame, by: list[str], windows: DataFrame, period: int) -> DataFrame:
+    """Bins of the whole training time (``windows``: by, start_us, end_us) with whether events touch them: ``by, bin, busy``.
+
+    Busy stretches of bins are rows, and so are the idle ones between them, until they are given out.
+    """
+    runs = timeseries.busy_runs(events, by, period)
+    spans = windows.select(*by, F.floor(F.col("start_us") / period).alias("lo"), F.floor(F.col("end_us") / period).alias("hi"))
+    inside = lookup(runs, spans, by, "inner").select(*by, F.greatest("first", "lo").alias("first"), F.least("last", "hi").alias("last"), "lo", "hi").filter("first <= last")
+    inside = cut_lineage(inside)
+    ahead = timeseries.following(grid(inside, by, "first").place(inside, bucket="first"), by, [F.col("first")], "first", "then")
+    ends = inside.groupBy(*by).agg(F.min("first").alias("__first"))
+    idle = ahead.select(*by, (F.col("last") + 1).alias("first"), (F.coalesce("then", F.col("hi") + 1) - 1).alias("last"))
+    before = spans.join(ends, by, "left").select(*by, F.col("lo").alias("first"), F.coalesce(F.col("__first") - 1, F.col("hi")).alias("last"))
+    rest = idle.union(before).filter("first <= last").withColumn("busy", F.lit(False))
+    return timeseries.each_bin(inside.select(*by, "first", "last", F.lit(True).alias("busy")).unionByName(rest), [*by, "busy"]).select(*by, "bin", "busy")
 
 
 def ranked(names: DataFrame, column: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanweave.operators.grid import following, grid
+from spanweave.operators.sweep import merge_adjacent
 from spanweave.plans.lineage import cut_lineage
 
 
@@ -25,16 +26,54 @@ def delay_stats(delayed: DataFrame, by: list[str]) -> DataFrame:
     return delayed.groupBy(*by, kind.alias("kind")).agg(F.avg("delay_us").alias("mean_us"), F.stddev_pop("delay_us").alias("std_us"), F.count("*").alias("n"))
 
 
+#: Bins of a run that are given out by one row.
+SPAN = 4096
+
+
+def busy_runs(events: DataFrame, by: list[str], period: int) -> DataFrame:
+    """Runs of neighbouring bins of width ``period`` (from the epoch) that events touch, ends included: ``by, first, last``. One row a run, however long."""
+    touched = events.filter("end_us >= start_us").select(*by, F.floor(F.col("start_us") / period).alias("start_us"), (F.floor(F.col("end_us") / period) + 1).alias("end_us"))
+    return merge_adjacent(touched, by).select(*by, F.col("start_us").alias("first"), (F.col("end_us") - 1).alias("last"))
+
+
+def each_bin(runs: DataFrame, rest: list[str]) -> DataFrame:
+    """A row for each bin of ``first`` to ``last``, with the ``rest`` of the columns; no array is longer than ``SPAN`` or the number of such."""
+    parts = runs.withColumn("__at", F.explode(F.sequence("first", "last", F.lit(SPAN).cast("long"))))
+    return parts.select(*rest, F.explode(F.sequence("__at", F.least(F.col("last"), F.col("__at") + SPAN - 1))).alias("bin"))
+
+
 def busy_bins(events: DataFrame, by: list[str], period: int) -> DataFrame:
     """Bins of width ``period`` (from the epoch) that an event touches, ends included: ``by, bin``."""
-    touched = F.sequence(F.floor(F.col("start_us") / period), F.floor(F.col("end_us") / period))
-    return events.select(*by, F.explode(touched).alias("bin")).distinct()
+    return each_bin(busy_runs(events, by, period), by)
+
 
+def sliding_runs(runs: DataFrame, by: list[str], n: int) -> DataFrame:
+    """Of each busy run, the parts along which the number of busy bins among the ``n`` before changes evenly.
 
-def sliding_utilization(bins: DataFrame, by: list[str], n: int) -> DataFrame:
+    Returns ``by, first, last, busy, step``: before the bin ``first`` there are ``busy`` such bins, and ``step`` (-1, 0 or 1) more with
+    each further bin. That number grows while a bin is busy and falls while the one n before was: a prefix sum over the ends of runs,
+    in two steps by buckets of time, so that neither a process nor a long event is one task.
+    """
+    ends = [("first", 0, 1, 1), ("last", 1, -1, -1), ("first", n, -1, 0), ("last", n + 1, 1, 0)]
+    marks = F.array(*[F.struct((F.col(c) + shift).alias("t"), F.lit(d).cast("long").alias("d"), F.lit(on).cast("long").alias("on")) for c, shift, d, on in ends])
+    runs = cut_lineage(runs)
+    each = runs.select(*by, F.explode(marks).alias("m")).select(*by, "m.t", "m.d", "m.on", (F.col("m.d") * F.col("m.t")).alias("dt"))
+    at = grid(runs, by, "first").place(each, bucket="t").groupBy(*by, "bucket", "t").agg(*[F.sum(c).alias(c) for c in ("d", "on", "dt")])
+    at = cut_lineage(at)
+    order = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = at.groupBy(*by, "bucket").agg(*[F.sum(c).alias(c) for c in ("d", "on", "dt")])
+    carried = sums.select(*by, "bucket", *[F.coalesce(F.sum(c).over(order), F.lit(0)).alias(f"c_{c}") for c in ("d", "on", "dt")])
+    within = Window.partitionBy(*by, "bucket").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    now = at.join(carried, [*by, "bucket"]).withColumns({f"n_{c}": F.col(f"c_{c}") + F.sum(c).over(within) for c in ("d", "on", "dt")})
+    ahead = following(now, by, [F.col("t")], "t", "next_t").filter("n_on > 0")
+    return ahead.select(*by, F.col("t").alias("first"), (F.col("next_t") - 1).alias("last"), (F.col("t") * F.col("n_d") - F.col("n_dt")).alias("busy"), F.col("n_d").alias("step"))
+
+
+def sliding_utilization(events: DataFrame, by: list[str], period: int, n: int) -> DataFrame:
     """For each busy bin, the share of the ``n`` bins strictly before it that are busy: ``by, bin, util``."""
-    w = Window.partitionBy(*by).orderBy("bin").rangeBetween(-n, -1)
-    return bins.withColumn("util", F.count("*").over(w) / n)
+    parts = sliding_runs(busy_runs(events, by, period), by, n)
+    each = each_bin(parts, [*by, "first", "busy", "step"])
+    return each.select(*by, "bin", ((F.col("busy") + F.col("step") * (F.col("bin") - F.col("first"))) / n).alias("util"))
 
 
 def trace_percent(samples: DataFrame, by: list[str], time: str) -> DataFrame:
@@ -53,27 +92,55 @@ def device_ids(samples: DataFrame, by: list[str], time: str, order: str) -> Data
 def moving_average(samples: DataFrame, by: list[str], step_us: int, decay: float = 0.99) -> DataFrame:
     """An average that moves by ``decay`` towards each new sample, read off on a grid of ``step_us``.
 
-    ``samples``: by, t, x. The grid begins with the group's first sample; a point is given out once a sample lies
-    beyond it, so that the tail gives none. Returns ``by, t, ema``. One group's samples are folded in order of
-    time within a task, batch after batch: only the running value is held.
-    """
-    dealt = samples.select(*by, "t", "x").repartition(*by).sortWithinPartitions(*by, "t", "x")
+    ``samples``: by, t, x, of equal times by x. The grid begins with the group's first sample; a point holds the average after all samples
+    up to it, and is given out if a sample lies beyond it, so that the tail gives none. Returns ``by, t, ema``.
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, ema, at = None, 0.0, 0
-        for batch in batches:
-            out: list[tuple] = []
-            for row in batch.itertuples(index=False):
-                if (mine := tuple(row[: len(by)])) != group:
-                    group, ema, at = mine, 0.0, row.t
-                while row.t > at + step_us:
-                    at += step_us
-                    out.append((*mine, at, ema))
-                ema = decay * row.x + (1 - decay) * ema
-            yield pd.DataFrame(out, columns=[*by, "t", "ema"])
-
-    kinds = dict(samples.dtypes)
-    return dealt.mapInPandas(fold, ", ".join([*(f"{c} {kinds[c]}" for c in by), "t long", "ema double"]))
+    What a run of samples makes of the average is an affine map; those of neighbouring runs compose. So each bucket of time is folded
+    once from 0, the maps of the buckets (a row each) give the average at each one's begin, and the points between a bucket's samples and
+    the next one's follow from there: a task holds a bucket, never a group.
+    """
+    keys = [f"k{i}" for i in range(len(by))]
+    rows = cut_lineage(samples.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col("t").cast("long").alias("t"), F.col("x").cast("double").alias("x")))
+    dealt = cut_lineage(grid(rows, keys, "t").place(rows, bucket="t"))
+    kinds = dict(rows.dtypes)
+    group = ", ".join(f"{k} {kinds[k]}" for k in keys)
+
+    def total(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        ema = 0.0
+        for x in part.sort_values(["t", "x"])["x"]:
+            ema = decay * x + (1 - decay) * ema
+        return pd.DataFrame([(*key, len(part), ema, int(part["t"].min()))], columns=[*keys, "bucket", "n", "ema", "first_t"])
+
+    maps = dealt.groupBy(*keys, "bucket").applyInPandas(total, f"{group}, bucket long, n long, ema double, first_t long")
+
+    def carried(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part, ema, before = part.sort_values("bucket"), 0.0, []
+        for n, own in zip(part["n"], part["ema"], strict=True):
+            before.append(ema)
+            ema = own + (1 - decay) ** n * ema
+        return part.assign(before=before, t0=part["first_t"].min(), next_t=part["first_t"].shift(-1).astype("Int64"))[[*keys, "bucket", "before", "t0", "next_t"]]
+
+    begins = cut_lineage(maps.groupBy(*keys).applyInPandas(carried, f"{group}, bucket long, before double, t0 long, next_t long"))
+
+    def points(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["t", "x"])
+        ema, t0, end = part["before"].iloc[0], int(part["t0"].iloc[0]), part["next_t"].iloc[0]
+        times, values, out = part["t"].tolist(), part["x"].tolist(), []
+        ahead = [*times[1:], None if pd.isna(end) else int(end)]
+        for t, x, then in zip(times, values, ahead, strict=True):
+            ema = decay * x + (1 - decay) * ema
+            if then is not None:
+                # The points that lie at or after this sample and before the next one, and after the first sample of all.
+                first, last = max(1, -((t0 - t) // step_us)), -((t0 - then) // step_us) - 1
+                if last >= first:
+                    out.append((*key[: len(keys)], t0 + first * step_us, t0 + last * step_us, ema))
+        return pd.DataFrame(out, columns=[*keys, "first", "last", "ema"]).astype({"first": "int64", "last": "int64", "ema": "float64"})
+
+    given = dealt.join(begins, [*keys, "bucket"])
+    runs = given.groupBy(*keys, "bucket").applyInPandas(points, f"{group}, first long, last long, ema double")
+    out = runs.withColumn("__at", F.explode(F.sequence("first", "last", F.lit(SPAN * step_us).cast("long"))))
+    out = out.withColumn("t", F.explode(F.sequence("__at", F.least(F.col("last"), F.col("__at") + (SPAN - 1) * step_us), F.lit(step_us).cast("long"))))
+    return out.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], "t", "ema")
 
 
 def lanes(events: DataFrame, by: list[str]) -> DataFrame:

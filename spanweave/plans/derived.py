@@ -242,8 +242,7 @@ def a25_summary(spark, d):
 )
 def w4(spark, d):
     events = trace(spark, d)
-    bins = timeseries.busy_bins(events.filter("category = 'GPU'"), ["process"], PERIOD)
-    return calibration.extended_bins(bins, ["process"], events.groupBy("process").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us")), PERIOD)
+    return calibration.extended_bins(events.filter("category = 'GPU'"), ["process"], events.groupBy("process").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us")), PERIOD)
 
 
 @query(

@@ -584,7 +584,14 @@ def w1_stats(spark, d):
     return timeseries.delay_stats(timeseries.delays(trace(spark, d), by), by)
 
 
-@query("w2_ema")
+EMA_SQL = f"""WITH RECURSIVE {TRACE_SQL},
+s AS MATERIALIZED (SELECT process, start_us AS t, duration_us / 3e10 AS x, row_number() OVER (PARTITION BY process ORDER BY start_us, duration_us) AS i FROM t),
+m AS (SELECT process, i, t, CAST(0.99 * x AS DOUBLE) AS ema FROM s WHERE i = 1 UNION ALL SELECT s.process, s.i, s.t, CAST(0.99 * s.x + (1 - 0.99::DOUBLE) * m.ema AS DOUBLE) FROM m JOIN s ON s.process = m.process AND s.i = m.i + 1),
+b AS (SELECT process, t, ema, min(t) OVER (PARTITION BY process) AS t0, lead(t) OVER (PARTITION BY process ORDER BY i) AS next_t FROM m)
+SELECT process, t0 + k * 3600000000 AS t, ema FROM (SELECT *, unnest(range(greatest(1, (t - t0 + 3599999999) // 3600000000), (next_t - t0 + 3599999999) // 3600000000)) AS k FROM b WHERE next_t IS NOT NULL)"""
+
+
+@query("w2_ema", EMA_SQL)
 def w2(spark, d):
     samples = trace(spark, d).select("process", F.col("start_us").alias("t"), (F.col("duration_us") / 3e10).alias("x"))
     return timeseries.moving_average(samples, ["process"], 3_600_000_000)
@@ -601,7 +608,7 @@ def w3(spark, d):
 
 @query("w5_sliding_util", BINS_SQL + " SELECT process, bin, count(*) OVER (PARTITION BY process ORDER BY bin RANGE BETWEEN 12 PRECEDING AND 1 PRECEDING) / 12.0 AS util FROM b")
 def w5(spark, d):
-    return timeseries.sliding_utilization(timeseries.busy_bins(trace(spark, d).filter("category = 'GPU'"), ["process"], PERIOD), ["process"], 12)
+    return timeseries.sliding_utilization(trace(spark, d).filter("category = 'GPU'"), ["process"], PERIOD, 12)
 
 
 @query("w6_trace_percent", f"WITH {TRACE_SQL} SELECT process, event_id, (start_us - min(start_us) OVER w)::DOUBLE / (max(start_us) OVER w - min(start_us) OVER w) AS trace_percent FROM t WINDOW w AS (PARTITION BY process)")
