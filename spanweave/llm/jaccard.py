@@ -10,11 +10,13 @@ would take more room than the texts.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from itertools import chain
+from collections.abc import Callable, Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,22 +110,48 @@ def _first(s: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
     return first, max(0, len(first) - int((~last).sum()))
 
 
-PREFIXED = "struct<node:long,n:int,first:array<long>,n_common:int>"
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``CHUNK`` bytes of ``text``: a worker has the sets of one slice at a time, however many rows a batch has."""
+    for batch in batches:
+        ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(ends // CHUNK)) + 1).tolist(), len(ends)]
+        yield from (batch.slice(at, to - at) for at, to in pairwise(cuts) if at < to)
 
 
-def _prefixes(common: np.ndarray) -> Callable[[pd.Series], pd.DataFrame]:
-    def made(texts: pd.Series) -> pd.DataFrame:
-        rows = [(_node(s), len(s), *_first(s, common)) for part in _in_chunks(texts) for s in shingle_sets(part)]
-        return pd.DataFrame(rows, columns=["node", "n", "first", "n_common"])
+def _longs(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))
+
+
+def _prefix_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``key``: the prefixes by hash of all sets."""
+    for part in _parts(batches):
+        yield pa.RecordBatch.from_arrays([_longs([s[: len(s) // 5 + 1] for s in shingle_sets(part.column("text").to_pylist())])], ["key"])
+
+
+PREFIXED = "version long, node long, n int, first array<long>, n_common int"
+
+
+def _prefixes(common: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each row's set (``PREFIXED``), of rows of ``version, text``."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            sets = shingle_sets(part.column("text").to_pylist())
+            first = [_first(s, common) for s in sets]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(f) for f, _ in first)]), pa.int32()), _longs([f for f, _ in first]))
+            columns = [part.column("version"), pa.array(map(_node, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), lists, pa.array([n for _, n in first], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["version", "node", "n", "first", "n_common"])
 
     return made
 
 
-def _all_if_common(common: np.ndarray) -> Callable[[pd.Series], pd.Series]:
-    """All members of the sets that have one of ``common`` in their prefixes by hash."""
+def _all_if_common(common: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``key``: all members of the sets that have one of ``common`` in their prefixes by hash."""
 
-    def made(texts: pd.Series) -> pd.Series:
-        return pd.Series([s if _common(s[: len(s) // 5 + 1], common).any() else s[:0] for part in _in_chunks(texts) for s in shingle_sets(part)], dtype=object)
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            sets = shingle_sets(part.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([_longs([s for s in sets if _common(s[: len(s) // 5 + 1], common).any()])], ["key"])
 
     return made
 
@@ -147,16 +175,16 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``node, version, n, first, n_common`` of each set that has members, once; and the common shingles (``key``)."""
     nothing = np.zeros(0, np.int64)
-    first = docs.select(F.explode(F.pandas_udf(_prefixes(nothing), PREFIXED)("text")["first"]).alias("key"))
+    first = docs.select("text").mapInArrow(_prefix_keys, "key long")
     common = cut_lineage(first.groupBy("key").count().filter(F.col("count") > COMMON).select("key"))
     known = _known(common)
     if known is not None:
         # What else the texts with such a shingle have in common with many of them, and not in their prefixes only.
-        every = docs.select(F.explode(F.pandas_udf(_all_if_common(known), "array<long>")("text")).alias("key"))
+        every = docs.select("text").mapInArrow(_all_if_common(known), "key long")
         common = cut_lineage(every.groupBy("key").count().filter(F.col("count") > COMMON).select("key"))
         known = _known(common)
-    made = docs.select(F.xxhash64("text").alias("version"), F.pandas_udf(_prefixes(nothing if known is None else known), PREFIXED)("text").alias("s"))
-    once = made.groupBy("s.node").agg(F.first(F.struct("version", "s.n", "s.first", "s.n_common")).alias("x"))
+    made = docs.select(F.xxhash64("text").alias("version"), "text").mapInArrow(_prefixes(nothing if known is None else known), PREFIXED)
+    once = made.groupBy("node").agg(F.first(F.struct("version", "n", "first", "n_common")).alias("x"))
     nodes = cut_lineage(once.filter("x.n > 0").select("node", "x.*"))  # filtered here, as a filter before would make all sets twice
     return (nodes, common) if known is not None else _reordered(docs, nodes, common)
 

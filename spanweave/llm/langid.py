@@ -214,10 +214,6 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
     return names, scores
 
 
-def _all_bytes(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t.encode("utf-8", "surrogatepass"))
-
-
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """A model of the languages in ``lang`` of ``docs`` (``doc_id, text, lang``).
 
@@ -233,7 +229,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     each = max(1.0, min(settings.docs_per_language, settings.max_docs / len(counts)))
     shares = docs.sparkSession.createDataFrame([(x, each / n) for x, n in counts.items()], "lang string, share double")
     chosen = known.join(F.broadcast(shares), "lang").filter(drawn(F.col("share"), "langid", "doc_id"))  # a row a language
-    got = chosen.select("lang", F.pandas_udf(_all_bytes, "binary")("text").alias("b")).toArrow().sort_by("lang")
+    got = chosen.select("lang", F.col("text").cast("binary").alias("b")).toArrow().sort_by("lang")
     if not len(got):
         return new_model([], settings)
     of_each = [to_windows(b.as_py()) for b in got["b"]]
