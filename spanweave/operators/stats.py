@@ -26,11 +26,11 @@ RANGES = 4096
 
 
 def quantiles(df: DataFrame, value: str, wanted: list[float]) -> list[float | None]:
-    """Exact quantiles, linear between neighbours; None if there is no value. Nulls don't count.
+    """Exact quantiles, linear between neighbours; None if there is no value. Nulls and NaN don't count.
 
     Values are counted in ranges of equal width; only the ranges that hold a rank that is asked for are put in order.
     """
-    x = df.select(F.col(value).cast("double").alias("x")).filter("x is not null")
+    x = df.select(F.col(value).cast("double").alias("x")).filter("x is not null and not isnan(x)")
     lo, hi, n = x.agg(F.min("x"), F.max("x"), F.count("*")).first()
     if not n or lo == hi:
         return [lo for _ in wanted]
@@ -50,7 +50,7 @@ def quantiles(df: DataFrame, value: str, wanted: list[float]) -> list[float | No
 
 
 def without_outliers(df: DataFrame, value: str) -> DataFrame:
-    """Rows within one and a half interquartile ranges around the quartiles (exact, linear interpolation)."""
+    """Rows within one and a half interquartile ranges around the quartiles (exact, linear interpolation); nulls and NaN are left out."""
     low, high = quantiles(df, value, [0.25, 0.75])
     if low is None:
         return df.limit(0)
@@ -91,14 +91,20 @@ def mean_of_repetitions(df: DataFrame, by: list[str], repetition: str, value: st
 
 
 def row_by_row(left: DataFrame, right: DataFrame, by: list[str], order: str, suffixes: tuple[str, str]) -> DataFrame:
-    """Joins the i-th rows of both sides in each group; the other columns get the suffixes. Groups are repetitions of one setting."""
-    w = Window.partitionBy(*by).orderBy(order)
+    """Joins the i-th rows of both sides in each group; the other columns get the suffixes. Groups are repetitions of one setting.
+
+    A group of which one side has more rows than the other is an error when the result is read; a null group pairs with none, so it is one, too.
+    """
+    w = Window.partitionBy(*by)
 
     def numbered(df: DataFrame, suffix: str) -> DataFrame:
         rest = {c: c + suffix for c in df.columns if c not in by}
-        return df.withColumn("row_id", F.row_number().over(w)).withColumnsRenamed(rest)
+        return df.withColumnsRenamed(rest).withColumn("row_id", F.row_number().over(w.orderBy(order + suffix))).withColumn(f"__there{suffix}", F.lit(True))
 
-    return numbered(left, suffixes[0]).join(numbered(right, suffixes[1]), [*by, "row_id"])
+    both = numbered(left, suffixes[0]).join(numbered(right, suffixes[1]), [*by, "row_id"], "full_outer")
+    there = [F.coalesce(f"__there{x}", F.lit(False)) for x in suffixes]
+    paired = F.assert_true(there[0] & there[1], "row_by_row: one side of a group has more rows than the other")
+    return both.filter(paired.isNull()).drop(*[f"__there{x}" for x in suffixes])
 
 
 def overhead_per_call(pairs: DataFrame, by: list[str], longer: str, shorter: str, calls: str) -> DataFrame:

@@ -293,3 +293,17 @@ def test_quantiles_as_numpy(spark, monkeypatch, ranges):
         df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
         assert stats.quantiles(df, "v", [0, 0.25, 0.5, 0.9, 1]) == pytest.approx(np.quantile(values, [0, 0.25, 0.5, 0.9, 1]).tolist())
     assert stats.quantiles(df.limit(0), "v", [0.5]) == [None]
+
+
+def test_rows_without_a_partner_are_an_error(spark):
+    left = spark.createDataFrame([("a", 1, 5), ("a", 2, 6)], "k string, rep int, v int")
+    both = stats.row_by_row(left, left, ["k"], "rep", ("_x", "_y")).collect()
+    assert sorted((r.row_id, r.v_x, r.v_y) for r in both) == [(1, 5, 5), (2, 6, 6)]
+    with pytest.raises(Exception, match="more rows than the other"):
+        stats.row_by_row(left, left.filter("rep = 1"), ["k"], "rep", ("_x", "_y")).collect()
+
+
+def test_quantiles_leave_out_nan(spark):
+    df = spark.createDataFrame([(float(x),) for x in range(1, 6)] + [(float("nan"),), (None,)], "x double")
+    assert stats.quantiles(df, "x", [0.5]) == [3.0]
+    assert sorted(r.x for r in stats.without_outliers(df, "x").collect()) == [1.0, 2.0, 3.0, 4.0, 5.0]
