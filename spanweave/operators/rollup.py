@@ -67,17 +67,59 @@ def profiling_overhead(keyed: DataFrame, by: list[str] = KEYS) -> DataFrame:
     return _sums(keyed.withColumn("overhead", F.when(real, F.array(F.lit("Corrected training time"))).otherwise(over)), *by, "overhead")
 
 
-def venn_inclusive(sizes: DataFrame, by: list[str], labels: str = "region", size: str = "time_us") -> DataFrame:
-    """Exclusive sizes of sets to inclusive ones: every set, and every single label, gets all that contain it.
+#: Labels of one step of the sums over supersets, and labels of a group up to which these steps are taken.
+BLOCK, LATTICE_LABELS = 6, 60
+
+
+def superset_sums(have: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
+    """For each set that is ``wanted`` (by, set) the sum of all sets that hold it (``have``: by, set, s): ``by, set, s``; none if there is none.
 
-    Each row goes to the subsets of its own set that are asked for: those that are rows, and single labels.
+    Each row of ``have`` is spread over the subsets of its labels, a few labels at a time: what is alike so far is added up, and what is no
+    beginning of a wanted set goes, so sets never meet in pairs. Groups of more than ``LATTICE_LABELS`` labels meet by each wanted set's rarest label.
     """
-    singles = sizes.select(*by, F.transform(F.col(labels), lambda x: F.array(x)).alias("s")).select(*by, F.explode("s").alias("want"))
-    wanted = sizes.select(*by, F.col(labels).alias("want")).union(singles).distinct()
-    have = sizes.select(*by, F.col(labels).alias("have"), F.col(size).alias("size"))
-    inside = F.size(F.array_except("want", "have")) == 0
-    # Both sides have at most one row for each set of labels of one report.
-    return wanted.join(have, by).filter(inside).groupBy(*by, F.col("want").alias(labels)).agg(F.sum("size").alias(size))
+    have, wanted = cut_lineage(have.select(*by, "set", "s")), cut_lineage(wanted.select(*by, "set").distinct())
+    labels = have.select(*by, F.explode_outer("set").alias("label")).groupBy(*by, "label").agg(F.count("*").alias("n"))
+    counts = cut_lineage(labels.groupBy(*by).agg(F.count("label").alias("n_labels")))
+    most = counts.agg(F.max("n_labels")).first()[0] or 0
+    small = counts.filter(F.col("n_labels") <= LATTICE_LABELS).select(*by)
+    few = labels.join(small, by, "left_semi").groupBy(*by).agg(F.array_sort(F.collect_list("label")).alias("names"))
+    blocks = [f"b{i}" for i in range(-(-min(most, LATTICE_LABELS) // BLOCK))]
+
+    def coded(df: DataFrame) -> DataFrame:
+        bits = F.transform("set", lambda x: F.array_position("names", x).cast("int") - 1)
+        known = df.join(few, by).withColumn("bits", F.array_distinct(bits)).filter(~F.array_contains("bits", -1))
+
+        def block(i: int) -> Column:
+            own = F.filter("bits", lambda b: F.floor(b / BLOCK) == i)
+            return F.aggregate(own, F.lit(0), lambda a, b: a + F.pow(F.lit(2), b % BLOCK).cast("int"))
+
+        return known.withColumns({c: block(i) for i, c in enumerate(blocks)}).drop("names", "bits")
+
+    spark = have.sparkSession
+    subsets = spark.createDataFrame([(m, t) for m in range(2**BLOCK) for t in range(2**BLOCK) if m & t == t], "mask int, sub int")
+    asked = cut_lineage(coded(wanted))
+    sums = coded(have).groupBy(*by, *blocks).agg(F.sum("s").alias("s"))
+    for i, c in enumerate(blocks):
+        begun = [*by, *blocks[: i + 1]]
+        spread = sums.join(F.broadcast(subsets), F.col(c) == F.col("mask")).drop(c, "mask").withColumnRenamed("sub", c)
+        sums = spread.join(asked.select(*begun).distinct(), begun, "left_semi").groupBy(*by, *blocks).agg(F.sum("s").alias("s"))
+    out = asked.join(sums, [*by, *blocks]).select(*by, "set", "s")
+    if most <= LATTICE_LABELS:
+        return out
+    many = counts.filter(F.col("n_labels") > LATTICE_LABELS).select(*by)
+    mine = wanted.join(many, by, "left_semi").select(*by, "set", F.explode("set").alias("label"))
+    rarest = mine.join(labels, [*by, "label"]).groupBy(*by, "set").agg(F.min_by("label", F.struct("n", "label")).alias("label"))
+    holding = have.join(many, by, "left_semi").select(*by, F.col("set").alias("above"), "s", F.explode(F.array_distinct("set")).alias("label"))
+    met = rarest.join(holding, [*by, "label"]).filter(F.size(F.array_except("set", "above")) == 0).groupBy(*by, "set").agg(F.sum("s").alias("s"))
+    everything = wanted.join(many, by, "left_semi").filter(F.size("set") == 0).join(have.groupBy(*by).agg(F.sum("s").alias("s")), by)
+    return out.unionByName(met).unionByName(everything.select(*by, "set", "s"))
+
+
+def venn_inclusive(sizes: DataFrame, by: list[str], labels: str = "region", size: str = "time_us") -> DataFrame:
+    """Exclusive sizes of sets to inclusive ones: every set, and every single label, gets all that contain it."""
+    have = cut_lineage(sizes.select(*by, F.col(labels).alias("set"), F.col(size).alias("s")))
+    singles = have.select(*by, F.explode(F.transform("set", lambda x: F.array(x))).alias("set"))
+    return superset_sums(have, have.select(*by, "set").union(singles), by).select(*by, F.col("set").alias(labels), F.col("s").alias(size))
 
 
 def venn_exclusive(sizes: DataFrame, by: list[str], most: int, labels: str = "region", size: str = "time_us") -> DataFrame:
@@ -85,26 +127,23 @@ def venn_exclusive(sizes: DataFrame, by: list[str], most: int, labels: str = "re
 
     Sets of size 0 are left out. Each level is written to the shared folder, as the next ones need it.
     """
-    sizes = cut_lineage(sizes)
-    done: DataFrame | None = None
-    for n in range(most, 0, -1):
-        level = sizes.filter(F.size(labels) == n).select(*by, F.col(labels).alias("set"), F.col(size).alias("size"))
-        if done is not None:
-            above = done.select(*by, F.col("set").alias("above"), F.col("size").alias("more"))
-            inside = level.join(above, by).filter((F.size("above") > n) & (F.size(F.array_except("set", "above")) == 0))
-            less = inside.groupBy(*by, "set").agg(F.sum("more").alias("less"))
-            level = level.join(less, [*by, "set"], "left").select(*by, "set", (F.col("size") - F.coalesce("less", F.lit(0))).alias("size"))
-        level = cut_lineage(level)
-        done = level if done is None else done.unionByName(level)
-    return done.filter("size <> 0").select(*by, F.col("set").alias(labels), F.col("size").alias(size))
+    sizes = cut_lineage(sizes.select(*by, F.col(labels).alias("set"), F.col(size).alias("s")))
+    levels = sorted((r[0] for r in sizes.select(F.size("set").alias("n")).filter(F.col("n").between(1, most)).distinct().collect()), reverse=True)
+    done = sizes.limit(0)
+    for n in levels:
+        level = sizes.filter(F.size("set") == n)
+        if n != levels[0]:
+            less = superset_sums(done, level, by).withColumnRenamed("s", "less")
+            level = level.join(less, [*by, "set"], "left").select(*by, "set", (F.col("s") - F.coalesce("less", F.lit(0))).alias("s"))
+        done = cut_lineage(done.unionByName(level))
+    return done.filter("s <> 0").select(*by, F.col("set").alias(labels), F.col("s").alias(size))
 
 
 def stacked_sizes(sizes: DataFrame, by: list[str], labels: str = "region", size: str = "time_us") -> DataFrame:
     """Inclusive sizes less those of all strict supersets as they are (the legacy bar heights)."""
-    above = sizes.select(*by, F.col(labels).alias("above"), F.col(size).alias("more"))
-    inside = sizes.join(above, by).filter((F.size("above") > F.size(labels)) & (F.size(F.array_except(labels, "above")) == 0))
-    less = inside.groupBy(*by, labels).agg(F.sum("more").alias("less"))
-    return sizes.join(less, [*by, labels], "left").select(*by, labels, (F.col(size) - F.coalesce("less", F.lit(0))).alias(size))
+    have = cut_lineage(sizes.select(*by, F.col(labels).alias("set"), F.col(size).alias("s")))
+    sums = superset_sums(have, have, by).withColumnRenamed("s", "all")
+    return have.join(sums, [*by, "set"]).select(*by, F.col("set").alias(labels), (2 * F.col("s") - F.col("all")).alias(size))
 
 
 def subplot_from_overlap(overlap: DataFrame, by: list[str], labels: str = "resources", size: str = "time_us") -> DataFrame:

@@ -21,30 +21,50 @@ def call_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.sum(value).alias("sum"), F.min(value).alias("min"), F.avg(value).alias("avg"), F.stddev_pop(value).alias("std"), F.count(value).alias("n"))
 
 
-#: Ranges of values that are counted to find quantiles.
-RANGES = 4096
+#: A range of values is split into so many at a time; one of at most ``FEW`` rows is put in order.
+RANGES, FEW = 256, 100_000
 
 
 def quantiles(df: DataFrame, value: str, wanted: list[float]) -> list[float | None]:
     """Exact quantiles, linear between neighbours; None if there is no value. Nulls and NaN don't count.
 
-    Values are counted in ranges of equal width; only the ranges that hold a rank that is asked for are put in order.
+    A range of values that holds a rank that is asked for is split at approximate quantiles of its own rows, and the parts are counted,
+    until it has few rows or one value: far outliers and ties make no range larger, and no task orders more than ``FEW`` rows.
     """
     x = df.select(F.col(value).cast("double").alias("x")).filter("x is not null and not isnan(x)")
     lo, hi, n = x.agg(F.min("x"), F.max("x"), F.count("*")).first()
-    if not n or lo == hi:
-        return [lo for _ in wanted]
-    ranged = x.withColumn("range", F.least(F.lit(RANGES - 1), F.floor((F.col("x") - lo) / (hi - lo) * RANGES).cast("int")))
-    before, starts = 0, {}
-    for r in sorted(ranged.groupBy("range").count().collect()):
-        starts[r["range"]], before = before, before + r["count"]
+    if not n:
+        return [None for _ in wanted]
     ranks = sorted({f((n - 1) * q) for q in wanted for f in (math.floor, math.ceil)})
-    homes = {k: max(r for r, s in starts.items() if s <= k) for k in ranks}
-    some = ranged.filter(F.col("range").isin(*set(homes.values()))).groupBy("range", "x").agg(F.count("*").alias("c"))
-    upto = some.withColumn("upto", F.sum("c").over(Window.partitionBy("range").orderBy("x")))
-    asked = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(r).alias("home"), F.lit(k - starts[r]).alias("within")) for k, r in homes.items()])
-    found = upto.withColumn("a", F.explode(asked)).filter("a.home = range and a.within < upto and a.within >= upto - c")
-    at = {r["rank"]: r["x"] for r in found.select("a.rank", "x").collect()}
+    # For each rank the range that holds it: its least and greatest value, the rows before it, and its own rows.
+    homes = dict.fromkeys(ranks, (lo, hi, 0, n))
+
+    def within(ranges: list[tuple], **more: list) -> DataFrame:
+        rows = [(i, r[0], r[1], *[m[i] for m in more.values()]) for i, r in enumerate(ranges)]
+        schema = ", ".join(["i int, lo double, hi double", *(f"{name} array<double>" for name in more)])
+        return x.join(F.broadcast(df.sparkSession.createDataFrame(rows, schema)), F.col("x").between(F.col("lo"), F.col("hi")))
+
+    while large := sorted({h for h in homes.values() if h[0] < h[1] and h[3] > FEW}):
+        points = [i / RANGES for i in range(1, RANGES)] or [0.5]
+        above = F.min(F.when(F.col("x") > F.col("lo"), F.col("x")))
+        found = within(large).groupBy("i", "lo").agg(F.percentile_approx("x", points, 4 * len(points)).alias("q"), above.alias("above")).collect()
+        cuts = {r["i"]: sorted({r["above"], *(c for c in r["q"] if c > r["lo"])}) for r in found}
+        part = F.size(F.filter("cuts", lambda c: c <= F.col("x")))
+        counted = within(large, cuts=[cuts[i] for i in range(len(large))]).groupBy("i", part.alias("part"))
+        parts = sorted(counted.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).collect())
+        for i, home in enumerate(large):
+            before = home[2]
+            for r in [r for r in parts if r["i"] == i]:
+                for k in [k for k in ranks if homes[k] == home and before <= k < before + r["n"]]:
+                    homes[k] = (r["lo"], r["hi"], before, r["n"])
+                before += r["n"]
+    at = {k: h[0] for k, h in homes.items() if h[0] == h[1]}
+    if small := sorted({h for h in homes.values() if h[0] < h[1]}):
+        some = within(small).groupBy("i", "x").agg(F.count("*").alias("c"))
+        upto = some.withColumn("upto", F.sum("c").over(Window.partitionBy("i").orderBy("x")))
+        asked = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(small.index(h)).alias("home"), F.lit(k - h[2]).alias("within")) for k, h in homes.items() if h in small])
+        found = upto.withColumn("a", F.explode(asked)).filter("a.home = i and a.within < upto and a.within >= upto - c")
+        at |= {r["rank"]: r["x"] for r in found.select("a.rank", "x").collect()}
     places = [(n - 1) * q for q in wanted]
     return [at[math.floor(p)] + (p - math.floor(p)) * (at[math.ceil(p)] - at[math.floor(p)]) for p in places]
 

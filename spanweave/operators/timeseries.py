@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,28 +143,79 @@ def moving_average(samples: DataFrame, by: list[str], step_us: int, decay: float
 
 
 def lanes(events: DataFrame, by: list[str]) -> DataFrame:
-    """A lane for each event such that no lane has overlapping ones: the one used last among those that are free.
+    """A lane for each event such that no lane has overlapping ones: the one that ended last among those that are free.
 
-    ``events``: by, event_id, start_us, end_us. The choice depends on all earlier events of a group, so a group is
-    folded in order within a task; only the lanes' ends are held.
+    ``events``: by, event_id, start_us, end_us; adds ``lane``. Of lanes that ended at the same time the one whose event comes last by start,
+    end and id is taken. An event that ends before it starts counts as one that ends at once. An empty table gives none.
+
+    Free lanes are a stack: an event's end puts its lane on top, and a start takes the top one. So a bucket of time is worked on without
+    knowing what was before: its starts take lanes that were freed in it, else the first, second, … of the stack as it was (numbered
+    -1, -2, …); lanes of events that began earlier are named by these events (0, 1, …). What a bucket does is then told by what it
+    takes off the stack, leaves on it, and hands on as active. Only these rows are folded in order of a group, streamed through a task.
     """
-    dealt = events.select(*by, "event_id", "start_us", "end_us").repartition(*by).sortWithinPartitions(*by, "start_us", "end_us", "event_id")
+    keys = [f"k{i}" for i in range(len(by))]
+    named = [F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]
+    rows = cut_lineage(events.select(*named, "event_id", "start_us", "end_us", F.greatest("start_us", "end_us").alias("done_us"), F.monotonically_increasing_id().alias("uid")))
+    placed = cut_lineage(grid(rows, keys, "start_us").place(rows, bucket="start_us", until="done_us"))
+    kinds = dict(rows.dtypes)
+    group = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    here = placed.withColumn("came", F.lit(False))
+    later = placed.filter("until > bucket").withColumn("bucket", F.col("until")).withColumn("came", F.lit(True))
+
+    def bucket_of(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        points = []
+        for r in part.itertuples(index=False):
+            rest = (r.done_us, r.event_id, r.uid)
+            if not r.came:
+                points.append((r.start_us, 1, *rest, 0))
+            if r.came or r.until == r.bucket:
+                points.append((r.done_us, 0, r.start_us, *rest[1:], 1) if r.done_us > r.start_us else (r.done_us, 1, *rest, 1))
+        stack, taken, lane = [], 0, {uid: uid for uid in part.loc[part["came"], "uid"].tolist()}
+        out = [(1, 0, uid, uid) for uid in lane]
+        for *_, uid, ends in sorted(points):
+            if ends:
+                stack.append(lane[uid])
+            elif stack:
+                lane[uid] = stack.pop()
+            else:
+                taken += 1
+                lane[uid] = -taken
+        own = part.loc[~part["came"]]
+        out += [(0, n, -n, -1) for n in range(1, taken + 1)]
+        out += [(2, n, symbol, -1) for n, symbol in enumerate(stack)]
+        out += [(3 if until > bucket else 4, 0, lane[uid], uid) for uid, until, bucket in zip(own["uid"], own["until"], own["bucket"], strict=True)]
+        return pd.DataFrame([(*key, *o) for o in out], columns=[*keys, "bucket", "kind", "place", "symbol", "uid"])
+
+    made = here.unionByName(later).groupBy(*keys, "bucket").applyInPandas(bucket_of, f"{group}, bucket long, kind int, place long, symbol long, uid long")
+    made = cut_lineage(made)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, ends = None, np.zeros(0, dtype=np.int64)
+        group, at, n, stack, active, now = None, None, 0, [], {}, {}
         for batch in batches:
-            lane = []
+            found = []
             for row in batch.itertuples(index=False):
-                if (mine := tuple(row[: len(by)])) != group:
-                    group, ends = mine, np.zeros(0, dtype=np.int64)
-                free = np.flatnonzero(ends <= row.start_us)
-                if len(free):
-                    n = int(free[np.argmax(ends[free])])
+                if (mine := tuple(row[: len(keys)])) != group:
+                    group, at, n, stack, active = mine, None, 0, [], {}
+                if row.bucket != at:
+                    at, now = row.bucket, {}
+                if row.kind == 0:
+                    if not stack:
+                        stack.append(n)
+                        n += 1
+                    now[row.symbol] = stack.pop()
+                elif row.kind == 1:
+                    now[row.symbol] = active.pop(row.uid)
+                elif row.kind == 2:
+                    stack.append(now[row.symbol])
                 else:
-                    n, ends = len(ends), np.append(ends, 0)
-                ends[n] = row.end_us
-                lane.append(n)
-            yield batch.assign(lane=lane)
-
-    kinds = dict(events.dtypes)
-    return dealt.mapInPandas(fold, ", ".join([*(f"{c} {kinds[c]}" for c in by), "event_id long", "start_us long", "end_us long", "lane long"]))
+                    active[row.uid] = now[row.symbol]
+                if row.kind < 2:
+                    found.append((*mine, row.bucket, row.symbol, now[row.symbol]))
+            yield pd.DataFrame(found, columns=[*keys, "bucket", "symbol", "lane"])
+
+    told = made.filter("kind < 4").repartition(*keys).sortWithinPartitions(*keys, "bucket", "kind", "place")
+    lane = told.mapInPandas(fold, f"{group}, bucket long, symbol long, lane long")
+    lane = lane.select(*[F.col(k).alias(f"l_{k}") for k in keys], F.col("bucket").alias("l_bucket"), F.col("symbol").alias("l_symbol"), "lane")
+    known = [F.col(c).eqNullSafe(F.col(f"l_{c}")) for c in [*keys, "bucket", "symbol"]]
+    lanes_of = made.filter("kind > 2").join(lane, known).select("uid", "lane")
+    return placed.join(lanes_of, "uid").select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], "event_id", "start_us", "end_us", "lane")

@@ -625,7 +625,17 @@ def s10(spark, d):
     return timeseries.device_ids(samples, ["device_name"], "hour", "event_id").drop("hour")
 
 
-@query("o14_lanes")
+LANES_SQL = f"""WITH RECURSIVE {TRACE_SQL},
+s AS MATERIALIZED (SELECT process, category, event_id, event_name, start_us, end_us, row_number() OVER (PARTITION BY process, category ORDER BY start_us, end_us, event_id) AS i FROM t),
+m AS (
+  SELECT process, category, i, CAST(0 AS BIGINT) AS lane, [end_us] AS ends FROM s WHERE i = 1
+  UNION ALL SELECT process, category, i, lane, CASE WHEN lane < len(ends) THEN list_transform(ends, lambda e, j: CASE WHEN j = lane + 1 THEN end_us ELSE e END) ELSE list_append(ends, end_us) END
+  FROM (
+    SELECT s.process, s.category, s.i, s.end_us, m.ends, CAST(CASE WHEN list_min(m.ends) <= s.start_us THEN list_position(m.ends, list_max(list_filter(m.ends, lambda e: e <= s.start_us))) - 1 ELSE len(m.ends) END AS BIGINT) AS lane
+    FROM m JOIN s ON s.process = m.process AND s.category = m.category AND s.i = m.i + 1))"""
+
+
+@query("o14_lanes", LANES_SQL + " SELECT process, category, event_id, start_us, end_us, lane FROM m JOIN s USING (process, category, i)")
 def o14(spark, d):
     return timeseries.lanes(trace(spark, d), ["process", "category"])
 

@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.operators import rollup, timeseries
+from spanweave.operators import ids, rollup, timeseries
 from spanweave.plans.lineage import shared_folder
-from spanweave.plans.queries import CLEAN_SQL, PLAIN_SQL, joined, keyed_regions, query
+from spanweave.plans.queries import CLEAN_SQL, LANES_SQL, PLAIN_SQL, joined, keyed_regions, query
 from spanweave.sources import reports, shards, sinks, wire
 from spanweave.sources.adapters import TRACE_SQL, micros, table, trace
 
@@ -189,6 +189,17 @@ def s2(spark, d):
     return table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), shards.file_kind(F.concat(F.lit("/a/b/"), F.element_at(names, F.col("n_nationkey") % 4 + 1))).alias("kind"))
 
 
+@query(
+    "q21_second_load",
+    f"{T}, a AS (SELECT DISTINCT category AS name FROM t), b AS (SELECT DISTINCT event_name AS name FROM t WHERE event_name NOT IN (SELECT name FROM a)) SELECT name, row_number() OVER (ORDER BY name) - 1 AS id FROM a UNION ALL SELECT name, (SELECT count(*) FROM a) + row_number() OVER (ORDER BY name) - 1 FROM b",
+)
+def q21_second(spark, d):
+    """Ids of categories, then of event names as a second load: ids that are given stay, new ones follow."""
+    path = folder(spark)
+    ids.add_names(trace(spark, d).select(F.col("category").alias("name")), path)
+    return ids.add_names(trace(spark, d).select(F.col("event_name").alias("name")).union(trace(spark, d).select("category")), path)
+
+
 @query("k1_events_parquet", f"{T} SELECT process, event_id, event_name, start_us, end_us FROM t")
 def k1(spark, d):
     path = folder(spark)
@@ -196,11 +207,11 @@ def k1(spark, d):
     return spark.read.parquet(path).select(F.col("process").cast("string").alias("process"), "event_id", "event_name", "start_us", "end_us")
 
 
-@query("k5_trace_viewer", f"{T} SELECT event_name AS name, 'X' AS ph, process AS pid, start_us AS ts, end_us - start_us AS dur, category AS cat FROM t")
+@query("k5_trace_viewer", LANES_SQL + " SELECT event_name AS name, 'X' AS ph, process AS pid, lane AS tid, start_us AS ts, end_us - start_us AS dur, category AS cat FROM m JOIN s USING (process, category, i)")
 def k5(spark, d):
     path = folder(spark)
     sinks.chrome_events(timeseries.lanes(trace(spark, d), ["process", "category"]).join(trace(spark, d).select("event_id", "event_name"), "event_id")).write.text(path)
-    return spark.read.schema("name string, ph string, pid string, ts long, dur long, cat string").json(path)
+    return spark.read.schema("name string, ph string, pid string, tid long, ts long, dur long, cat string").json(path)
 
 
 @query("k6_csv_report", f"{T} SELECT process, category, CAST(sum(duration_us) AS BIGINT) AS us FROM t GROUP BY ALL")

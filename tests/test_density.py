@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spanweave.operators import calibration, flatten, timeseries
+from spanweave.operators import calibration, flatten, ids, rollup, stats, timeseries
 from spanweave.operators.grid import grid
 
 rng = random.Random(3)
@@ -78,3 +78,73 @@ def test_moving_average_over_buckets(spark, monkeypatch, rows):
             ema = 0.9 * x + 0.1 * ema
     got = timeseries.moving_average(spark.createDataFrame(samples, "key string, t long, x double").withColumn("bucket", F.lit(1)), ["key"], 13, 0.9)
     assert sorted(map(tuple, got.collect())) == want
+
+
+def plain_lanes(spans):
+    """Lanes by the event that ended last; of equal ends the one whose event comes last by start, end and id."""
+    ends, found = [], {}
+    for start, end, i in sorted((s, max(s, e), i) for s, e, i in spans):
+        free = [n for n, (e, _) in enumerate(ends) if e <= start]
+        n = max(free, key=lambda n: (ends[n][0], ends[n][1])) if free else len(ends)
+        ends[n : n + 1] = [(end, (start, end, i))]
+        found[i] = n
+    return found
+
+
+@pytest.mark.parametrize("rows", [20_000, 6, 1])
+def test_lanes_over_buckets(spark, monkeypatch, rows):
+    """Bursts, ties, events without length and with a negative one, events that hold many buckets, and a far one."""
+    monkeypatch.setattr(timeseries, "grid", lambda df, by, t: grid(df, by, t, rows))
+    spans = [(k, s, s + rng.choice([0, 1, 4, 9, 60, 500, -2]), i) for i, (k, s) in enumerate((rng.choice("aab"), rng.randrange(300)) for _ in range(250))]
+    spans += [("a", 0, 10**9, 900), ("a", 10**9, 10**9 + 5, 901), ("c", 3, 3, 902), (None, 1, 4, 903), (None, 2, 5, 904)]
+    df = spark.createDataFrame([(k, i, s, e, 0) for k, s, e, i in spans], "key string, event_id long, start_us long, end_us long, lane int")
+    got = {r.event_id: r.lane for r in timeseries.lanes(df, ["key"]).collect()}
+    want = {}
+    for key in ["a", "b", "c", None]:
+        want |= plain_lanes([(s, e, i) for k, s, e, i in spans if k == key])
+    assert got == want
+    assert timeseries.lanes(df.limit(0), ["key"]).count() == 0
+
+
+@pytest.mark.parametrize("ranges, few", [(2, 3), (5, 10), (256, 1)])
+def test_quantiles_of_heavy_tails(spark, monkeypatch, ranges, few):
+    import numpy as np
+
+    monkeypatch.setattr(stats, "RANGES", ranges)
+    monkeypatch.setattr(stats, "FEW", few)
+    wanted = [0, 0.1, 0.25, 0.5, 0.75, 0.999, 1]
+    tails = [rng.paretovariate(0.2) for _ in range(300)] + [1e300, -1e300]
+    for values in (tails, [7.0] * 200 + [8.0, 9.0, 1e12], [float(rng.randrange(3)) for _ in range(100)], [4.0]):
+        df = spark.createDataFrame([(float(v),) for v in values], "v double")
+        assert stats.quantiles(df, "v", wanted) == pytest.approx(np.quantile(values, wanted).tolist())
+
+
+@pytest.mark.parametrize("most", [60, 3])
+def test_superset_sums(spark, monkeypatch, most):
+    """Both ways, against all pairs of sets: many labels, an empty set, labels that nothing has."""
+    monkeypatch.setattr(rollup, "LATTICE_LABELS", most)
+    names = [f"n{i}" for i in range(15)]
+    have = {(g, tuple(sorted(rng.sample(names[: 15 if g == "a" else 2], rng.randrange(3))))): rng.randrange(9) for g in "ab" for _ in range(60)}
+    have |= {("a", tuple(names)): 5, ("a", ()): 2, ("c", ()): 4}
+    wanted = [*have, ("a", ("n1", "n14")), ("a", ("zz",)), ("d", ("n1",))]
+    df = spark.createDataFrame([(g, list(s), v) for (g, s), v in have.items()], "g string, set array<string>, s long")
+    got = rollup.superset_sums(df, spark.createDataFrame([(g, list(s)) for g, s in wanted], "g string, set array<string>"), ["g"])
+    sums = {(g, s): [v for (h, t), v in have.items() if h == g and set(s) <= set(t)] for g, s in wanted}
+    assert {(r.g, tuple(r.set)): r.s for r in got.collect()} == {k: sum(v) for k, v in sums.items() if v}
+    sets = df.filter("size(set) > 0 and s > 0")
+    there = rollup.venn_inclusive(sets, ["g"], "set", "s")
+    back = rollup.venn_exclusive(there, ["g"], 15, "set", "s")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, sets.collect()))
+
+
+def test_ids_stay_over_loads(spark, tmp_path):
+    def load(names):
+        rows = ids.add_names(spark.createDataFrame([(n,) for n in names], "name string").repartition(3), f"{tmp_path}/names")
+        return {r.name: r.id for r in rows.collect()}
+
+    first = load(["b", "a", "b", None, ""])
+    assert first == {"": 0, "a": 1, "b": 2}
+    names = [f"n{i:03}" for i in range(200)]
+    second = load(["a", *names, "0"])
+    assert second == first | {n: 3 + i for i, n in enumerate(["0", *names])}
+    assert load([]) == second == load(["b", None])
