@@ -21,6 +21,11 @@ def is_process_op(category: Column, name: Column) -> Column:
     return (category == OPERATION) & name.rlike(PROCESS_OP)
 
 
+def is_bracketed(name: Column) -> Column:
+    """The wider form that metadata queries use: a name that begins with a bracket, of any category, closed or not."""
+    return name.startswith("[")
+
+
 def _covering(ops: DataFrame, by: list[str]) -> DataFrame:
     """The owner among the operations that cover whole runs of buckets: ``by, level, node, best``.
 

@@ -158,6 +158,18 @@ def self_overlap_ops(keyed: DataFrame, procs: str = "processes") -> DataFrame:
     return keyed.withColumn("ops", F.array_sort(F.flatten(F.transform("ops", lambda o: F.array_repeat(o, F.size(procs))))))
 
 
+def operations_over_processes(regions: DataFrame) -> DataFrame:
+    """Regions over all processes, of keys ``process/op:name`` and ``process/category``, by what runs: ``ops, categories, time_us``.
+
+    ``ops`` is sorted and names an operation once for each process that runs it at the time; ``categories`` are a set.
+    """
+    names = F.transform("region", lambda x: F.substring_index(x, "/op:", -1))
+    ops = F.array_sort(F.filter(names, lambda x: ~x.contains("/")))
+    rest = F.filter("region", lambda x: ~x.contains("/op:"))
+    categories = F.array_sort(F.array_distinct(F.transform(rest, lambda x: F.substring_index(x, "/", -1))))
+    return regions.select(ops.alias("ops"), categories.alias("categories"), "time_us").filter("size(ops) > 0").groupBy("ops", "categories").agg(F.sum("time_us").alias("time_us"))
+
+
 def total_size(exclusive: DataFrame, by: list[str], size: str = "time_us") -> DataFrame:
     return exclusive.groupBy(*by).agg(F.sum(size).alias(size))
 

@@ -151,6 +151,12 @@ def last_by(df: DataFrame, by: list[str], order: str) -> DataFrame:
     return df.join(latest, [*by, order], "left_semi").distinct()
 
 
+def metric_names(name: Column, names: dict[str, str]) -> Column:
+    """A metric's name in another tool's scheme (``names``: from one to the other), whatever signs ``+`` and ``&`` end it; null if it has none there."""
+    plain = F.regexp_replace(name, "[+&]+$", "")
+    return F.coalesce(*[F.when(plain == k, v) for k, v in names.items()], F.lit(None).cast("string"))
+
+
 def reattributed(ranges: DataFrame, percents: DataFrame) -> DataFrame:
     """Metrics of ``a/b/c`` ranges by operation: the range's metric times the percents of what lies at or below it.
 

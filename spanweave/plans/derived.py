@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanweave.functions import predicates as P
 from spanweave.operators import calibration, flatten, rollup, stats, timeseries
-from spanweave.plans.queries import BINS_SQL, CLEAN_SQL, FLAT_SQL, PAIR_SQL, PERIOD, PLAIN_SQL, joined, keyed_regions, ops_of, per_repetition, query, runs
+from spanweave.plans.queries import BINS_SQL, CLEAN_SQL, FLAT_SQL, PAIR_SQL, PERIOD, PLAIN_SQL, SEGMENTS_SQL, joined, keyed_regions, ops_of, per_repetition, query, runs
 from spanweave.sources.adapters import TRACE_SQL, micros, table, trace
 
 T = f"WITH {TRACE_SQL}"
@@ -260,6 +260,38 @@ def r6(spark, d):
     return joined(rollup.self_overlap_ops(keyed), "ops").groupBy("process", "ops").agg(F.sum("time_us").alias("time_us"))
 
 
+R6_SQL = f"""WITH {TRACE_SQL},{FLAT_SQL},
+c AS (SELECT 'm0' AS process, process || '/op:' || event_name AS key, start_us, end_us FROM flat UNION ALL SELECT 'm0', process || '/GPU', start_us, end_us FROM t WHERE category = 'GPU' AND end_us > start_us),{SEGMENTS_SQL.format(k="c")},
+l AS (SELECT e - s AS us, string_split(region, '+') AS x FROM g WHERE region LIKE '%/op:%')
+SELECT list_aggregate(list_sort(list_transform(list_filter(x, lambda a: a LIKE '%/op:%'), lambda a: split_part(a, '/op:', 2))), 'string_agg', '+') AS ops,
+  CASE WHEN len(list_filter(x, lambda a: a LIKE '%/GPU')) > 0 THEN 'GPU' ELSE '' END AS categories, CAST(sum(us) AS BIGINT) AS time_us FROM l GROUP BY ALL"""
+
+
+@query("r6_cross_process", R6_SQL)
+def r6_cross(spark, d):
+    """Operations of all processes at once: one that two processes run at the same time is there twice."""
+    from spanweave.operators import sweep
+
+    lines = flatten.timeline(trace(spark, d)).filter(F.col("key").startswith("op:") | (F.col("key") == "GPU")).withColumn("key", F.concat_ws("/", "process", "key"))
+    return joined(rollup.operations_over_processes(sweep.region_times(lines, ["machine"])), "ops", "categories")
+
+
+@query("f3_any_category", f"{T} SELECT event_id, name FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '[' || event_name || ']' WHEN 1 THEN '[' || event_name ELSE event_name END AS name FROM t) WHERE name NOT LIKE '[%'")
+def f3_any(spark, d):
+    """Names with brackets are made here, as the tables hold none; rows of any category go."""
+    name = F.col("event_name")
+    marked = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("["), name, F.lit("]"))).when(F.col("event_id") % 5 == 1, F.concat(F.lit("["), name)).otherwise(name)
+    return trace(spark, d).select("event_id", marked.alias("name")).filter(~flatten.is_bracketed(F.col("name")))
+
+
+@query("c16_name_map", "SELECT CASE p_brand WHEN 'Brand#1' THEN 'first' WHEN 'Brand#10' THEN 'second' END AS metric, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY metric")
+def c16_map(spark, d):
+    """Names with the signs that mark their kind, in the other scheme; what that does not know is null."""
+    marked = table(spark, d, "part").select(F.concat("p_brand", F.element_at(F.array(*map(F.lit, ["", "+", "&", "+&"])), (F.col("p_partkey") % 4 + 1).cast("int"))).alias("name"))
+    metric = stats.metric_names(F.col("name"), {"Brand#1": "first", "Brand#10": "second"})
+    return marked.groupBy(metric.alias("metric")).agg(F.count("*").alias("n"))
+
+
 @query("f7_overlap_kinds", f"{T} SELECT event_id, start_us <= 1706750000000000 AND 1706740000000000 <= end_us AS any, start_us <= 1706740000000000 AND 1706750000000000 <= end_us AS subsumes, start_us <= 1706750000000000 AND 1706740000000000 <= end_us AND NOT (start_us <= 1706740000000000 AND 1706750000000000 <= end_us) AND NOT (1706740000000000 <= start_us AND end_us <= 1706750000000000) AS partial FROM t")
 def f7(spark, d):
     lo, hi = F.lit(1706740000000000), F.lit(1706750000000000)

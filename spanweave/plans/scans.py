@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanweave.operators import ids, rollup, timeseries
 from spanweave.plans.lineage import shared_folder
-from spanweave.plans.queries import CLEAN_SQL, LANES_SQL, PLAIN_SQL, joined, keyed_regions, query
+from spanweave.plans.queries import CLEAN_SQL, LANES_SQL, ORACLES, PLAIN_SQL, QUERIES, joined, keyed_regions, query
 from spanweave.sources import reports, shards, sinks, wire
 from spanweave.sources.adapters import TRACE_SQL, micros, table, trace
 
@@ -107,6 +107,15 @@ def s8(spark, d):
     return reports.kernel_times(rows.filter("l_linenumber = 1"), names, rows.filter("l_linenumber = 2"), rows.filter("l_linenumber = 3"))
 
 
+@query("s8_database_files", "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem")
+def s8_files(spark, d):
+    """All of ``lineitem`` through database files: written by tasks, and each file read by several."""
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("long"), F.col("l_quantity").cast("double"), "l_returnflag")
+    path = folder(spark)
+    sinks.write_databases(rows.repartition(4, "l_orderkey"), path, "spans").agg(F.sum("n")).first()
+    return reports.database_table(spark, path, "spans", "l_orderkey long, l_linenumber long, l_quantity double, l_returnflag string", range_bytes=64 << 10)
+
+
 @query("s8_api_times", "SELECT coalesce(n_name, CAST(l_suppkey AS VARCHAR)) AS event_name, l_partkey / 1000 AS start_us, (l_partkey + 5) / 1000 AS end_us, 5 / 1000 AS duration_us FROM lineitem LEFT JOIN nation ON n_nationkey = l_suppkey WHERE l_linenumber < 3")
 def s8_api(spark, d):
     rows = table(spark, d, "lineitem").select("l_linenumber", F.col("l_partkey").alias("start"), (F.col("l_partkey") + 5).alias("end"), F.col("l_suppkey").alias("cbid"))
@@ -228,3 +237,20 @@ def k8(spark, d):
     back = lines.select(F.from_json("value", shards.SHARDS["category_events"][1]).alias("v")).select("v.*")
     each = back.select("process_name", F.explode("category_events").alias("category", "v")).select("process_name", "category", F.explode("v.events").alias("e"))
     return each.select(F.col("process_name").alias("process"), "category", F.col("e.name").alias("event_name"), F.col("e.start_time_us").alias("start_us"), "e.duration_us")
+
+
+def intervals_by_csv(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Intervals through a CSV file; a region in which nothing runs is an empty text, not a null."""
+    path = folder(spark)
+    sinks.write_csv(rows, path)
+    return spark.read.schema(rows.schema).options(header=True, nullValue="null").csv(path)
+
+
+@query("k4_intervals", ORACLES["o5_intervals"])
+def k4(spark, d):
+    return intervals_by_csv(spark, QUERIES["o5_intervals"](spark, d))
+
+
+@query("k4_interval_starts", ORACLES["o6_interval_starts"])
+def k4_starts(spark, d):
+    return intervals_by_csv(spark, QUERIES["o6_interval_starts"](spark, d))

@@ -5,10 +5,14 @@ A report's lines belong together, so each file is one row that is split into num
 
 from __future__ import annotations
 
+import shutil
 import sqlite3
+import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -78,11 +82,29 @@ def inference_log(spark: SparkSession, path: str) -> DataFrame:
     return named.groupBy("path", "section", name.alias("name")).agg(F.max_by("value", "line_no").alias("value"))
 
 
-def database_table(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
-    """A table of a profiler's database files (SQLite): the columns of ``schema``, read by the tasks, a file a task.
+#: Bytes of a database file for each of which a task reads a range of its rows.
+RANGE_BYTES = 256 << 20
 
-    A file is held in its task's memory, where the database library opens it, and its rows come out in batches. Files
-    without the table have no rows.
+
+@contextmanager
+def _staged(uri: str) -> Iterator[sqlite3.Connection]:
+    """A database of the shared store, copied piece by piece to a file of the task's own folder, which the database library can open."""
+    store, path = fs.FileSystem.from_uri(uri)
+    with tempfile.TemporaryDirectory() as folder:
+        with store.open_input_stream(path) as source, open(f"{folder}/base", "wb") as copy:
+            shutil.copyfileobj(source, copy, 4 << 20)
+        base = sqlite3.connect(f"file:{folder}/base?mode=ro", uri=True)
+        try:
+            yield base
+        finally:
+            base.close()
+
+
+def database_table(spark: SparkSession, path: str, table: str, schema: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """A table of a profiler's database files (SQLite): the columns of ``schema``; a file is read by a task for each ``range_bytes`` of it.
+
+    Each such task stages the file on its disk, never in memory, and gives out the rows of its range of row ids in batches, so files
+    may be of any size. Files without the table have no rows; a file that is no database is an error. Tables without row ids are not read.
     """
     wanted = spark.createDataFrame([], schema).schema
     columns = ", ".join(f'"{f.name}"' for f in wanted)
@@ -90,17 +112,23 @@ def database_table(spark: SparkSession, path: str, table: str, schema: str) -> D
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                base = sqlite3.connect(":memory:")
-                base.deserialize(content.as_py())
-                if base.execute("SELECT 1 FROM sqlite_master WHERE name = ?", [table]).fetchone():
-                    found = base.execute(f'SELECT {columns} FROM "{table}"')
+            for part in batch.to_pylist():
+                with _staged(part["path"]) as base:
+                    if not base.execute("SELECT 1 FROM sqlite_master WHERE name = ?", [table]).fetchone():
+                        continue
+                    lo, hi = base.execute(f'SELECT min(rowid), max(rowid) FROM "{table}"').fetchone()
+                    if lo is None:
+                        continue
+                    first, last = (lo + (hi - lo + 1) * n // part["parts"] for n in (part["part"], part["part"] + 1))
+                    found = base.execute(f'SELECT {columns} FROM "{table}" WHERE rowid >= ? AND rowid < ?', [first, last])
                     while got := found.fetchmany(10_000):
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), kinds, strict=True)], schema=kinds)
-                base.close()
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(rows, wanted)
+    parts = F.ceil(F.greatest(F.col("length"), F.lit(1)) / range_bytes).cast("int")
+    files = spark.read.format("binaryFile").load(path).select("path", parts.alias("parts"))
+    ranges = files.select("path", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    # A task a range, unless there are more of these than any cluster has use for; only the count comes to the driver.
+    return ranges.repartition(max(1, min(ranges.count(), 10_000)), "path", "part").mapInArrow(rows, wanted)
 
 
 def _micros(df: DataFrame, name: Column) -> DataFrame:

@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import shutil
+import sqlite3
+import tempfile
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,3 +69,33 @@ def overlap_document(regions: DataFrame, size: str = "time_us") -> DataFrame:
     key = F.to_json(F.struct(F.lit(KEY_TYPE).alias("typename"), "procs", "ops", "non_ops"))
     pairs = regions.agg(F.array_sort(F.collect_list(F.concat(F.lit("["), key, F.lit(", "), F.col(size).cast("string"), F.lit("]")))).alias("p"))
     return pairs.select(F.concat(F.lit('{"typename": "dict", "key_value_pairs": ['), F.array_join("p", ", "), F.lit("]}")).alias("value"))
+
+
+def write_databases(df: DataFrame, path: str, table: str) -> DataFrame:
+    """Writes ``df`` as database files (SQLite) with one table each, a file a partition, into the folder ``path`` (a URI); returns ``file, n``.
+
+    The work is done when the result is read. A file is made on the task's disk and then put in place; one that a lost executor left is
+    put there again under the same name.
+    """
+    kinds = {"bigint": "INTEGER", "int": "INTEGER", "double": "REAL", "float": "REAL", "binary": "BLOB"}
+    columns = ", ".join(f'"{c}" {kinds.get(k, "TEXT")}' for c, k in df.dtypes)
+    marks = ", ".join("?" for _ in df.columns)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, n = f"part-{TaskContext.get().partitionId():06}.db", 0
+        with tempfile.TemporaryDirectory() as own:
+            base = sqlite3.connect(f"{own}/{name}")
+            base.execute(f'CREATE TABLE "{table}" ({columns})')
+            for batch in batches:
+                n += batch.num_rows
+                base.executemany(f'INSERT INTO "{table}" VALUES ({marks})', zip(*[c.to_pylist() for c in batch.columns], strict=True))
+            base.commit()
+            base.close()
+            if n:
+                store, folder = fs.FileSystem.from_uri(path)
+                store.create_dir(folder, recursive=True)
+                with open(f"{own}/{name}", "rb") as source, store.open_output_stream(f"{folder}/{name}") as copy:
+                    shutil.copyfileobj(source, copy, 4 << 20)
+        yield pa.RecordBatch.from_pydict({"file": [name], "n": [n]}, schema=pa.schema([("file", pa.string()), ("n", pa.int64())]))
+
+    return df.mapInArrow(write, "file string, n long")
