@@ -79,9 +79,12 @@ def without_outliers(df: DataFrame, value: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, value: str, n_bins: int = 10) -> DataFrame:
-    """Bins of equal width from 0 on; what is at or above the last edge is in none. ``bin, total_us, n, percent``."""
+    """Bins of equal width from 0 on; what is at or above the last edge is in none. ``bin, total_us, n, percent``.
+
+    Where all values are alike the width is 0, and no value is in a bin.
+    """
     edge = df.agg(F.ceil((F.max(value) - F.min(value)) / n_bins).alias("width"))
-    counted = df.join(F.broadcast(edge)).withColumn("bin", F.floor(F.col(value) / F.col("width"))).filter((F.col("bin") >= 0) & (F.col("bin") < n_bins))
+    counted = df.join(F.broadcast(edge)).withColumn("bin", F.floor(F.try_divide(F.col(value), F.col("width")))).filter((F.col("bin") >= 0) & (F.col("bin") < n_bins))
     sums = counted.groupBy("bin").agg(F.sum(value).alias("total_us"), F.count("*").alias("n"))
     bins = df.sparkSession.range(n_bins).withColumnRenamed("id", "bin")
     full = bins.join(sums, "bin", "left").select("bin", F.coalesce("total_us", F.lit(0)).alias("total_us"), F.coalesce("n", F.lit(0)).alias("n"))
