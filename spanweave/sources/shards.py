@@ -166,11 +166,11 @@ def hardware_counters(spark: SparkSession, path: str) -> DataFrame:
 
 
 def venn_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Sets of a Venn file with labels for indices; single sets name them."""
-    schema = "metadata struct<machine:string,process:string,phase:string,overlap_type:string>, venn array<struct<sets:array<int>,size:double,label:string>>"
+    """Sets of a Venn file with labels for indices; single sets name them. Those that are ``implied`` do only that, and are no rows."""
+    schema = "metadata struct<machine:string,process:string,phase:string,overlap_type:string>, venn array<struct<sets:array<int>,size:double,label:string,implied:boolean>>"
     files = spark.read.schema(schema).json(path, multiLine=True)
     names = F.map_from_entries(F.transform(F.filter("venn", lambda v: v["label"].isNotNull()), lambda v: F.struct(F.get(v["sets"], F.lit(0)), v["label"])))
-    each = files.select("metadata.*", names.alias("names"), F.explode("venn").alias("v"))
+    each = files.select("metadata.*", names.alias("names"), F.explode("venn").alias("v")).filter("v.implied is not true")
     return each.select("machine", "process", "phase", "overlap_type", F.array_sort(F.transform("v.sets", lambda i: F.element_at("names", i))).alias("region"), F.col("v.size").alias("size"))
 
 

@@ -24,7 +24,8 @@ def write_events(events: DataFrame, path: str) -> None:
 def venn_documents(inclusive: DataFrame, by: list[str], overlap_type: str, size: str = "time_us") -> DataFrame:
     """A JSON document for each group of ``by``: metadata, and numbered sets with sizes; single sets have a label.
 
-    ``inclusive``: ``by, region, size``; a group has at most as many rows as its categories have sets.
+    ``inclusive``: ``by, region, size``; a group has at most as many rows as its categories have sets. Sizes may be exclusive, too: a
+    label that is in sets of several only has a single set of size 0 that is marked ``implied``, so that readers find its name.
     """
     grouped = inclusive.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.size("region").alias("n"), "region", F.col(size).cast("double").alias("size")))).alias("rows"))
     labels = F.array_sort(F.array_distinct(F.flatten(F.transform("rows", lambda r: r["region"]))))
@@ -32,11 +33,13 @@ def venn_documents(inclusive: DataFrame, by: list[str], overlap_type: str, size:
     sets = F.transform(
         "rows",
         lambda r: F.struct(
-            F.transform(r["region"], lambda x: F.array_position(F.col("labels"), x) - 1).alias("sets"), r["size"].alias("size"), F.when(r["n"] == 1, F.get(r["region"], F.lit(0))).alias("label")
+            F.transform(r["region"], lambda x: F.array_position(F.col("labels"), x) - 1).alias("sets"), r["size"].alias("size"), F.when(r["n"] == 1, F.get(r["region"], F.lit(0))).alias("label"), F.lit(None).cast("boolean").alias("implied")
         ),
     )
+    named = F.flatten(F.transform(F.filter("rows", lambda r: r["n"] == 1), lambda r: r["region"]))
+    implied = F.transform(F.array_except("labels", named), lambda x: F.struct(F.array(F.array_position(F.col("labels"), x) - 1).alias("sets"), F.lit(0.0).alias("size"), x.alias("label"), F.lit(True).alias("implied")))
     metadata = F.struct(*by, F.lit(overlap_type).alias("overlap_type"), F.lit(1).alias("version"))
-    return grouped.select(*by, F.to_json(F.struct(metadata.alias("metadata"), sets.alias("venn"))).alias("value"))
+    return grouped.select(*by, F.to_json(F.struct(metadata.alias("metadata"), F.concat(implied, sets).alias("venn"))).alias("value"))
 
 
 def write_venn(documents: DataFrame, by: list[str], path: str) -> None:
