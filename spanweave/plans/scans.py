@@ -15,6 +15,8 @@ from spanweave.sources.adapters import TRACE_SQL, micros, table, trace
 
 T = f"WITH {TRACE_SQL}"
 DAY = 86_400_000_000
+#: Rows of a database file, about, so that there are more files of a larger table and not larger ones.
+FILE_ROWS = 1_000_000
 
 
 def folder(spark: SparkSession) -> str:
@@ -112,7 +114,8 @@ def s8_files(spark, d):
     """All of ``lineitem`` through database files: written by tasks, and each file read by several."""
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("long"), F.col("l_quantity").cast("double"), "l_returnflag")
     path = folder(spark)
-    sinks.write_databases(rows.repartition(4, "l_orderkey"), path, "spans").agg(F.sum("n")).first()
+    files = max(4, -(-rows.count() // FILE_ROWS))
+    sinks.write_databases(rows.repartition(files, "l_orderkey"), path, "spans").agg(F.sum("n")).first()
     return reports.database_table(spark, path, "spans", "l_orderkey long, l_linenumber long, l_quantity double, l_returnflag string", range_bytes=64 << 10)
 
 

@@ -82,8 +82,9 @@ def inference_log(spark: SparkSession, path: str) -> DataFrame:
     return named.groupBy("path", "section", name.alias("name")).agg(F.max_by("value", "line_no").alias("value"))
 
 
-#: Bytes of a database file for each of which a task reads a range of its rows.
-RANGE_BYTES = 256 << 20
+#: Bytes of a database file for each of which a task reads a range of its rows, and ranges of a file at most: each of these tasks stages
+#: the whole file, so with more of them for larger files what is copied would grow with the square of a file's size.
+RANGE_BYTES, MOST_RANGES = 256 << 20, 16
 
 
 @contextmanager
@@ -101,7 +102,7 @@ def _staged(uri: str) -> Iterator[sqlite3.Connection]:
 
 
 def database_table(spark: SparkSession, path: str, table: str, schema: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """A table of a profiler's database files (SQLite): the columns of ``schema``; a file is read by a task for each ``range_bytes`` of it.
+    """A table of a profiler's database files (SQLite): the columns of ``schema``; a file is read by a task for each ``range_bytes`` of it, by ``MOST_RANGES`` at most.
 
     Each such task stages the file on its disk, never in memory, and gives out the rows of its range of row ids in batches, so files
     may be of any size. Files without the table have no rows; a file that is no database is an error. Tables without row ids are not read.
@@ -124,7 +125,7 @@ def database_table(spark: SparkSession, path: str, table: str, schema: str, rang
                     while got := found.fetchmany(10_000):
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), kinds, strict=True)], schema=kinds)
 
-    parts = F.ceil(F.greatest(F.col("length"), F.lit(1)) / range_bytes).cast("int")
+    parts = F.least(F.ceil(F.greatest(F.col("length"), F.lit(1)) / range_bytes), F.lit(MOST_RANGES)).cast("int")
     files = spark.read.format("binaryFile").load(path).select("path", parts.alias("parts"))
     ranges = files.select("path", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     # A task a range, unless there are more of these than any cluster has use for; only the count comes to the driver.
