@@ -360,8 +360,7 @@ def o9(spark, d):
 @query("k7_self_time", STACKS_SQL.replace(", sp AS", f",{FLAT_SQL}, o2 AS (SELECT process, event_id, end_us - start_us AS us FROM flat), sp AS", 1) + " SELECT process || ';' || stack AS stack, CAST(sum(us) AS BIGINT) AS us FROM st JOIN o2 USING (process, event_id) GROUP BY 1")
 def k7(spark, d):
     ops = ops_of(spark, d).select("process", "event_id", "event_name", "start_us", "end_us")
-    pieces = flatten.flatten_ops(ops, ["process"]).select("process", "event_id", (F.col("end_us") - F.col("start_us")).alias("us"))
-    return pieces.join(flatten.stacks(ops, ["process"]), ["process", "event_id"]).groupBy(F.concat_ws(";", "process", "stack").alias("stack")).agg(F.sum("us").alias("us"))
+    return flatten.self_times(ops, ["process"])
 
 
 @query("o20_random_intervals", "SELECT range AS id, (range * 7919) % 10007 AS start_us, (range * 7919) % 10007 + 1 + (range * 104729) % 97 AS end_us FROM range(1000)")

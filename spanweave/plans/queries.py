@@ -166,14 +166,7 @@ SELECT a.process, a.event_id, count(b.event_id) AS depth, coalesce(string_agg(b.
 FROM o a LEFT JOIN o b ON a.process = b.process AND b.start_us <= a.start_us AND a.end_us <= b.end_us AND a.event_id <> b.event_id GROUP BY a.process, a.event_id""",
 )
 def o9(spark, d):
-    ops = ops_of(spark, d)
-    pairs = flatten.instances_with_events(ops, ops)
-    own = ops.select(F.col("event_id").alias("op_id"), F.col("start_us").alias("s1"), F.col("end_us").alias("e1"))
-    other = ops.select("event_id", "event_name", "start_us", "end_us")
-    around = pairs.filter("op_id <> event_id").join(own, "op_id").join(other, "event_id").filter("start_us <= s1 and e1 <= end_us")
-    stacks = around.groupBy("op_id").agg(F.count("*").alias("depth"), F.sort_array(F.collect_list(F.struct("start_us", "event_id", "event_name"))).alias("l"))
-    stack = F.array_join(F.transform("l", lambda x: x["event_name"]), ";")
-    return ops.select("process", "event_id").join(stacks, F.col("event_id") == F.col("op_id"), "left").select("process", "event_id", F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce(stack, F.lit("")).alias("stack"))
+    return flatten.stack_depths(ops_of(spark, d), ["process"]).select("process", "event_id", "depth", "stack")
 
 
 @query(
@@ -400,10 +393,7 @@ def q14(spark, d):
 def q15(spark, d):
     events = trace(spark, d)
     ops = ops_of(spark, d).filter("event_name = 'op_1'")
-    pairs = flatten.instances_with_events(ops, events.filter("category <> 'Operation'"))
-    bounds = ops.select(F.col("event_id").alias("op_id"), F.col("start_us").alias("s1"), F.col("end_us").alias("e1"))
-    inside = pairs.join(bounds, "op_id").join(events.select("event_id", "start_us", "end_us"), "event_id").filter("s1 <= start_us and end_us <= e1").select("event_id")
-    return events.join(inside, "event_id", "left_semi").select(*EVENT_OUT)
+    return flatten.held_events(ops, events.filter("category <> 'Operation'"), ["process"]).select(*EVENT_OUT)
 
 
 @query("q16_event_by_id", EVENTS + "WHERE event_id = 17")
