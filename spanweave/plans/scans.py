@@ -17,6 +17,8 @@ T = f"WITH {TRACE_SQL}"
 DAY = 86_400_000_000
 #: Rows of a database file, about, so that there are more files of a larger table and not larger ones.
 FILE_ROWS = 1_000_000
+#: Binary shards are put together into files of about so many bytes.
+FILE_BYTES = 1 << 20
 
 
 def folder(spark: SparkSession) -> str:
@@ -27,7 +29,7 @@ def written(df: DataFrame, kind: str, form: str = "json") -> DataFrame:
     """Nested rows of a kind of shard, written as JSON or as binary shards and read with that kind's schema."""
     path = folder(df.sparkSession)
     if form == "binary":
-        wire.write_binary_shards(df, path, kind)
+        wire.write_binary_shards(df, path, kind, FILE_BYTES)
         return wire.read_binary_shards(df.sparkSession, path, kind)
     df.write.json(path)
     return shards.read_shards(df.sparkSession, path, kind, names="part-*")
@@ -55,7 +57,8 @@ def s3(spark, d, form="json"):
 
 def api_shards(spark, d, form: str) -> DataFrame:
     """API calls and their statistics, a row for each process and day."""
-    calls = trace(spark, d).filter("category = 'CUDA API CPU'").withColumn("part", F.floor(F.col("start_us") / DAY))
+    calls = trace(spark, d).filter("category = 'CUDA API CPU'")
+    calls = sinks.with_part(calls, ["machine", "process", "phase"], F.floor(F.col("start_us") / DAY))
     event = F.struct(F.lit(0).cast("long").alias("tid"), F.col("event_name").alias("api_name"), F.col("start_us").alias("start_time_us"), F.col("duration_us"), F.lit("").alias("active_operation"))
     events = calls.groupBy(*groups(), "part").agg(F.collect_list(event).alias("events"))
     sums = calls.groupBy(*groups(), "part", "event_name").agg(F.sum("duration_us").alias("us"), F.count("*").alias("n"))
@@ -77,7 +80,7 @@ def s4_stats(spark, d, form="json"):
 @both_forms("s5_device_events", f"{T} SELECT process, device, 'GPU' AS category, CASE WHEN event_id % 2 = 0 THEN 'Memcpy' ELSE event_name END AS event_name, start_us, end_us FROM t WHERE category = 'GPU'")
 def s5(spark, d, form="json"):
     """Events with a blank name take their type's."""
-    gpu = trace(spark, d).filter("category = 'GPU'").withColumn("part", F.floor(F.col("start_us") / DAY))
+    gpu = sinks.with_part(trace(spark, d).filter("category = 'GPU'"), ["machine", "process", "phase"], F.floor(F.col("start_us") / DAY))
     name = F.when(F.col("event_id") % 2 == 0, " ").otherwise(F.col("event_name"))
     event = F.struct(name.alias("name"), F.lit("MEMCPY").alias("cuda_event_type"), F.col("start_us").alias("start_time_us"), F.col("duration_us"))
     lists = gpu.groupBy(*groups(), "part", "device").agg(F.collect_list(event).alias("events"))
@@ -128,8 +131,9 @@ def s8_api(spark, d):
 @both_forms("s10_utilization", "SELECT 'm' || (user_id % 2) AS machine, 'd' || (user_id % 3) AS device_name, epoch_us(ts) AS start_us, CAST(event_id % 101 AS DOUBLE) AS util, event_id AS rss_bytes FROM events")
 def s10(spark, d, form="json"):
     sample = F.struct(micros(F.col("ts")).alias("start_time_us"), (F.col("event_id") % 101).cast("float").alias("util"), F.col("event_id").alias("total_resident_memory_bytes"))
-    keys = [F.concat(F.lit("m"), F.col("user_id") % 2).alias("machine_name"), F.concat(F.lit("d"), F.col("user_id") % 3).alias("device_name"), F.date_trunc("day", "ts").alias("part")]
-    lists = table(spark, d, "events").groupBy(*keys).agg(F.collect_list(sample).alias("samples"))
+    keys = [F.concat(F.lit("m"), F.col("user_id") % 2).alias("machine_name"), F.concat(F.lit("d"), F.col("user_id") % 3).alias("device_name"), "part"]
+    samples = sinks.with_part(table(spark, d, "events").withColumn("m", F.col("user_id") % 2), ["m"], F.date_trunc("day", "ts"))
+    lists = samples.groupBy(*keys).agg(F.collect_list(sample).alias("samples"))
     rows = lists.groupBy("machine_name", "part").agg(F.map_from_entries(F.collect_list(F.struct(F.col("device_name").alias("k"), F.struct("device_name", "samples")))).alias("device_util"))
     return shards.device_utilization(written(rows.drop("part"), "machine_util", form)).drop("i")
 
@@ -143,7 +147,9 @@ def s11(spark, d):
 @both_forms("s14_process_metadata", "SELECT c_name AS process, 'p' || (c_custkey % 5) AS parent, CAST(c_custkey AS BIGINT) AS num_timesteps, CAST(2 * c_custkey AS BIGINT) AS total_timesteps FROM customer")
 def s14(spark, d, form="json"):
     state = F.struct(F.lit(0.5).alias("percent_complete"), F.col("c_custkey").alias("num_timesteps"), (2 * F.col("c_custkey")).alias("total_timesteps"))
-    rows = table(spark, d, "customer").select(F.col("c_name").alias("process_name"), F.lit("x").alias("phase"), F.lit("m").alias("machine_name"), F.concat(F.lit("p"), F.col("c_custkey") % 5).alias("parent_process_name"), state.alias("training_progress"))
+    # Few bytes of much work each: Spark would read them in a task or two.
+    customers = table(spark, d, "customer").repartition(spark.sparkContext.defaultParallelism, "c_custkey")
+    rows = customers.select(F.col("c_name").alias("process_name"), F.lit("x").alias("phase"), F.lit("m").alias("machine_name"), F.concat(F.lit("p"), F.col("c_custkey") % 5).alias("parent_process_name"), state.alias("training_progress"))
     return shards.process_metadata(written(rows, "process", form)).select("process", "parent", "num_timesteps", "total_timesteps")
 
 

@@ -10,9 +10,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanweave.plans.lineage import lookup
 from spanweave.sources.shards import KEY_TYPE
 
 
@@ -56,11 +57,27 @@ def write_csv(report: DataFrame, path: str) -> None:
     report.write.option("header", True).csv(path)
 
 
+#: Events of a shard, about: denser stretches of time have several.
+SHARD_EVENTS = 20_000
+
+
+def with_part(events: DataFrame, by: list[str], stretch: Column) -> DataFrame:
+    """Adds ``part``: the stretch of time and, where a group has many events in it, which of its shares an event is in.
+
+    Shares are dealt by a hash of the whole event, so that reruns agree; a group's events in a stretch are counted first.
+    """
+    given = events.withColumn("__stretch", stretch)
+    counts = given.groupBy(*by, "__stretch").agg(F.ceil(F.count("*") / SHARD_EVENTS).alias("__shares"))
+    share = F.pmod(F.xxhash64(*events.columns), F.col("__shares"))
+    return lookup(given, counts, [*by, "__stretch"], "inner").withColumn("part", F.struct(F.col("__stretch").alias("stretch"), share.alias("share"))).drop("__stretch", "__shares")
+
+
 def shard_rows(events: DataFrame, width: int) -> DataFrame:
-    """A trace as nested rows of the kind ``category_events``: one for each process and stretch of ``width`` µs, so that none grows with the trace."""
-    group = [F.col("machine").alias("machine_name"), F.col("process").alias("process_name"), "phase", F.floor(F.col("start_us") / width).alias("part")]
+    """A trace as nested rows of the kind ``category_events``: one for each process and stretch of ``width`` µs, several where that has many events, so that none grows with the trace."""
+    group = [F.col("machine").alias("machine_name"), F.col("process").alias("process_name"), "phase", "part"]
     event = F.struct(F.lit(0).cast("long").alias("thread_id"), F.col("start_us").alias("start_time_us"), F.col("duration_us"), F.col("event_name").alias("name"))
-    lists = events.groupBy(*group, "category").agg(F.collect_list(event).alias("events"))
+    dealt = with_part(events, ["machine", "process", "phase"], F.floor(F.col("start_us") / width))
+    lists = dealt.groupBy(*group, "category").agg(F.collect_list(event).alias("events"))
     return lists.groupBy("machine_name", "process_name", "phase", "part").agg(F.map_from_entries(F.collect_list(F.struct("category", F.struct("events")))).alias("category_events")).drop("part")
 
 
