@@ -19,6 +19,8 @@ from spanweave.sources.adapters import KEYS
 
 #: Up to so many keys have a column each; with more, active keys are counted by name.
 MAX_KEYS = 64
+#: Boundaries that a task of the sweep gets, about.
+TASK_MARKS = 200_000
 
 
 def vocabulary(events: DataFrame, key: str = "key") -> list[str] | None:
@@ -50,13 +52,15 @@ def segments(events: DataFrame, by: list[str] | None = None, key: str = "key", b
     by = KEYS if by is None else by
     events = cut_lineage(events.select(*by, F.col(key).alias("__name"), "start_us", "end_us"))  # read for the keys, the grid and the sweep
     names, marks = vocabulary(events, "__name"), _marks(events, by, "__name", bucket)
-    return _segments_by_name(marks, by) if names is None else _segments_by_column(marks, by, names or [""])  # an empty trace has no row anyway
+    return _segments_by_name(marks, by) if names is None else _segments_by_column(marks, by, names or [""], 2 * events.count())  # an empty trace has no row anyway
 
 
-def _segments_by_column(marks: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+def _segments_by_column(marks: DataFrame, by: list[str], names: list[str], n_marks: int) -> DataFrame:
     sums = [f"d{i}" for i in range(len(names))]
     steps = [F.sum(F.when(F.col("__key") == n, F.col("d")).otherwise(0)).alias(s) for n, s in zip(names, sums, strict=True)]
-    at = marks.repartition(*[F.col(c) for c in by], F.col("bucket")).groupBy(*by, "bucket", "t").agg(*steps)
+    # Not by bytes: marks compress well, and a task would get millions of them, each a row of all the sums.
+    tasks = max(int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_marks // TASK_MARKS))
+    at = marks.repartition(tasks, *[F.col(c) for c in by], F.col("bucket")).groupBy(*by, "bucket", "t").agg(*steps)
 
     order = Window.partitionBy(*by).orderBy("bucket")
     totals = at.groupBy(*by, "bucket").agg(F.min("t").alias("first_t"), *[F.sum(s).alias(s) for s in sums])
