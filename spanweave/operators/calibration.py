@@ -156,8 +156,10 @@ def ranked(names: DataFrame, column: str) -> DataFrame:
 def legacy_venn(sizes: DataFrame, by: list[str], labels: str = "region", size: str = "time_us", near: float = 1e-8) -> DataFrame:
     """Old files, in which sets of several labels are exclusive but single ones hold all that they share: the exclusive sizes.
 
-    From each single label all sets that hold it are taken off; what is then within ``near`` of 0 goes.
+    From each single label all sets that hold it are taken off; what is then within ``near`` of 0 goes. ``sizes`` is read twice, so it
+    is written out first: it may have a whole sweep behind it.
     """
+    sizes = cut_lineage(sizes.select(*by, labels, size))
     signed = F.when(F.size(labels) == 1, F.col(size)).otherwise(-F.col(size))
     own = sizes.filter(F.size(labels) > 1).select(*by, labels, F.col(size).alias(size))
     single = sizes.select(*by, F.explode(labels).alias("x"), signed.alias("s")).groupBy(*by, "x").agg(F.sum("s").alias(size)).select(*by, F.array("x").alias(labels), size)

@@ -60,7 +60,9 @@ def _segments_by_column(marks: DataFrame, by: list[str], names: list[str], n_mar
     steps = [F.sum(F.when(F.col("__key") == n, F.col("d")).otherwise(0)).alias(s) for n, s in zip(names, sums, strict=True)]
     # Not by bytes: marks compress well, and a task would get millions of them, each a row of all the sums.
     tasks = max(int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_marks // TASK_MARKS))
-    at = marks.repartition(tasks, *[F.col(c) for c in by], F.col("bucket")).groupBy(*by, "bucket", "t").agg(*steps)
+    # Written out, as it is read for the totals and for the counts: Spark does not share the shuffle, and would place all marks twice.
+    dealt = [F.col(c) for c in [*by, "bucket"]]
+    at = cut_lineage(marks.repartition(tasks, *dealt).groupBy(*by, "bucket", "t").agg(*steps))
 
     order = Window.partitionBy(*by).orderBy("bucket")
     totals = at.groupBy(*by, "bucket").agg(F.min("t").alias("first_t"), *[F.sum(s).alias(s) for s in sums])
@@ -68,7 +70,7 @@ def _segments_by_column(marks: DataFrame, by: list[str], names: list[str], n_mar
     carry = totals.select(*by, "bucket", F.lead("first_t").over(order).alias("next_t"), *carried)
 
     within = Window.partitionBy(*by, "bucket").orderBy("t")
-    joined = at.join(carry, [*by, "bucket"])
+    joined = at.repartition(tasks, *dealt).join(carry, [*by, "bucket"])
     now = [F.col(f"c_{s}") + F.sum(s).over(within.rowsBetween(Window.unboundedPreceding, 0)) for s in sums]
     counted = joined.select(*by, "t", F.coalesce(F.lead("t").over(within), "next_t").alias("end_us"), *sums, *[c.alias(f"n_{s}") for c, s in zip(now, sums, strict=True)])
     before = [F.col(f"n_{s}") - F.col(s) for s in sums]
