@@ -259,10 +259,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return cut_lineage(both.select("a", "b", F.pandas_udf(_alike_texts, "boolean")("ta", "tb").alias("same"))).filter("same").select("a", "b")
 
 
-def linked(docs: DataFrame) -> DataFrame:
+def linked(docs: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """``node, root`` of every set that is joined with another by pairs of similarity 4/5 or more.
 
-    First each set is compared with that centre with which it shares most keys, which joins large groups of copies without
+    Pairs that were found in another way (``near``: a, b) are compared first, and what these join is not looked for again.
+    Then each set is compared with that centre with which it shares most keys, which joins large groups of copies without
     all their pairs; then all that share a key and aren't joined yet.
     """
     nodes, common = _nodes(docs)
@@ -271,7 +272,16 @@ def linked(docs: DataFrame) -> DataFrame:
     shared = _shared(nodes, common)
     rare = F.count_if(~F.col("many")).alias("s")
     nearest = shared.filter("node <> centre").groupBy("node", "centre").agg(rare, F.count("*").alias("n_keys")).groupBy("node").agg(F.max(F.struct("n_keys", "centre", "s")).alias("x"))
-    edges = _verified(_can_be_alike(nearest.select(F.col("x.centre").alias("a"), F.col("node").alias("b"), "x.s"), sizes), docs, nodes)
+    nearest = nearest.select(F.col("x.centre").alias("a"), F.col("node").alias("b"), "x.s")
+    if near is None:
+        edges = _verified(_can_be_alike(nearest, sizes), docs, nodes)
+    else:
+        edges = _verified(near, docs, nodes)
+        ends = components(edges)
+        for side in "ab":
+            nearest = nearest.join(ends.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+        apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+        edges = edges.union(_verified(_can_be_alike(nearest.filter(apart).select("a", "b", "s"), sizes), docs, nodes))
     roots = components(edges)
     # Of a set with common shingles among its keys all others are keys, too: with a set with which it shares none of those, it has no more than the rest in common.
     rest = F.col("n") - F.when(F.col("n_common") > 0, F.col("keys") - F.col("n_common")).otherwise(0)
@@ -286,7 +296,7 @@ def linked(docs: DataFrame) -> DataFrame:
     return components(edges.union(_verified(_can_be_alike(cut_lineage(met), sizes), docs, nodes)))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, prints: Column | None = None, candidates: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Component of each document: texts with a similarity of 4/5 or more are linked.
 
     Uses ``doc_id, text``; others are ignored. Texts with the same shingles are one node, as are all null and empty
@@ -294,9 +304,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     whole. Returns ``doc_id, print (long: the set's number), version (a hash of the text), root (long), component_id``, one
     row for each row of ``docs``: ``root`` names the component, ``component_id`` is its smallest doc_id, null if it has
     none. An empty table gives no rows. Shingles, sets and texts count as equal if their 64-bit hashes are.
+
+    ``candidates`` makes pairs ``a, b`` to begin with of ``own`` (the set's number) and ``fingerprint`` (``prints``) of all texts.
     """
     docs = docs.select("doc_id", "text")
-    listed = cut_lineage(docs.select("doc_id", F.xxhash64("text").alias("version"), F.pandas_udf(_summaries, "long")("text").alias("own")))
-    rooted = cut_lineage(lookup(listed, linked(docs).withColumnRenamed("node", "own"), "own").select("doc_id", "version", F.col("own").alias("print"), F.coalesce("root", "own").alias("root")))
+    listed = cut_lineage(docs.select("doc_id", F.xxhash64("text").alias("version"), F.pandas_udf(_summaries, "long")("text").alias("own"), *([] if prints is None else [prints.alias("fingerprint")])))
+    near = None if candidates is None else candidates(listed.select("own", "fingerprint"))
+    rooted = cut_lineage(lookup(listed, linked(docs, near).withColumnRenamed("node", "own"), "own").select("doc_id", "version", F.col("own").alias("print"), F.coalesce("root", "own").alias("root")))
     firsts = cut_lineage(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     return lookup(rooted, firsts, "root").select("doc_id", "print", "version", "root", "component_id")

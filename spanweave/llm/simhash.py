@@ -119,12 +119,24 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
+def candidates(listed: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of texts' numbers (``own, fingerprint``) that Golay keys bring together: each one with the smallest of its component.
+
+    Fingerprints link at ``RADIUS`` bits, as everywhere; texts of one fingerprint are together. 0, the number of texts without words, has no pair.
+    """
+    texts = cut_lineage(listed.filter("own <> 0").groupBy("own").agg(F.min("fingerprint").alias("print")))
+    roots = components(links(texts))
+    rooted = cut_lineage(texts.join(roots, texts["print"] == roots["node"], "left").select("own", F.coalesce("root", "print").alias("root")))
+    firsts = rooted.groupBy("root").agg(F.min("own").alias("centre"), F.max("own").alias("most")).filter("centre < most").select("root", "centre")
+    return lookup(rooted, cut_lineage(firsts), "root", "inner").filter("own <> centre").select(F.col("centre").alias("a"), F.col("own").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, radius: int | None = None) -> DataFrame:
     """Fingerprint and component of each document.
 
     Without a ``radius``, texts link where their five-word shingles have a similarity of 0.8 or more, which is about
-    10 differing bits: too many for the segments. Those pairs are found and counted by ``jaccard.near_duplicates``,
-    and ``print`` is then its number of the text's shingles, with more columns than listed here. What follows is for a ``radius``.
+    10 differing bits. Fingerprints and Golay keys find those at ``RADIUS`` or fewer (``candidates``), whose texts are then compared.
+    More bits are too many for the segments: the pairs that are not joined by then are found and counted by ``jaccard.near_duplicates``. ``print`` is then the number of the text's set of shingles, with more columns than listed here. What follows is for a ``radius``.
 
     Uses columns ``doc_id, text``; others are ignored. Texts of one fingerprint are one node, so that copies
     are never paired with each other; nodes link at ``radius`` or fewer differing bits.
@@ -135,7 +147,7 @@ def near_duplicates(docs: DataFrame, radius: int | None = None) -> DataFrame:
     empty table gives no rows.
     """
     if radius is None:
-        return jaccard.near_duplicates(docs)
+        return jaccard.near_duplicates(docs, prints(F.col("text")), candidates)
     printed = cut_lineage(docs.select("doc_id", prints(F.col("text")).alias("print")))
     nodes = cut_lineage(printed.groupBy("print").agg(F.min("doc_id").alias("first")))
     roots = components(links(nodes, radius))
