@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -22,6 +24,8 @@ from spanweave.llm.lexicon import Lexicon
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?L+| ?N+| ?X+|\s+(?!\S)|\s+"
 #: Words of a process's cache, and characters of texts that are encoded together.
 CACHE, CHUNK = 200_000, 500_000
+#: In place of the rank of a pair that is not merged.
+NO_MERGE = 1 << 63
 
 
 @cache
@@ -65,7 +69,7 @@ class Bpe:
         self.tokens, self.special = tokens, special
         ids = {t: i for i, t in tokens.items()}
         self.of_byte = [ids[bytes([b])] for b in range(256)]
-        self.merges = {(a << 32) | b: (rank, made) for rank, (a, b, made) in enumerate(merges.tolist())}
+        self.merges = {(a << 32) | b: (rank << 32) | made for rank, (a, b, made) in enumerate(merges.tolist())}
         self.lexicon = Lexicon.mapped(lexicon) if lexicon else None
         self.cache: dict[str, bytes] = {}
         self.plain, self.exact, self.newer = regex.compile(patterns[0]), regex.compile(patterns[1]), frozenset(patterns[2])
@@ -80,15 +84,17 @@ class Bpe:
 
     def merged(self, word: bytes) -> list[int]:
         """The ids of a word by its merges: always the lowest-ranked pair, from the left."""
-        ids, merges = [self.of_byte[b] for b in word], self.merges
-        while len(ids) > 1:
-            best, at, made = len(merges), -1, -1
-            for i in range(len(ids) - 1):
-                if (m := merges.get((ids[i] << 32) | ids[i + 1])) is not None and m[0] < best:
-                    (best, made), at = m, i
-            if at < 0:
-                break
+        ids, get = [self.of_byte[b] for b in word], self.merges.get
+        pairs = [get((a << 32) | b, NO_MERGE) for a, b in pairwise(ids)]
+        while pairs and (best := min(pairs)) != NO_MERGE:
+            at, made = pairs.index(best), best & 0xFFFFFFFF
             ids[at : at + 2] = [made]
+            del pairs[at]
+            # Only the pairs beside it are new.
+            if at:
+                pairs[at - 1] = get((ids[at - 1] << 32) | made, NO_MERGE)
+            if at < len(pairs):
+                pairs[at] = get((made << 32) | ids[at + 1], NO_MERGE)
         return ids
 
     def merged_long(self, word: bytes) -> list[int]:
@@ -99,7 +105,7 @@ class Bpe:
 
         def pair(i: int) -> tuple | None:
             m = self.merges.get((ids[i] << 32) | ids[after[i]]) if after[i] >= 0 else None
-            return m and (m[0], i, m[1], ids[i], ids[after[i]])
+            return None if m is None else (m >> 32, i, m & 0xFFFFFFFF, ids[i], ids[after[i]])
 
         heap = [p for i in range(n - 1) if (p := pair(i))]
         heapq.heapify(heap)
@@ -123,7 +129,7 @@ class Bpe:
         numbers = self.lexicon.numbers(data).tolist() if self.lexicon is not None else [-1] * len(words)
         for word, raw, number in zip(words, data, numbers, strict=True):
             ids = self.lexicon.ids_of(number) if number >= 0 else self.merged(raw) if len(raw) < 64 else self.merged_long(raw)
-            self.cache[word] = np.asarray(ids, dtype="<u4").tobytes()
+            self.cache[word] = struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each whole text as little-endian unsigned 32-bit integers."""
