@@ -54,17 +54,17 @@ BROADCAST_ROWS = 50_000
 HOT_SHARE = 1000
 
 
-def lookup(big: DataFrame, small: DataFrame, key: str, how: str = "left") -> DataFrame:
+def lookup(big: DataFrame, small: DataFrame, key: str, how: str = "left", rows: int | None = None) -> DataFrame:
     """Join a table with one row a key (``small``) to a large one whose keys may be very uneven (``how``: left or inner).
 
     Keys compare null-safe. A small table is broadcast. Beyond ``BROADCAST_ROWS`` the rows of hot keys meet the few rows
     of ``small`` that have those keys by broadcast, wherever they lie, and only the others are shuffled: no key has more
     than a thousandth of the rows that are dealt by it. The columns of ``small`` other than ``key`` must not be columns
-    of ``big``.
+    of ``big``. ``rows``: as many as ``small`` has at most, where that is known; else they are counted.
     """
     renamed = small.withColumnRenamed(key, "__key")
     on = big[key].eqNullSafe(F.col("__key"))
-    if small.count() <= BROADCAST_ROWS:
+    if (small.count() if rows is None else rows) <= BROADCAST_ROWS:
         return big.join(F.broadcast(renamed), on, how).drop("__key")
     counts = big.groupBy(F.col(key).alias("__hot")).agg(F.count("*").alias("__n"))
     hot = cut_lineage(counts.join(counts.agg(F.sum("__n").alias("__all"))).filter(F.col("__n") * HOT_SHARE > F.col("__all")).select("__hot"))

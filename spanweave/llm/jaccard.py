@@ -262,9 +262,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """``node, root`` of every set that is joined with another by pairs of similarity 4/5 or more.
 
-    Pairs that were found in another way (``near``: a, b) are compared first, and what these join is not looked for again.
-    Then each set is compared with that centre with which it shares most keys, which joins large groups of copies without
-    all their pairs; then all that share a key and aren't joined yet.
+    Pairs that were found in another way (``near``: a, b), and each set with that centre with which it shares most keys, are
+    compared first, which joins large groups of copies without all their pairs; then all that share a key and aren't joined yet.
     """
     nodes, common = _nodes(docs)
     end = F.struct((F.col("n_common") > 0).alias("common"), F.element_at("first", -1).alias("key"))
@@ -273,15 +272,10 @@ def linked(docs: DataFrame, near: DataFrame | None = None) -> DataFrame:
     rare = F.count_if(~F.col("many")).alias("s")
     nearest = shared.filter("node <> centre").groupBy("node", "centre").agg(rare, F.count("*").alias("n_keys")).groupBy("node").agg(F.max(F.struct("n_keys", "centre", "s")).alias("x"))
     nearest = nearest.select(F.col("x.centre").alias("a"), F.col("node").alias("b"), "x.s")
-    if near is None:
-        edges = _verified(_can_be_alike(nearest, sizes), docs, nodes)
-    else:
-        edges = _verified(near, docs, nodes)
-        ends = components(edges)
-        for side in "ab":
-            nearest = nearest.join(ends.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-        apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
-        edges = edges.union(_verified(_can_be_alike(nearest.filter(apart).select("a", "b", "s"), sizes), docs, nodes))
+    first = _can_be_alike(nearest, sizes)
+    if near is not None:
+        first = first.union(near).distinct()
+    edges = _verified(first, docs, nodes)
     roots = components(edges)
     # Of a set with common shingles among its keys all others are keys, too: with a set with which it shares none of those, it has no more than the rest in common.
     rest = F.col("n") - F.when(F.col("n_common") > 0, F.col("keys") - F.col("n_common")).otherwise(0)
@@ -293,7 +287,8 @@ def linked(docs: DataFrame, near: DataFrame | None = None) -> DataFrame:
     on = (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
     most = F.when(F.col("manya"), F.least("resta", "restb")).otherwise(F.least("na", "nb"))
     met = left.join(right, on & alike(most, F.col("na"), F.col("nb"))).groupBy("a", "b").agg(F.count_if(~F.col("manya")).alias("s"))
-    return components(edges.union(_verified(_can_be_alike(cut_lineage(met), sizes), docs, nodes)))
+    more = _verified(_can_be_alike(cut_lineage(met), sizes), docs, nodes)
+    return roots if more.isEmpty() else components(edges.union(more))
 
 
 def near_duplicates(docs: DataFrame, prints: Column | None = None, candidates: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

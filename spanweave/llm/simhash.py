@@ -120,15 +120,19 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def candidates(listed: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of texts' numbers (``own, fingerprint``) that Golay keys bring together: each one with the smallest of its component.
+    """Pairs ``a, b`` of texts' numbers (``own, fingerprint``) that Golay keys bring together, two for each text at most.
 
-    Fingerprints link at ``RADIUS`` bits, as everywhere; texts of one fingerprint are together. 0, the number of texts without words, has no pair.
+    Of the texts of one fingerprint the smallest is paired with each other one, and with that of the smallest fingerprint that links at ``RADIUS`` bits.
+    0, the number of texts without words, has no pair.
     """
     texts = cut_lineage(listed.filter("own <> 0").groupBy("own").agg(F.min("fingerprint").alias("print")))
-    roots = components(links(texts))
-    rooted = cut_lineage(texts.join(roots, texts["print"] == roots["node"], "left").select("own", F.coalesce("root", "print").alias("root")))
-    firsts = rooted.groupBy("root").agg(F.min("own").alias("centre"), F.max("own").alias("most")).filter("centre < most").select("root", "centre")
-    return lookup(rooted, cut_lineage(firsts), "root", "inner").filter("own <> centre").select(F.col("centre").alias("a"), F.col("own").alias("b"))
+    firsts = cut_lineage(texts.groupBy("print").agg(F.min("own").alias("centre"), F.max("own").alias("most")))
+    copies = lookup(texts, firsts.filter("centre < most").select("print", F.col("centre").alias("a")), "print", "inner").filter("own <> a").select("a", F.col("own").alias("b"))
+    nearest = cut_lineage(links(texts).groupBy("b").agg(F.min("a").alias("a")))
+    n = firsts.count()
+    for side in "ab":
+        nearest = lookup(nearest, firsts.select(F.col("print").alias(side), F.col("centre").alias(f"own_{side}")), side, "inner", n)
+    return copies.union(nearest.select(F.col("own_a").alias("a"), F.col("own_b").alias("b")))
 
 
 def near_duplicates(docs: DataFrame, radius: int | None = None) -> DataFrame:
