@@ -8,7 +8,8 @@ import os
 import re
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,13 @@ CHUNK = 1 << 22
 #: Bytes of words and ids that a worker remembers, about.
 REMEMBERED = 160 << 20
 
+#: Words of letters that the library is asked for at once.
+AT_ONCE = 64
+#: Rule of a pre-tokenizer that parts letters from what follows them, apostrophes aside.
+LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: ASCII letters and digits and Latin-1 letters (which no normal form and no other letter's case changes), then ASCII punctuation without apostrophes or what special tokens have.
+PARTED = re.compile(rb"((?:[0-9A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]*)")
+
 # Fixed values of the public seekable format of zstandard, and of skippable frames.
 TABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
@@ -135,6 +143,8 @@ class Encoder:
 
     ``by_words``: the library is asked once for each word (run of anything but ASCII white space), and its answer is
     remembered. That gives the same ids only where the tokenizer drops white space and no token or rule reaches over it.
+    Where it also takes A-Z as a-z and parts by ``LETTERS_APART``, a plain word's letters and the punctuation at its end are asked for apart,
+    and words of letters many at once: the last token of each has the tokenizer's suffix.
     """
 
     def __init__(self, data: str, dtype: str, by_words: bool):
@@ -142,6 +152,12 @@ class Encoder:
         self.tokenizer, self.dtype, self.by_words = Tokenizer.from_str(data), np.dtype(dtype), by_words
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        rules = json.loads(data)
+        self.parted = by_words and _parts_letters(rules)
+        if self.parted:
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(rules["model"]["end_of_word_suffix"])]] = True
         #: Words that were asked for lately, and before; a word that is asked for again is kept.
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
@@ -149,22 +165,62 @@ class Encoder:
 
     def _asked(self, texts: list[str]) -> list[bytes]:
         kind = {2: "H", 4: "I"}[self.dtype.itemsize]
-        found = (e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False))
+        found = (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
         return [struct.pack(f"<{len(ids)}{kind}", *ids) for ids in found]
 
+    def _asked_at_once(self, words: list[str]) -> list[bytes]:
+        """The same for words, with those of letters only put together. A part with more ends than words is asked for word by word."""
+        letters, rest = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()]
+        parts, got = [letters[i : i + AT_ONCE] for i in range(0, len(letters), AT_ONCE)], {}
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(list(map(" ".join, parts)), add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype=self.dtype)
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
+            if len(ends) != len(part):
+                rest += part
+                continue
+            data = ids.tobytes()
+            got.update((w, data[a:b]) for w, a, b in zip(part, [0, *ends], ends))
+        got.update(zip(rest, self._asked(rest), strict=True))
+        return [got[w] for w in words]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
             return self._asked(texts)
         split = [t.encode().split() for t in texts]
         if self.size > REMEMBERED // 2:
             self.known, self.before, self.size = {}, self.known, 0
-        new = list(set().union(*split).difference(self.known))
-        unknown = [w for w in new if w not in self.before]
-        self.known.update((w, self.before[w]) for w in new if w in self.before)
-        self.known.update(zip(unknown, self._asked([w.decode() for w in unknown]), strict=True))
-        self.size += sum(len(w) + len(self.known[w]) for w in new) + 150 * len(new)  # objects and their place in the table
+        self._learn(set().union(*split))
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
+    def _learn(self, words: Iterable[bytes]) -> None:
+        new = set(words).difference(self.known)
+        found = {w: self.before[w] for w in new if w in self.before}
+        parts = {w: p for w in new if w not in found and (p := self._parts(w))}
+        if parts:
+            self._learn(chain.from_iterable(parts.values()))  # these have no parts
+            found.update((w, self.known[a] + self.known[b]) for w, (a, b) in parts.items())
+        unknown = [w for w in new if w not in found and w not in self.known]
+        ask = self._asked_at_once if self.parted else self._asked
+        found.update(zip(unknown, ask([w.decode() for w in unknown]), strict=True))
+        self.known.update(found)
+        self.size += sum(map(len, found)) + sum(map(len, found.values())) + 150 * len(found)  # objects and their place in the table
+
+    def _parts(self, word: bytes) -> tuple[bytes, bytes] | None:
+        """Letters in lower case and punctuation of a word that has capitals or both."""
+        if not self.parted or not (m := PARTED.fullmatch(word)) or (low := m[1].lower()) == word:
+            return None
+        return low, m[2]
+
+
+def _parts_letters(rules: dict) -> bool:
+    """Whether a tokenizer (its file's content) takes A-Z as a-z, and then parts by ``LETTERS_APART`` before all else."""
+    normal, before, model = (rules.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    known = [x["type"] for x in normal.get("normalizers", [normal or {"type": None}])] == ["NFC", "Replace", "Lowercase"] and normal["normalizers"][1]["pattern"] == {"Regex": r"\s+"}
+    first = before.get("pretokenizers", [before])[0]
+    apart = first.get("type") == "Split" and first["pattern"] == {"Regex": LETTERS_APART} and first["behavior"] == "Removed" and first["invert"]
+    special = all(re.fullmatch(r"<\|.*\|>", x["content"]) for x in rules.get("added_tokens", []))
+    return known and apart and special and model.get("type") == "BPE" and bool(model.get("end_of_word_suffix")) and not model.get("dropout") and not rules.get("post_processor")
+
 
 #: The encoder that a worker process has, by what it was made of.
 _ENCODERS: dict[tuple, Encoder] = {}
